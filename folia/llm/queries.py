@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -16,6 +17,28 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import scored, train
+
+    docs = common.table(spark, sf_dir, "documents")
+    machine = train(docs, common.table(spark, sf_dir, "labels"), common.held_out(4, 2))
+    return scored(docs, machine).select("doc_id", common.held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_ledger import findings
+
+    found = findings(common.table(spark, sf_dir, "documents"), common.fresh_path(spark, "ledger"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    trusted = common.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return judged(common.table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -29,6 +52,9 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fm": op1_quality_fm,
+    "op5_secret_ledger": op5_secret_ledger,
+    "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
