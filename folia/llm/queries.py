@@ -25,6 +25,18 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, machine).select("doc_id", common.held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(common.table(spark, sf_dir, "documents"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_ledger import findings
 
@@ -39,6 +51,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(common.table(spark, sf_dir, "documents"), trusted)
 
 
+def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_writer import read, write
+
+    folder = common.fresh_path(spark, "warc")
+    records = read(write(common.table(spark, sf_dir, "pages"), folder), folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -53,10 +73,22 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_pfair_mixing": op4_pfair_mixing,
     "op5_secret_ledger": op5_secret_ledger,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc_writer": op8_warc_writer,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_writer": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+             f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest)
+        SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN p.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id > f.first_id THEN f.first_id END AS refers_to, TRUE AS payload_ok
+        FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
+    """,
+}

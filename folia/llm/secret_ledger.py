@@ -131,3 +131,48 @@ def findings(versions: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     joined = paths.join(some, "blob", "left")
     zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_assign", "n_access", "n_hex")]
     return joined.select(id_col, *zero, *(F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")))
+
+
+def redacted(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs``, with ``[REDACTED kind]`` in place of each secret; n_chars, if there, is brought up to date.
+
+    Overlapping secrets become one mark, of the first one's kind. Rows without
+    secrets, null texts included, stay as they are.
+    """
+    update_ledger(docs.select(F.lit(None).cast("bigint").alias("doc_id"), text_col), path, "doc_id", text_col)
+    some = ledger(docs.sparkSession, path).filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    few = common.small_enough(some, 200_000)
+    blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    joined = docs.withColumn("__blob", blob).join(F.broadcast(some) if few else some, "__blob", "left").drop("__blob").select(*docs.columns, "__spans")
+    at = docs.columns.index(text_col)
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            columns = list(batch.columns[:-1])
+            if any(spans):
+                texts = columns[at].to_pylist()
+                lengths = columns[size].to_pylist() if size is not None else None
+                for i, s in enumerate(spans):
+                    if s:
+                        texts[i] = redact(texts[i], s)
+                        if lengths is not None:
+                            lengths[i] = len(texts[i])
+                columns[at] = pa.array(texts, columns[at].type)
+                if size is not None:
+                    columns[size] = pa.array(lengths, columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(len(columns))]))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def redact(text: str, spans: str) -> str:
+    """``text`` with a mark in place of each ``kind:start:end``."""
+    out, at = [], 0
+    for kind, start, end in sorted((tuple(s.split(":")) for s in spans.split(",")), key=lambda s: int(s[1])):
+        a, b = int(start), int(end)
+        if a >= at:
+            out += [text[at:a], f"[REDACTED {kind}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
