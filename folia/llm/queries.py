@@ -25,6 +25,18 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, machine).select("doc_id", common.held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number ends its path."""
+    from .url_templates import path_of, verdicts
+
+    labels = common.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_key"), (1 - F.col("quality")).alias("bad"))
+    number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(\.[A-Za-z]+)?/?$", 1)
+    return verdicts(common.table(spark, sf_dir, "pages"), URL_RULES, labels, F.when(number != "", number.cast("bigint")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -73,6 +85,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_url_templates": op2_url_templates,
     "op3_decontaminate": op3_decontaminate,
     "op4_pfair_mixing": op4_pfair_mixing,
     "op5_secret_ledger": op5_secret_ledger,
