@@ -56,6 +56,13 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_lm import scored
+
+    found = scored(common.table(spark, sf_dir, "documents"), ~common.held_out(5, 1), tokenizer_path())
+    return found.select("doc_id", common.held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_pfair_mixing": op4_pfair_mixing,
     "op5_secret_ledger": op5_secret_ledger,
+    "op6_attention_lm": op6_attention_lm,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc_writer": op8_warc_writer,
     "op9_token_counts": op9_token_counts,
