@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
 CHUNK_BYTES = 2_000_000
 
+#: Bytes of an Arrow batch on its way to a Python worker, and the rows of it that a worker takes at a time.
+ARROW_BYTES, PIECE_ROWS = 8 << 20, 1024
+
 #: Largest table (rows) that an operator may broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -68,6 +71,35 @@ def held_out(mod: int, remainder: int, doc_id: Column | str = "doc_id") -> Colum
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with memory bounded by bytes: Arrow batches of at most ARROW_BYTES leave the JVM, a worker
+    takes PIECE_ROWS rows of them at a time, and hands freed memory back after each piece.
+
+    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` where it is larger.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None)
+    if now is None or not now.lower().rstrip("b").isdigit() or int(now.lower().rstrip("b")) > ARROW_BYTES:
+        conf.set(key, f"{ARROW_BYTES}b")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = _trimmer()
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE_ROWS) or (0,):
+                yield batch.slice(at, PIECE_ROWS)
+            pa.default_memory_pool().release_unused()
+            trim(0)
+
+    return df.mapInArrow(lambda batches: run(pieces(batches)), schema)
+
+
+def _trimmer() -> Callable[[int], object]:
+    """The C library's way to return free memory to the system, where it has one."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null becomes empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

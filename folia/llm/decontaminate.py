@@ -118,7 +118,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "size", "total", "hash", "at", "offsets", "values"])
 
     schema = "item_id bigint, size int, total int, hash bigint, at int, offsets array<int>, `values` array<string>"
-    return benchmark.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, schema)
+    return common.map_batches(benchmark.select(F.col(id_col).cast("bigint"), text_col), run, schema)
 
 
 def consistent_cover(hits: Iterable[tuple[int, int, list[str], list[str]]]) -> tuple[int, bool]:
@@ -180,7 +180,7 @@ def _by_broadcast(docs: DataFrame, index: DataFrame, coverage: float) -> DataFra
                         rows.append((doc, item, n, n / total, same))
             yield _leak_batch(rows)
 
-    return docs.mapInArrow(run, _LEAKS)
+    return common.map_batches(docs, run, _LEAKS)
 
 
 def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame:
@@ -201,7 +201,7 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
                             [pa.array([doc] * (b - a), pa.int64()), pa.array(range(a, b), pa.int32()), pa.array([k] * (b - a), pa.int32()), pa.array(found[a:b]), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "place", "size", "hash", "own"]
                         )
 
-    pieces = docs.mapInArrow(cut, "doc_id bigint, place int, size int, hash bigint, own array<string>")
+    pieces = common.map_batches(docs, cut, "doc_id bigint, place int, size int, hash bigint, own array<string>")
     met = pieces.join(index, ["hash", "size"]).groupBy("doc_id", "item_id", "total").agg(F.collect_list(F.struct("place", "at", "own", F.col("values").alias("given"))).alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
                     rows.append((doc, item, n, n / total, same))
             yield _leak_batch(rows)
 
-    return met.mapInArrow(judge, _LEAKS)
+    return common.map_batches(met, judge, _LEAKS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:

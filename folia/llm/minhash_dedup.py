@@ -93,7 +93,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary, keys array<bigint>")
+    return common.map_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, n_shingles bigint, fp binary, keys array<bigint>")
 
 
 class _Block:
@@ -155,7 +155,7 @@ def confirmed_links(family_docs: DataFrame, k: int, percent: int, bands: int, ro
             sets = [s.view(np.int64) for s in shingle_sets(common.as_bytes(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), *batch.columns[2:]], names=["doc_id", "shingles", "family", "parts"])
 
-    sets = family_docs.select("doc_id", "text", "family", "parts").mapInArrow(shingled, "doc_id bigint, shingles array<bigint>, family bigint, parts int")
+    sets = common.map_batches(family_docs.select("doc_id", "text", "family", "parts"), shingled, "doc_id bigint, shingles array<bigint>, family bigint, parts int")
     dealt = (
         sets.withColumn("own", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -195,7 +195,7 @@ def confirmed_links(family_docs: DataFrame, k: int, percent: int, bands: int, ro
         if (out := done()) is not None:
             yield out
 
-    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(compare, "a bigint, b bigint")
+    return common.map_batches(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j"), compare, "a bigint, b bigint")
 
 
 def near_duplicates(

@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = joined.mapInArrow(run, f"id {kind}, label int, index binary, value binary, dense binary").toPandas().sort_values(["id", "index"])  # at most `sample` ids
+    rows = common.map_batches(joined, run, f"id {kind}, label int, index binary, value binary, dense binary").toPandas().sort_values(["id", "index"])  # at most `sample` ids
     if not len(rows):
         return None
     f = object.__new__(Features)
@@ -173,4 +173,4 @@ def scored(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, meta.cast("double").alias("__meta")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return common.map_batches(docs.select(id_col, text_col, meta.cast("double").alias("__meta")), run, f"`{id_col}` {kind}, score double, predicted int")

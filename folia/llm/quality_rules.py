@@ -59,7 +59,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
         seen = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[0][seen]), pa.array(total[1][seen])], names=["bucket", "raw", "target"])
 
-    counted = marked.select("__text", F.col("__trusted_id").isNotNull()).mapInArrow(run, "bucket bigint, raw bigint, target bigint")
+    counted = common.map_batches(marked.select("__text", F.col("__trusted_id").isNotNull()), run, "bucket bigint, raw bigint, target bigint")
     out = np.zeros((2, 1 << BITS), dtype=np.float64)
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most 2**BITS rows
     out[0, rows["bucket"]], out[1, rows["bucket"]] = rows["raw"], rows["target"]
@@ -104,7 +104,7 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (id_col, *extra)), *(f"{c} bigint" for c in _COUNTS), "base_failed boolean, kept boolean, llr double"])
-    return docs.select(id_col, text_col, *extra).mapInArrow(run, schema)
+    return common.map_batches(docs.select(id_col, text_col, *extra), run, schema)
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_llr: float = MIN_LLR) -> DataFrame:
@@ -124,4 +124,4 @@ def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
                 keep.append((n["n_words"] >= 10) & (100 * n["n_repeat_words"] <= 20 * n["n_words"]) & (llr >= min_llr))
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_batches(docs, run, docs.schema)

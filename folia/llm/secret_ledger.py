@@ -80,7 +80,7 @@ def addressed(versions: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     paths = versions.select(F.col(id_col), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"))
-    return paths, versions.select(text_col).mapInArrow(pack, "blob binary, packed binary")
+    return paths, common.map_batches(versions.select(text_col), pack, "blob binary, packed binary")
 
 
 def scan(contents: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def scan(contents: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["blob", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
-    return contents.select("blob", "packed").mapInArrow(run, f"blob binary, {_FINDINGS}")
+    return common.map_batches(contents.select("blob", "packed"), run, f"blob binary, {_FINDINGS}")
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -164,7 +164,7 @@ def redacted(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                     columns[size] = pa.array(lengths, columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(len(columns))]))
 
-    return joined.mapInArrow(run, docs.schema)
+    return common.map_batches(joined, run, docs.schema)
 
 
 def redact(text: str, spans: str) -> str:

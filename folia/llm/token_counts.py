@@ -14,6 +14,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 #: Runs whose count a worker remembers; the table is emptied when full.
 REMEMBERED = 250_000
 #: A longer run isn't remembered.
@@ -136,4 +138,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return common.map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

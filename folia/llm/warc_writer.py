@@ -112,7 +112,7 @@ def write(pages: DataFrame, folder: str, shard_ids: int = SHARD_IDS, roll_bytes:
                 names=["page_id", "url", "digest", "packed"],
             )
 
-    full = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), "html").mapInArrow(pack, "page_id bigint, url string, digest string, packed binary")
+    full = common.map_batches(pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), "html"), pack, "page_id bigint, url string, digest string, packed binary")
     both = revisits(pages).select(F.col("page_id").cast("bigint"), F.lit(None).cast("string").alias("url"), "digest", F.lit(None).cast("binary").alias("packed"), F.col("refers_to").cast("bigint")).unionByName(
         full.withColumn("refers_to", F.lit(None).cast("bigint"))
     )
@@ -182,7 +182,7 @@ def write(pages: DataFrame, folder: str, shard_ids: int = SHARD_IDS, roll_bytes:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "seq", "file", "records", "bytes", "sha256"])
 
-    dealt.mapInArrow(save, _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    common.map_batches(dealt, save, _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     common.delete_path(spark, f"{folder}/_temporary")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
@@ -216,4 +216,4 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     files = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.select("file", "records").repartition(files, "file").mapInArrow(run, _RECORDS)
+    return common.map_batches(manifest.select("file", "records").repartition(files, "file"), run, _RECORDS)
