@@ -30,13 +30,13 @@ from . import common
 from .wordhash import Words
 
 #: Output symbols (the end, classes of less frequent ids, frequent ids), width, heads, hidden units.
-SYMBOLS, CLASSES, WIDTH, HEADS, HIDDEN = 256, 40, 24, 1, 32
+SYMBOLS, CLASSES, WIDTH, HEADS, HIDDEN = 224, 40, 24, 1, 32
 #: Members of a class, its tail (member 0) included. A token is coded as symbol * MEMBERS + member.
 MEMBERS = 32
 #: Tokens of a window, and the new ones among them.
 CONTEXT, NEW = 12, 8
 #: Documents of the warm start at most; every SHARE-th training document trains in a round and counts ids.
-WARM_DOCS, SHARE, ROUNDS = 600, 64, 2
+WARM_DOCS, SHARE, ROUNDS = 600, 128, 2
 #: Longest text, in characters, that the warm start draws.
 WARM_LENGTH = 20_000
 #: Words whose counts go to every worker; the others' counts are joined by shuffle.
@@ -67,30 +67,41 @@ class _Numbers(dict):
 
 
 class WordTable:
-    """Subword ids and unigram facts of the words seen so far, as flat arrays indexed by the word's number."""
+    """Subword codes and unigram facts of the words seen so far, as flat arrays indexed by the word's number.
 
-    def __init__(self, path: str, counts: "WordCounts | None" = None):
-        self.encode, self.counts = bpe(path).encode_ordinary, counts
+    The empty word has number 0 and stands for a text's end.
+    """
+
+    def __init__(self, path: str, code: np.ndarray | None = None, inside: np.ndarray | None = None, counts: "WordCounts | None" = None):
+        encoder = bpe(path)
+        self.encode, self.counts = encoder.encode_ordinary, counts
+        self.code = np.arange(encoder.max_token_value + 1) if code is None else code
+        self.log_share = np.zeros(len(self.code)) if inside is None else inside
         self.reset()
 
     def reset(self) -> None:
         self.number = _Numbers()
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.begin = np.zeros(1, dtype=np.int64)
-        self.hash = np.zeros(0, dtype=np.int64)
-        self.value = np.zeros(0)
-        self.rare = np.zeros(0, dtype=bool)
+        self.number[b""] = 0
+        self.codes = np.full(1, END, dtype=self.code.dtype)
+        self.begin, self.size = np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
+        self.inside = np.zeros(1)
+        self.hash, self.value, self.rare = np.zeros(1, dtype=np.int64), np.zeros(1), np.zeros(1, dtype=bool)
 
     def numbers(self, words: list[list[bytes]]) -> np.ndarray:
         """The numbers of the words of some texts, one after another."""
         if len(self.number) > REMEMBERED:
             self.reset()
-        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int32)
         if fresh := self.number.fresh:
             self.number.fresh = []
             encoded = [self.encode(" " + w.decode("utf-8", "replace")) for w in fresh]
-            self.ids = np.concatenate((self.ids, np.array([i for e in encoded for i in e], dtype=np.int32)))
-            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(e) for e in encoded])))
+            size = np.array([len(e) for e in encoded], dtype=np.int32)
+            ids = np.array([i for e in encoded for i in e], dtype=np.int64)
+            begin = np.cumsum(size) - size
+            self.begin = np.concatenate((self.begin, (len(self.codes) + begin).astype(np.int32)))
+            self.size = np.concatenate((self.size, size))
+            self.inside = np.concatenate((self.inside, np.add.reduceat(self.log_share[ids], begin)))
+            self.codes = np.concatenate((self.codes, self.code[ids]))
             hashed = Words([b" ".join(fresh)]).hashes().view(np.int64)
             self.hash = np.concatenate((self.hash, hashed))
             if self.counts is not None:
@@ -98,12 +109,13 @@ class WordTable:
                 self.value, self.rare = np.concatenate((self.value, value)), np.concatenate((self.rare, rare))
         return found
 
-    def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a sequence of words, and how many each has."""
-        lengths = self.begin[numbers + 1] - self.begin[numbers]
-        total = np.cumsum(lengths)
-        at = np.repeat(self.begin[numbers] - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)
-        return self.ids[at], lengths
+    def sequence(self, numbers: np.ndarray) -> np.ndarray:
+        """The codes of a sequence of words."""
+        size = self.size[numbers]
+        total = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.begin[numbers] - (total - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.codes[at]
 
 
 @dataclass
@@ -132,12 +144,19 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``hash, times`` of all words of ``texts`` (one column), A-Z lower-cased; counts combine before and after the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            found = as_bytes_hashed(common.as_bytes(batch.column(0)))
-            keys, times = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["hash", "times"])
+            held.append(as_bytes_hashed(common.as_bytes(batch.column(0))))
+            if sum(map(len, held)) > 3_000_000:
+                yield counted(held)
+        yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, times = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["hash", "times"])
 
-    return texts.mapInArrow(run, "hash bigint, times bigint").groupBy("hash").agg(F.sum("times").alias("times"))
+    return common.map_batches(texts, run, "hash bigint, times bigint").groupBy("hash").agg(F.sum("times").alias("times"))
 
 
 def as_bytes_hashed(texts: list[bytes]) -> np.ndarray:
@@ -176,6 +195,9 @@ def initial(seed: int = 5) -> dict[str, np.ndarray]:
 _QUERY = np.arange(CONTEXT - NEW, CONTEXT)
 _BACK = _QUERY[:, None] - np.arange(CONTEXT)[None, :]
 _FUTURE = _BACK < 0
+#: Windows scored at a time: their logits stay in a core's cache.
+BATCH = 128
+_ROWS = np.arange(BATCH * NEW)
 _ONES = np.ones((CONTEXT, 1), dtype=np.float32)
 
 
@@ -203,6 +225,13 @@ class Blocks:
         self.blocks = blocks
 
 
+def _one_hot(symbols: np.ndarray, kind) -> np.ndarray:
+    """A row per symbol with a 1 in its column: sums by symbol become matrix products."""
+    out = np.zeros((symbols.size, SYMBOLS + 1), dtype=kind)
+    out[np.arange(symbols.size), symbols.ravel()] = 1
+    return out
+
+
 class Model:
     """The attention model with its tables."""
 
@@ -218,7 +247,6 @@ class Model:
             table[:, PAD] = 0  # nothing attends to what lies before the text
         self.flat = [np.ascontiguousarray(t).ravel() for t in self.logits]
         self.bias = [np.where(_FUTURE, 0, np.exp(np.clip(p["B"][h], -30, 30))[np.maximum(_BACK, 0)]).astype(p["E"].dtype) for h in range(HEADS)]
-        self.out = np.concatenate((p["U"], p["c"][None, :]))
 
     def forward(self, inputs: np.ndarray) -> dict:
         """Hidden states of the new tokens of each window, with what backward needs."""
@@ -244,17 +272,22 @@ class Model:
         out = np.zeros(targets.shape, dtype=np.float64)
         flat = out.ravel()
         later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(inputs), 256):
-            h2 = self.forward(inputs[a : a + 256])["h2"]
-            code = targets[a : a + 256].ravel().astype(np.int64)
+        ones = np.ones(SYMBOLS, dtype=self.p["U"].dtype)
+        for a in range(0, len(inputs), BATCH):
+            h2 = self.forward(inputs[a : a + BATCH])["h2"]
+            code = targets[a : a + BATCH].ravel().astype(np.int32)
             goal = code // MEMBERS
-            z = np.concatenate((h2, np.ones((len(h2), 1), dtype=h2.dtype)), axis=1) @ self.out
+            z = h2 @ self.p["U"]
+            z += self.p["c"]
             real = goal != PAD
-            chosen = z[np.arange(len(goal)), np.where(real, goal, 0)]
-            np.clip(z, -80, 80, out=z)
-            np.exp(z, out=z)
-            lp = np.clip(chosen, -80, 80) - np.log(z @ np.ones(SYMBOLS, dtype=z.dtype))
-            out[a : a + 256] = np.where(real, lp, 0.0).reshape(-1, NEW)
+            chosen = z[_ROWS[: len(goal)], np.where(real, goal, 0)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                total = np.exp(z, out=z) @ ones
+            if not (total > 0).all() or not np.isfinite(total).all():  # logits beyond what exp can hold
+                z = h2 @ self.p["U"] + self.p["c"]
+                top = z.max(axis=1)
+                chosen, total = chosen - top, np.exp(z - top[:, None]) @ ones
+            out[a : a + BATCH] = np.where(real, chosen - np.log(total), 0.0).reshape(-1, NEW)
             inside = np.flatnonzero((goal > 0) & (goal <= CLASSES))
             later.append((h2[inside], code[inside], inside + a * NEW))
         if later:
@@ -305,21 +338,20 @@ class Model:
         d1 = d2 + dpre @ p["W1"].T
         g["O"] = f["mixed"].T @ d1
         dE = np.zeros_like(p["E"])
-        np.add.at(dE, f["own"].ravel(), d1)
+        own_rows, all_rows = _one_hot(f["own"], d1.dtype), _one_hot(f["x"], d1.dtype)
+        dE += own_rows.T @ d1
         dmixed = (d1 @ p["O"].T).reshape(len(inputs), NEW, WIDTH)
         x, own, k = f["x"], f["own"], WIDTH // HEADS
         g["Q"], g["K"], g["V"], g["B"] = np.zeros_like(p["Q"]), np.zeros_like(p["K"]), np.zeros_like(p["V"]), np.zeros_like(p["B"])
         scale = np.float32(k**-0.5)
         for h in range(HEADS):
             a, dh = f["weights"][h], dmixed[:, :, h * k : (h + 1) * k]
-            dv = np.zeros((SYMBOLS + 1, k), dtype=np.float32)
-            np.add.at(dv, x, np.matmul(a.transpose(0, 2, 1), dh))
+            dv = all_rows.T @ np.matmul(a.transpose(0, 2, 1), dh).reshape(-1, k)
             da = np.matmul(dh, self.v[h].take(x, axis=0).transpose(0, 2, 1))
             ds = a * (da - (da * a).sum(axis=2, keepdims=True))
             g["B"][h] = np.bincount(np.maximum(_BACK, 0).ravel(), weights=np.where(_FUTURE, 0, ds.sum(axis=0)).ravel(), minlength=CONTEXT)
-            dq, dk = np.zeros_like(dv), np.zeros_like(dv)
-            np.add.at(dq, own, np.matmul(ds, self.k[h].take(x, axis=0)) * scale)
-            np.add.at(dk, x, np.matmul(ds.transpose(0, 2, 1), self.q[h].take(own, axis=0)))
+            dq = own_rows.T @ (np.matmul(ds, self.k[h].take(x, axis=0)) * scale).reshape(-1, k)
+            dk = all_rows.T @ np.matmul(ds.transpose(0, 2, 1), self.q[h].take(own, axis=0)).reshape(-1, k)
             E = p["E"]
             g["Q"][h], g["K"][h], g["V"][h] = E.T @ dq, E.T @ dk, E.T @ dv
             dE += dq @ p["Q"][h].T + dk @ p["K"][h].T + dv @ p["V"][h].T
@@ -327,7 +359,7 @@ class Model:
         return g, loss
 
 
-def train(p: dict[str, np.ndarray], blocks: Blocks, epochs: int, rate: float, batch: int = 128, seed: int = 3) -> tuple[dict[str, np.ndarray], float]:
+def train(p: dict[str, np.ndarray], blocks: Blocks, epochs: int, rate: float, batch: int = 256, seed: int = 3) -> tuple[dict[str, np.ndarray], float]:
     """Adam over the blocks; the same blocks give the same parameters. Returns them and the last epoch's mean loss."""
     p = {k: v.copy() for k, v in p.items()}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
@@ -360,18 +392,18 @@ class Scorer:
     inside: np.ndarray
     params: dict[str, np.ndarray]
 
-    def blocks(self, table: WordTable, texts: list[bytes]) -> tuple[Blocks, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of the texts, the ids' log share in their class's tail summed by text, word numbers, words by text, text of each word."""
+    def table(self, counts: WordCounts | None = None) -> WordTable:
+        return WordTable(self.path, self.code, self.inside, counts)
+
+    def blocks(self, table: WordTable, texts: list[bytes]) -> tuple[Blocks, np.ndarray, np.ndarray]:
+        """Windows of the texts; the numbers of their words and ends; how many each text has."""
         split = [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
+        for words in split:
+            words.append(b"")
         n = np.array([len(s) for s in split], dtype=np.int64)
         numbers = table.numbers(split)
-        ids, per_word = table.subwords(numbers)
-        owner = np.repeat(np.arange(len(texts)), n)
-        per_text = np.bincount(owner, weights=per_word, minlength=len(texts)).astype(np.int64)
-        within = np.bincount(np.repeat(owner, per_word), weights=self.inside[ids], minlength=len(texts)) if len(ids) else np.zeros(len(texts))
-        codes = np.zeros(len(ids) + len(texts), dtype=np.int16)
-        codes[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), per_text)] = self.code[ids]
-        return Blocks(codes, per_text + 1), within, numbers, n, owner
+        first = np.cumsum(n) - n
+        return Blocks(table.sequence(numbers), np.add.reduceat(table.size[numbers], first).astype(np.int64)), numbers, n
 
 
 def _symbols(texts: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -386,11 +418,11 @@ def _symbols(texts: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
             texts = common.as_bytes(batch.column(0))
             for a, b in common.slices(texts):
                 numbers = table.numbers([t.lower().split() for t in texts[a:b]])
-                total += np.bincount(table.subwords(numbers)[0], minlength=size)
+                total += np.bincount(table.sequence(numbers), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "times"])
 
-    rows = texts.mapInArrow(run, "id bigint, times bigint").groupBy("id").agg(F.sum("times").alias("times")).toPandas().sort_values(["times", "id"], ascending=[False, True])  # at most the vocabulary
+    rows = common.map_batches(texts, run, "id bigint, times bigint").groupBy("id").agg(F.sum("times").alias("times")).toPandas().sort_values(["times", "id"], ascending=[False, True])  # at most the vocabulary
     own = rows["id"].to_numpy(dtype=np.int64)[: SYMBOLS - 1 - CLASSES]
     times = np.zeros(size)
     times[rows["id"].to_numpy(dtype=np.int64)] = rows["times"]
@@ -427,7 +459,7 @@ def _local_rounds(texts: DataFrame, scorer: Scorer, rate: float) -> dict[str, np
     shapes = [scorer.params[k].shape for k in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, params, tokens = WordTable(scorer.path), scorer.params, 0
+        table, params, tokens = scorer.table(), scorer.params, 0
         for batch in batches:
             texts = common.as_bytes(batch.column(0))
             for a, b in common.slices(texts):
@@ -438,7 +470,7 @@ def _local_rounds(texts: DataFrame, scorer: Scorer, rate: float) -> dict[str, np
             flat = np.concatenate([params[k].ravel() for k in names]).astype(np.float64) * tokens
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.concatenate(([tokens], flat)))], names=["i", "x"])
 
-    rows = texts.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")  # one row a parameter
+    rows = common.map_batches(texts, run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")  # one row a parameter
     if not len(rows):
         return scorer.params
     flat = (rows["x"].to_numpy()[1:] / rows["x"].iloc[0]).astype(np.float32)
@@ -457,7 +489,7 @@ def fit(docs: DataFrame, total: int, path: str, id_col: str, text_col: str) -> S
     code, inside, shares = _symbols(docs.filter(deal < 4).select(texts), path)
     scorer = Scorer(path, code, inside, initial() | {"c2": shares})
     if warm:
-        made = scorer.blocks(WordTable(path), warm)[0]
+        made = scorer.blocks(scorer.table(), warm)[0]
         share = np.bincount(made.targets[made.targets != PADDED] // MEMBERS, minlength=SYMBOLS) + 1.0
         scorer.params["c"] = np.log(share / share.sum()).astype(np.float32)
         scorer.params, _ = train(scorer.params, made, epochs=3, rate=1e-2)
@@ -487,26 +519,28 @@ def scored(docs: DataFrame, training: Column, path: str, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         fitted, counts = scorer.value
-        model, table = Model(fitted.params), WordTable(path, counts)
+        model, table = Model(fitted.params), fitted.table(counts)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = common.as_bytes(batch.column(1))
             for a, b in common.slices(texts):
-                blocks, within, numbers, n, owner = fitted.blocks(table, texts[a:b])
+                blocks, numbers, n = fitted.blocks(table, texts[a:b])
+                first = np.cumsum(n) - n
                 log_p = model.log_probs(blocks.inputs, blocks.targets).sum(axis=1)
-                score = np.add.reduceat(log_p, np.cumsum(blocks.blocks) - blocks.blocks) + within
+                score = np.add.reduceat(log_p, np.cumsum(blocks.blocks) - blocks.blocks) + np.add.reduceat(table.inside[numbers], first)
                 rare = table.rare[numbers]
-                base = np.bincount(owner, weights=table.value[numbers], minlength=b - a) + counts.log10(counts.ends)
-                familiar = np.bincount(owner, weights=~rare, minlength=b - a).astype(np.int64) + (counts.ends > 0)
-                unknown, begin = table.hash[numbers[rare]], np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(np.bincount(owner[rare], minlength=b - a)).astype(np.int32)))
+                base = np.add.reduceat(table.value[numbers], first) + counts.log10(counts.ends)
+                unmet = np.add.reduceat(rare.astype(np.int64), first)
+                familiar = n - 1 - unmet + (counts.ends > 0)
+                unknown, begin = table.hash[numbers[rare]], np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(unmet).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + b - a)), batch.column(0)[a:b], pa.array(n + 1), pa.array(familiar), pa.array(base), pa.array(score / np.log(10)), pa.ListArray.from_arrays(pa.array(begin), pa.array(unknown))],
+                    [pa.array(np.arange(row, row + b - a)), batch.column(0)[a:b], pa.array(n), pa.array(familiar), pa.array(base), pa.array(score / np.log(10)), pa.ListArray.from_arrays(pa.array(begin), pa.array(unknown))],
                     names=["row", id_col, "n_tokens", "known", "base", "score", "rare"],
                 )
                 row += b - a
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = common.stored(docs.select(id_col, text_col).mapInArrow(run, f"row bigint, `{id_col}` {kind}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"), "scores")
+    rows = common.stored(common.map_batches(docs.select(id_col, text_col), run, f"row bigint, `{id_col}` {kind}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"), "scores")
     unseen = float(known.log10(0))
     rest = counts.filter(F.col("times") < bound) if bound < 1 << 62 else counts
     value = F.coalesce(F.log10((F.col("times") + 0.5) / F.lit(known.tokens + 0.5 * (known.distinct + 1))), F.lit(unseen))
