@@ -45,7 +45,7 @@ def text_to_rows(text: Column) -> Rows:
         return F.when(dense, tokens).otherwise(F.array(cell))
 
     def line(x: Column) -> Column:
-        cells = F.filter(F.transform(F.split(x, r"(?U)\s{2,}|\t"), F.trim), lambda c: c != "")
+        cells = F.filter(F.transform(F.split(x, r"(?U)\s{2,}|\t"), lambda c: F.trim(c)), lambda c: c != "")
         return F.flatten(F.transform(cells, spread))
 
     rows = F.filter(F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n"), line), lambda r: F.size(r) > 0)
@@ -159,7 +159,7 @@ def long_text_ratio(rows: Rows) -> Column:
 
 
 def symbolic_ratio(rows: Rows) -> Column:
-    cells = F.filter(F.transform(F.flatten(rows), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.flatten(rows), lambda c: F.trim(c)), lambda c: c != "")
     symbolic = lambda c: c.rlike(SYMBOLS) & (F.regexp_count(c, F.lit("[A-Za-z가-힣0-9]")) <= 1)
     return let(cells, lambda cs: F.when(F.size(cs) > 0, ratio(count_if(cs, symbolic), F.size(cs))).otherwise(1.0))
 
@@ -199,7 +199,7 @@ def _measures(table: Column) -> Column:
     """What the quality is made of, worked out once."""
     rows = table["rows"]
     return F.struct(
-        F.filter(F.transform(F.flatten(rows), F.trim), lambda c: c != "").alias("filled"), header_likelihood(table["headers"], F.slice(rows, 2, 1_000_000)).alias("likely"), row_stability(rows).alias("stable"), long_text_ratio(rows).alias("long"),
+        F.filter(F.transform(F.flatten(rows), lambda c: F.trim(c)), lambda c: c != "").alias("filled"), header_likelihood(table["headers"], F.slice(rows, 2, 1_000_000)).alias("likely"), row_stability(rows).alias("stable"), long_text_ratio(rows).alias("long"),
         numeric_consistency(rows, table["numeric_cols"], table["n_cols"]).alias("numeric"), symbolic_ratio(rows).alias("symbolic"), F.filter(F.transform(F.slice(rows, 2, 1_000_000), lambda r: F.trim(F.get(r, F.lit(0)))), lambda c: c != "").alias("body"),
     )
 

@@ -336,7 +336,7 @@ def absorbed_fragments(blocks: DataFrame, tiny: int = 8, reach: float = 60.0) ->
 # What the lines of plain documents look like.
 _LIST_MARK = re.compile(r"^(?:[-•*·▪○●◦]|\(?\d{1,2}[.)]|[①-⑳]|[가-하][.)])\s+")
 _META_LINE = re.compile(r"^(?:date|from|to|subject|author|version|작성일|작성자|수신|발신|제목|문서번호)\s*[:：]", re.IGNORECASE)
-_HEADER_LINE = re.compile(r"^(?:#{1,6}\s+|(?:제\s*\d+\s*[장절조])|(?:\d+(?:\.\d+){0,3}\.?\s+\S)|(?:chapter|section)\s+\d+|[IVX]+\.\s)", re.IGNORECASE)
+_HEADER_LINE = re.compile(r"^(?:#{1,6}\s+|(?:제\s*\d+\s*[장절조])|(?:\d+(?:\.\d+){0,3}\.?\s+[^\W\d_])|(?:chapter|section)\s+\d+|[IVX]+\.\s)", re.IGNORECASE)
 
 
 def line_kind(line: str) -> str:

@@ -21,16 +21,21 @@ def read_latency_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LATENCY_SCHEMA).json(path)
 
 
+def _watermarked(latency: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, on a timestamp with time zone; a batch as it is."""
+    return latency.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late) if latency.isStreaming else latency
+
+
 def tumbling(latency: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Per stage and window: events, errors, total and largest duration. Batch and stream alike; ``late`` bounds the state of a stream."""
-    rows = latency.withWatermark("timestamp", late) if latency.isStreaming else latency
+    rows = _watermarked(latency, late)
     grouped = rows.groupBy(F.window("timestamp", width).alias("w"), "stage").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"), F.sum("duration_ms").alias("total_ms"), F.max("duration_ms").alias("max_ms"))
     return grouped.select(F.col("w.start").alias("window_start"), "stage", "n", "errors", F.round("total_ms", 4).alias("total_ms"), F.round("max_ms", 4).alias("max_ms"))
 
 
 def sessions(latency: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each request between pauses of ``gap``."""
-    rows = latency.withWatermark("timestamp", late) if latency.isStreaming else latency
+    rows = _watermarked(latency, late)
     grouped = rows.groupBy(F.session_window("timestamp", gap).alias("s"), "request_id").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"))
     return grouped.select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "request_id", "n", F.round("total_ms", 4).alias("total_ms"))
 
