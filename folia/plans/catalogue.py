@@ -82,7 +82,8 @@ BLOCKS_SQL = r"""
     lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
     blocks AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(line // 20 + 1 AS INTEGER) AS page_num, CAST(line AS INTEGER) AS seq,
         CASE WHEN contains(text, '|') THEN 'table' WHEN length(text) < 24 THEN 'title' ELSE 'text' END AS type, text,
-        CASE WHEN line % 3 = 2 THEN 320.0 ELSE 50.0 END AS x0, 40.0 + (line % 20) * 36.0 AS y0, CASE WHEN line % 3 = 2 THEN 320.0 ELSE 50.0 END + least(250.0, length(text) * 2.0) AS x1, 62.0 + (line % 20) * 36.0 AS y1
+        CAST(CASE WHEN line % 3 = 2 THEN 320.0 ELSE 50.0 END AS DOUBLE) AS x0, CAST(40.0 + (line % 20) * 36.0 AS DOUBLE) AS y0,
+        CAST(CASE WHEN line % 3 = 2 THEN 320.0 ELSE 50.0 END + least(250.0, length(text) * 2.0) AS DOUBLE) AS x1, CAST(62.0 + (line % 20) * 36.0 AS DOUBLE) AS y1
         FROM lines WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')
 """
 PAGES_SQL = BLOCKS_SQL + r""", pages_ AS (SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY seq) AS text FROM blocks GROUP BY ALL)"""
@@ -295,7 +296,7 @@ def table_quality(spark, sf_dir):
     return rows.select("table_id", "t.n_rows", "t.n_cols", F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), *(F.round(F.col(f"q.{c}"), 6).alias(c) for c in ("overall", "row_stability", "header_likelihood", "empty_cell_ratio", "numeric_alignment")), TB.readiness(F.col("t"), F.col("q.reject_signals")).alias("ready"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS table_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT table_id, n + 1 AS n_rows, 5 AS n_cols, '0,1,2' AS numeric_cols, 1.0 AS row_stability FROM o""")
+@query("""WITH o AS (SELECT l_orderkey AS table_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT table_id, n + 1 AS n_rows, 5 AS n_cols, '0,1,2' AS numeric_cols, CAST(1 AS DOUBLE) AS row_stability FROM o""")
 def table_shape(spark, sf_dir):
     rows = order_tables(spark, sf_dir).select("table_id", TB.normalized(F.col("rows"), F.lit("native"), F.lit(None).cast("string")).alias("t"))
     return rows.select("table_id", F.col("t.n_rows").cast("bigint").alias("n_rows"), F.col("t.n_cols").alias("n_cols"), F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), TB.row_stability(F.col("t.rows")).alias("row_stability"))
@@ -343,7 +344,7 @@ def document_routes(spark, sf_dir):
 
 @query(f"""WITH {BLOCKS_SQL}, b AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (type = 'title') AS titles, count(*) FILTER (type = 'table') AS tables, count(*) FILTER (type = 'text') AS texts FROM blocks GROUP BY 1),
     p AS (SELECT doc_id, count(DISTINCT page_num) AS pages FROM blocks GROUP BY 1),
-    s AS (SELECT *, CASE WHEN texts > 0 THEN 1.0 ELSE 0.0 END AS single, CAST(blocks AS DOUBLE) / pages AS dense FROM b JOIN p USING (doc_id)),
+    s AS (SELECT *, CASE WHEN texts > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS single, CAST(blocks AS DOUBLE) / pages AS dense FROM b JOIN p USING (doc_id)),
     v AS (SELECT *, greatest(0, least(100, 80 + CASE WHEN single > 0.7 THEN -30 WHEN single < 0.2 THEN 10 ELSE 0 END + CASE WHEN dense > 100 THEN -20 WHEN dense > 50 THEN -10 WHEN dense < 20 THEN 5 ELSE 0 END + CASE WHEN titles > 0 THEN 5 ELSE 0 END + CASE WHEN tables > 0 THEN 5 ELSE 0 END + 5)) AS score FROM s)
     SELECT doc_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'F' END AS grade, single AS singleton_ratio, titles, tables FROM v""")
 def quality_grade(spark, sf_dir):
