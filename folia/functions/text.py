@@ -247,6 +247,34 @@ def meaningful_visual(c: Column) -> Column:
     return (F.length(c) >= 120) & ~title_only(c) & ~numeric_heavy(c) & ~boilerplate(coverage_text(c)) & (explanatory(c) | (metric_signal(c) & (sentence_parts(c) >= 2)))
 
 
+def measured(c: Column) -> Column:
+    """What the predicates above say about a text, in one struct that is worked out once per text.
+
+    n, sentences; metric, explains, numeric, dense, title, sparse, boilerplate, contact, meaningful (as ``meaningful_visual``).
+    """
+    first = F.struct(c.alias("t"), lines(c).alias("ls"), F.size(words(c)).alias("w"), sentence_parts(c).alias("s"), coverage_text(c).alias("low"), F.length(c).alias("n"))
+    return let(first, lambda a: let(_signals(a), _measures))
+
+
+def _signals(a: Column) -> Column:
+    t, low, n, n_lines = a["t"], a["low"], a["n"], F.size(a["ls"])
+    metric = low.rlike(METRIC_SIGNAL.removeprefix("(?i)"))  # the text is lower-case already
+    long, short = count_if(a["ls"], lambda x: F.length(x) >= 50), count_if(a["ls"], lambda x: F.length(x) <= 24)
+    bullets = count_if(a["ls"], lambda x: x.rlike(r"^[\-•\d]+[.)]?\s*"))
+    small = (F.length(strip(t)) <= 110) & (n_lines <= 3) & (a["w"] <= 14) & (a["s"] <= 1)
+    return F.struct(
+        n.alias("n"), a["s"].alias("sentences"), metric.alias("metric"), ((n >= 140) & ((a["s"] >= 2) | (a["w"] >= 18) | (n >= 280))).alias("explains"), numeric_heavy(t).alias("numeric"),
+        ((n_lines > 0) & ((long >= 2) | ((n >= 260) & (n_lines <= F.greatest(F.lit(4), F.floor(n / 120)))))).alias("dense"), ((n_lines == 0) | small).alias("short"),
+        ((n_lines >= 3) & ((short >= F.greatest(F.lit(3), n_lines - 1)) | (bullets >= F.greatest(F.lit(2), F.floor(n_lines / 2))))).alias("sparse"), boilerplate(low).alias("boilerplate"), contact_noise(low).alias("contact"), (n_lines == 0).alias("blank"),
+    )
+
+
+def _measures(b: Column) -> Column:
+    title = b["blank"] | (b["short"] & ~b["metric"])
+    meaningful = (b["n"] >= 120) & ~title & ~b["numeric"] & ~b["boilerplate"] & (b["explains"] | (b["metric"] & (b["sentences"] >= 2)))
+    return F.struct(*(b[k].alias(k) for k in ("n", "sentences", "metric", "explains", "numeric", "dense", "sparse", "boilerplate", "contact")), title.alias("title"), meaningful.alias("meaningful"))
+
+
 def first_answer_sentence(c: Column) -> Column:
     clean = normalize_text(F.regexp_replace(F.coalesce(c, F.lit("")), r"[#>*`_]", " "))
     return F.coalesce(F.get(F.filter(F.split(clean, r"(?<=[.!?])\s+|\n+"), lambda x: strip(x) != ""), F.lit(0)), F.lit(""))
@@ -270,7 +298,7 @@ def expected_page(query: Column) -> Column:
 
 def keyword_tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits (with inner ``.,%/-``): the keyword index's own tokens."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)[\p{L}\p{N}](?:[\p{L}\p{N}.,%/-]*[\p{L}\p{N}%])?"), 0)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}](?:[\p{L}\p{N}.,%/-]*[\p{L}\p{N}%])?"), 0)
 
 
 def token_class(token: Column) -> Column:

@@ -59,15 +59,23 @@ def support_parts() -> Column:
     return F.array_compact(F.array(*texts, F.when(F.length(md) >= 90, md), lines))
 
 
-def support_score() -> Column:
-    """How well a visual may back a text: length, sentences, metrics and rows, less for contact details."""
-    text = F.array_join(support_parts(), "\n\n")
+def support_score(text: Column) -> Column:
+    """How well a visual may back a text, from ``text``, its joined ``support_parts``: length, sentences, metrics and rows, less for contact details."""
+    return T.let(text, _support_score)
+
+
+def _support_score(text: Column) -> Column:
     rows, md = F.coalesce(F.size("key_value_rows"), F.lit(0)), T.clean_text(F.col("table_markdown"))
     tabular = T.step(rows, (4, 2), (2, 1)) + F.when((F.regexp_count(md, F.lit("\n")) >= 3) | (F.regexp_count(md, F.lit(r"\|")) >= 8), 1).otherwise(0)
     other = F.when(T.truthy(T.clean_text(F.col("chart_summary")), T.clean_text(F.col("visual_summary")), T.clean_text(F.col("caption_text"))).isNotNull(), 1).otherwise(0)
-    score = T.step(F.length(text), (120, 2), (70, 1)) + T.step(T.sentence_ends(text), (2, 2), (1, 1)) + T.step(T.metric_like(text), (4, 2), (2, 1))
-    score = score + F.when(F.col("type") == "table", tabular).otherwise(other) + T.points((T.contactish(text), -4), (F.length(text) < 45, -2))
-    return F.when(text == "", 0).otherwise(score).cast("int")
+
+    def total(m: Column) -> Column:
+        contact = (F.length(text) <= 220) & (T.contact_signals(text) >= 1) & (T.count_if(T.lines(text), lambda x: x.contains(":") | x.contains("|")) >= 1) & (m["s"] == 0) & (m["k"] <= 2)
+        score = T.step(F.length(text), (120, 2), (70, 1)) + T.step(m["s"], (2, 2), (1, 1)) + T.step(m["k"], (4, 2), (2, 1))
+        return score + F.when(F.col("type") == "table", tabular).otherwise(other) + T.points((contact, -4), (F.length(text) < 45, -2))
+
+    counts = F.struct(T.sentence_ends(text).alias("s"), T.metric_like(text).alias("k"))
+    return F.when(text == "", 0).otherwise(T.let(counts, total)).cast("int")
 
 
 def labelled_support() -> Column:
@@ -137,8 +145,9 @@ def text_first_chunks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     texts = ready.filter(F.col("type").isin(*S.TEXT_TYPES) & ~F.col("out")).select(*at, "block_id", "text", "panel", "order")
     support = (
         ready.filter(F.col("type").isin(*S.TABLE_TYPES, *S.VISUAL_TYPES) & ~F.col("out"))
-        .select(*at, F.col("block_id").alias("support_id"), "panel", "context_ids", "type", support_score().alias("score"), F.array_join(support_parts(), "\n\n").alias("support_text"), "order")
+        .withColumn("support_text", F.array_join(support_parts(), "\n\n"))
         .filter("support_text <> ''")
+        .select(*at, F.col("block_id").alias("support_id"), "panel", "context_ids", "type", support_score(F.col("support_text")).alias("score"), "support_text", "order")
     )
     members = anchor_groups(texts)
     anchors = members.groupBy(*at, "group_key").agg(F.array_sort(F.collect_list(F.struct("order", "block_id", T.clean_text(F.col("text")).alias("text")))).alias("parts")).select(

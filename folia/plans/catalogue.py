@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "documents")
+    return S.spread(S.table(spark, sf_dir, "documents"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).withColumn("coverage", F.round(retrieval.coverage_score(F.col("text"), F.col("chunk_type"), F.col("visual_type")), 6))
+    return retrieval.with_coverage(chunks(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +95,9 @@ PAGES_SQL = BLOCKS_SQL + r""", pages_ AS (SELECT doc_id, page_num, string_agg(te
 @query(f"""SELECT doc_id, length({_clean('text')}) AS clean_chars, length({_normal('text')}) AS normal_chars,
     CASE WHEN length({_normal('text')}) = 0 THEN 0 ELSE greatest(1, (length({_normal('text')}) + 3) // 4) END AS tokens, greatest(1, length({_clean('text')}) // 4) AS chunk_tokens, md5({_clean('text')}) AS digest FROM documents""")
 def clean_text_stats(spark, sf_dir):
-    clean, normal = T.clean_text(F.col("text")), T.normalize_text(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", F.length(clean).cast("bigint").alias("clean_chars"), F.length(normal).cast("bigint").alias("normal_chars"), T.estimate_tokens(normal).cast("bigint").alias("tokens"), T.chunk_tokens(clean).cast("bigint").alias("chunk_tokens"), F.md5(clean.cast("binary")).alias("digest"))
+    staged = docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean"), T.normalize_text(F.col("text")).alias("normal"))
+    clean, normal = F.col("clean"), F.col("normal")
+    return staged.select("doc_id", F.length(clean).cast("bigint").alias("clean_chars"), F.length(normal).cast("bigint").alias("normal_chars"), T.estimate_tokens(normal).cast("bigint").alias("tokens"), T.chunk_tokens(clean).cast("bigint").alias("chunk_tokens"), F.md5(clean.cast("binary")).alias("digest"))
 
 
 @query(rf"""SELECT doc_id, CASE WHEN length({_normal('text')}) <= 600 THEN {_normal('text')} ELSE regexp_replace(substr({_normal('text')}, 1, 597), '\s+$', '') || '...' END AS preview FROM documents""")
@@ -271,7 +272,7 @@ def markdown_blocks(spark, sf_dir):
 def order_tables(spark, sf_dir) -> DataFrame:
     """A table per order: its lines as rows, under a header."""
     cells = ("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
-    rows = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.array_sort(F.collect_list(F.array(*(F.col(c).cast("string") for c in cells)))).alias("data"))
+    rows = S.spread(S.table(spark, sf_dir, "lineitem")).groupBy(F.col("l_orderkey").alias("table_id")).agg(F.array_sort(F.collect_list(F.array(*(F.col(c).cast("string") for c in cells)))).alias("data"))
     head = F.array(*(F.lit(c.removeprefix("l_")) for c in cells))
     return rows.select("table_id", head.alias("headers"), F.concat(F.array(head), "data").alias("rows"))
 

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files have fewer splits than there are cores; a larger table stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_blocks(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     """Blocks of plain texts: one per non-empty line, ``lines_per_page`` to a page, laid out on an A4 page of points.
 
