@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from folia.functions import geometry as G
 from folia.functions import text as T
 
+from .retrieval import dealt
+
 AT = ["doc_id", "page_num"]
 
 
@@ -212,7 +214,7 @@ def _same(a: str, b: str) -> bool:
 
 
 def _per_page(blocks: DataFrame, step, schema: str) -> DataFrame:
-    return blocks.groupBy(*AT).applyInPandas(step, schema)
+    return dealt(blocks, *AT).groupBy(*AT).applyInPandas(step, schema)
 
 
 _SLIM = "doc_id string, page_num int, seq int, type string, bbox array<double>, text string"

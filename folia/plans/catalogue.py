@@ -427,7 +427,8 @@ def keyword_hits(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     stat = d.agg(F.count("*").alias("n"), F.avg(F.size(T.keyword_tokens(F.col("text")))).alias("mean")).first()
     queries = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25(retrieval.postings(d), queries, stat.n, float(stat.mean))
+    terms = queries.select(F.explode(T.keyword_tokens(F.col("text"))).alias("token")).distinct()
+    return retrieval.bm25(retrieval.postings(d, wanted=terms), queries, stat.n, float(stat.mean or 1.0))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc, round(s, 6) AS score, CAST(keyword_rank AS INTEGER) AS keyword_rank FROM bm")
