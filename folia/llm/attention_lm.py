@@ -11,8 +11,8 @@ With one layer and relative positions, queries, keys and values depend on a symb
 only, so they are tables and attention logits are looked up.
 
 Fitting: a warm start on the driver over a bounded sample, then rounds of local
-training on the workers over a fixed share of all training documents, averaged.
-Word counts cover all training documents.
+training on the workers, averaged; the rounds together take every training document
+once. Word and id counts cover all training documents.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ SYMBOLS, CLASSES, WIDTH, HEADS, HIDDEN = 224, 40, 24, 1, 32
 MEMBERS = 32
 #: Tokens of a window, and the new ones among them.
 CONTEXT, NEW = 12, 8
-#: Documents of the warm start at most; every SHARE-th training document trains in a round and counts ids.
-WARM_DOCS, SHARE, ROUNDS = 600, 128, 2
+#: Documents of the warm start at most; each training document then trains in one of the rounds.
+WARM_DOCS, ROUNDS = 600, 2
 #: Longest text, in characters, that the warm start draws.
 WARM_LENGTH = 20_000
 #: Words whose counts go to every worker; the others' counts are joined by shuffle.
@@ -481,12 +481,12 @@ def _local_rounds(texts: DataFrame, scorer: Scorer, rate: float) -> dict[str, np
 def fit(docs: DataFrame, total: int, path: str, id_col: str, text_col: str) -> Scorer:
     """Fit on the training documents ``docs``, of which there are ``total``."""
     texts = F.coalesce(F.col(text_col), F.lit("")).alias("__text")
-    deal = F.pmod(F.xxhash64(F.lit("lm"), F.col(id_col)), F.lit(SHARE))
+    deal = F.pmod(F.xxhash64(F.lit("lm"), F.col(id_col)), F.lit(ROUNDS))
     # about four times as many as are needed, so that what reaches the driver doesn't grow with the corpus
     odds = F.pmod(F.xxhash64(F.lit("warm"), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, 4 * WARM_DOCS / max(total, 1)) * (1 << 30))
     drawn = docs.filter(odds & (F.length(text_col) <= WARM_LENGTH)).orderBy(F.xxhash64(id_col), id_col).limit(WARM_DOCS)
     warm = [r[0].encode("utf-8") for r in drawn.select(texts).collect()]
-    code, inside, shares = _symbols(docs.filter(deal < 4).select(texts), path)
+    code, inside, shares = _symbols(docs.select(texts), path)
     scorer = Scorer(path, code, inside, initial() | {"c2": shares})
     if warm:
         made = scorer.blocks(scorer.table(), warm)[0]

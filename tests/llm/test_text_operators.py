@@ -193,6 +193,16 @@ def test_rare_words_are_counted_by_the_join(edge, tokenizer, monkeypatch):
         assert a["n_known"] == b["n_known"] and a["base_score"] == pytest.approx(b["base_score"])
 
 
+def test_every_training_document_counts_ids_and_trains_once(spark, tokenizer, monkeypatch):
+    texts = [f"document {i} tells of thing{i * i}" for i in range(60)] + ["", "long " * 5000]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "without id")], "doc_id bigint, text string")
+    want, symbols, met = sorted([*texts, "without id"]), attention_lm._symbols, {"ids": [], "rounds": []}
+    monkeypatch.setattr(attention_lm, "_symbols", lambda df, path: (met["ids"].extend(r[0] for r in df.collect()), symbols(df, path))[1])
+    monkeypatch.setattr(attention_lm, "_local_rounds", lambda df, scorer, rate: (met["rounds"].extend(r[0] for r in df.collect()), scorer.params)[1])
+    attention_lm.fit(docs, docs.count(), tokenizer, "doc_id", "text")
+    assert sorted(met["ids"]) == want and sorted(met["rounds"]) == want
+
+
 def test_attention_model_is_causal_proper_and_its_gradient_right():
     A = attention_lm
     rng = np.random.default_rng(0)
