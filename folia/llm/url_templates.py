@@ -2,9 +2,9 @@
 
 Per host, paths form a tree of segments. Segments that are plainly identifiers turn
 into typed wildcards at once, which folds the urls into few (host, path) rows.
-Then, level by level: a node with many children generalises them all to ``*``, and
-children whose labelled purity doesn't differ significantly from their siblings'
-merge into ``*``. A template is rejected when its smoothed share of bad labels, with
+Then, level by level: children whose labelled purity doesn't differ significantly
+from their siblings' merge into ``*``; of a node with many children also those with
+too few labels to tell. A template is rejected when its smoothed share of bad labels, with
 its host and the whole table as priors, exceeds a threshold.
 """
 
@@ -17,6 +17,8 @@ from . import common
 
 #: A node with more children than this has a variable segment there.
 MANY_CHILDREN = 16
+#: Labelled urls from which a child of such a node is tested, not merged at once.
+LEAST_LABELLED = 5
 #: Segments that a template tells apart; what follows is ``**``.
 DEPTH = 6
 #: Weight of the prior, in labelled urls, and the bad share above which a template is rejected.
@@ -82,7 +84,8 @@ def generalised(shapes: DataFrame) -> DataFrame:
         share = (F.col("t_bad") + 1) / (F.col("t_labelled") + 2)
         error = F.sqrt(share * (1 - share) / F.greatest("c_labelled", F.lit(1)))
         alike = (F.col("c_labelled") == 0) | (F.abs(F.col("c_bad") / F.greatest("c_labelled", F.lit(1)) - share) <= DIFFERENT * error)
-        merged = (F.col("c") > 1) & ((F.col("c") > MANY_CHILDREN) | alike) & ~F.col("segment").isin("", "**")
+        few = (F.col("c") > MANY_CHILDREN) & (F.col("c_labelled") < LEAST_LABELLED)
+        merged = (F.col("c") > 1) & (alike | few) & ~F.col("segment").isin("", "**")
         chosen = children.join(nodes, ["host", "template"]).select("host", "template", "segment", F.when(merged, F.lit("*")).otherwise(F.col("segment")).alias("kept"))
         step = here.join(chosen, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "kept")))
         now = common.stored(step.select(*shapes.columns, "template"), "templates")

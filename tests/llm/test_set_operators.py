@@ -242,6 +242,17 @@ def test_bad_templates_are_rejected_and_others_not(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_a_bad_section_is_kept_apart_at_any_fan_out(spark):
+    for sections in (10, 40):
+        rows = [(s * 1000 + i, f"http://h/s{chr(97 + s % 26)}{chr(97 + s // 26)}/{i}", 0) for s in range(sections) for i in range(50)]
+        rows += [(900_000 + i, f"http://h/spam/{i}", 1) for i in range(200)] + [(990_000, "http://h/once/1", 1)]
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
+        got = {r.page_id: r for r in url_templates.verdicts(pages, {}, pages.select(F.col("page_id").alias("label_key"), "bad"), F.col("page_id")).collect()}
+        assert {(got[i].template, got[i].verdict) for i in range(900_000, 900_200)} == {("/spam/<n>", "block")}
+        assert {got[s * 1000].verdict for s in range(sections)} == {"allow"}
+    assert got[990_000].template == "/*/<n>"
+
+
 @pytest.fixture(scope="module")
 def staged(spark, small):
     docs, out = common.table(spark, small, "documents"), {}
