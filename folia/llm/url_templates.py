@@ -10,6 +10,8 @@ its host and the whole table as priors, exceeds a threshold.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,6 @@ from . import common
 MANY_CHILDREN = 16
 #: Labelled urls from which a child of such a node is tested, not merged at once.
 LEAST_LABELLED = 5
-#: Segments that a template tells apart; what follows is ``**``.
-DEPTH = 6
 #: Weight of the prior, in labelled urls, and the bad share above which a template is rejected.
 PRIOR, REJECT = 10.0, 0.5
 #: Standard errors by which a branch's bad share differs significantly from its siblings'.
@@ -68,28 +68,34 @@ def folded(urls: DataFrame) -> DataFrame:
 
 
 def shape_of(path: Column) -> Column:
-    """A path with its identifiers typed and its deeper part as ``**``."""
-    parts = F.transform(F.slice(F.split(path, "/"), 2, DEPTH), typed_segment)
-    return F.concat(F.array_join(parts, "/"), F.when(F.size(F.split(path, "/")) > DEPTH + 1, F.lit("/**")).otherwise(F.lit("")))
+    """A path with its identifiers typed."""
+    parts = F.split(path, "/")
+    return F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), typed_segment), "/")
 
 
 def generalised(shapes: DataFrame) -> DataFrame:
     """``shapes`` with ``template``: level by level, variable and statistically similar branches become ``*``."""
-    deepest = shapes.agg(F.max(F.size(F.split("shape", "/")))).first()[0] or 0
-    now = shapes.withColumn("template", F.lit(""))
-    for level in range(min(deepest, DEPTH + 1)):
-        here = now.withColumn("segment", F.get(F.split("shape", "/"), F.lit(level)))
-        children = here.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad"))
+    now, done, level, parts = shapes.withColumn("template", F.lit("")), [], 0, F.split("shape", "/")
+    while not now.isEmpty():
+        here = now.withColumn("segment", F.get(parts, F.lit(level)))
+        children = here.groupBy("host", "template", "segment").agg(F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad"), F.count("*").alias("c_shapes"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("c"), F.sum("c_labelled").alias("t_labelled"), F.sum("c_bad").alias("t_bad"))
         share = (F.col("t_bad") + 1) / (F.col("t_labelled") + 2)
         error = F.sqrt(share * (1 - share) / F.greatest("c_labelled", F.lit(1)))
         alike = (F.col("c_labelled") == 0) | (F.abs(F.col("c_bad") / F.greatest("c_labelled", F.lit(1)) - share) <= DIFFERENT * error)
         few = (F.col("c") > MANY_CHILDREN) & (F.col("c_labelled") < LEAST_LABELLED)
-        merged = (F.col("c") > 1) & (alike | few) & ~F.col("segment").isin("", "**")
-        chosen = children.join(nodes, ["host", "template"]).select("host", "template", "segment", F.when(merged, F.lit("*")).otherwise(F.col("segment")).alias("kept"))
-        step = here.join(chosen, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "kept")))
-        now = common.stored(step.select(*shapes.columns, "template"), "templates")
-    return now
+        merged = (F.col("c") > 1) & (alike | few) & (F.col("segment") != "")
+        kept = F.when(merged, F.lit("*")).otherwise(F.col("segment"))
+        # a branch of one shape has nothing left to merge and ends here, so only shared branches cost further levels
+        alone = (F.col("c_shapes") == 1) & (kept != "*")
+        chosen = children.join(nodes, ["host", "template"]).select("host", "template", "segment", kept.alias("kept"), alone.alias("alone"))
+        rest = F.array_join(F.slice(parts, level + 1, F.size(parts)), "/")
+        step = here.join(chosen, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("kept"))))
+        level += 1
+        made = common.stored(step.select(*shapes.columns, "template", (F.col("alone") | (F.size(parts) <= level)).alias("ended")), "templates")
+        done.append(made.filter("ended").drop("ended"))
+        now = made.filter("not ended").drop("ended")
+    return reduce(DataFrame.unionByName, done) if done else now
 
 
 def judged_templates(shapes: DataFrame) -> DataFrame:

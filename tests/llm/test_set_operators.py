@@ -253,6 +253,16 @@ def test_a_bad_section_is_kept_apart_at_any_fan_out(spark):
     assert got[990_000].template == "/*/<n>"
 
 
+def test_branches_are_told_apart_at_any_depth(spark):
+    deep = "/a/b/c/d/e/f/g/h"
+    rows = [(i, f"http://h{deep}/{'ads' if i % 2 else 'story'}/x/{i}", i % 2) for i in range(200)] + [(500, "http://g" + "/only" * 300, None), (501, "http://h" + deep, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
+    labels = pages.filter("bad is not null").select(F.col("page_id").alias("label_key"), "bad")
+    got = {r.page_id: r for r in url_templates.verdicts(pages, {}, labels, F.col("page_id")).collect()}
+    assert {(got[i].template, got[i].verdict) for i in range(200)} == {(f"{deep}/ads/x/<n>", "block"), (f"{deep}/story/x/<n>", "allow")}
+    assert got[500].template == "/only" * 300 and got[501].template == deep and len(got) == len(rows)
+
+
 @pytest.fixture(scope="module")
 def staged(spark, small):
     docs, out = common.table(spark, small, "documents"), {}
