@@ -3,6 +3,8 @@
 Texts become templates: numbers, units and names turn into typed placeholders whose
 values are kept as slots; other words are lower-cased and stripped of punctuation.
 Windows of a benchmark item's template are hash-joined with the documents' windows.
+An amount with a sign or unit attached counts as two words, and a capitalised word
+that begins a sentence or line is tried both as a word and as a name.
 A run of matches with one offset must be slot-consistent: each value of the item
 stands against one value of the document everywhere, and the other way round. So a
 question with other numbers or names is found, and chance fits of placeholders
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,65 +34,103 @@ LEAST_ITEM = 6
 COVERAGE = 0.5
 #: Literal words that a window of an item has at least; others say too little.
 LEAST_LITERAL = 4
+#: The same where open words are taken as names.
+LEAST_BESIDE_NAMES = 3
 
 # Units of measure that follow or end a number.
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms h min kb mb gb tb hz khz mhz ghz w kw v kv a j kj pa bar mph kph ft in yd mi lb lbs oz usd eur gbp % $ € £ percent dollars euros pounds meters metres miles hours minutes seconds days weeks months years".split())
 # Number words.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion".split())
 
-_LITERAL, _NUMBER, _UNIT, _TITLE = range(4)
+#: Most words of a window that may be a word or a name and are tried in every combination; of more, all as words and all as names.
+MOST_OPEN = 3
+
+_LITERAL, _NUMBER, _UNIT, _TITLE, _OPEN = range(5)
 _NUMBER_RE = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?")
+_AMOUNT_RE = re.compile(r"([+-]?)([$€£]?)([+-]?\d(?:[\d.,:/]*\d)?)-?([^\W\d_]+|[%$€£])?")
 _EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’¿¡…*_#-–—"
 _PLACEHOLDER = {_NUMBER: 0xA11CE5ED00000001, _UNIT: 0xA11CE5ED00000002, _TITLE: 0xA11CE5ED00000003}
 
 
-class _Lexicon(dict):
-    """Kind, hash and value of a word, and whether a sentence ends with it; remembered for up to 200,000 words."""
+def _split_amount(bare: str) -> list[str] | None:
+    """Sign of currency, number and unit of an amount that is written as one word; None for other words."""
+    found = _AMOUNT_RE.fullmatch(bare)
+    if not found or not (found[2] or found[4]) or (found[4] and found[4].lower() not in UNITS):
+        return None
+    return [x for x in (found[2], found[1] + found[3], found[4]) if x]
 
-    def __missing__(self, word: bytes) -> tuple[int, int, str, bool]:
-        import hashlib
 
+class _Lexicon(dict):
+    """(kind, hash, value, whether a sentence ends with it) of each part of a word; remembered for up to 200,000 words."""
+
+    def __missing__(self, word: bytes) -> list[tuple[int, int, str, bool]]:
         text = word.decode("utf-8", "replace")
         bare = text.strip(_EDGES) or text
+        end = text.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":")
+        parts = None if _NUMBER_RE.fullmatch(bare) else _split_amount(bare)
+        got = [self._part(p, False) for p in parts[:-1]] + [self._part(parts[-1], end)] if parts else [self._part(bare, end)]
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = got
+        return got
+
+    @staticmethod
+    def _part(bare: str, end: bool) -> tuple[int, int, str, bool]:
+        import hashlib
+
         low = bare.lower()
-        if _NUMBER_RE.fullmatch(bare) or low in NUMBER_WORDS:
+        if _NUMBER_RE.fullmatch(bare) or all(x in NUMBER_WORDS for x in low.split("-")):
             kind = _NUMBER
         elif low in UNITS:
             kind = _UNIT
         else:
             kind = _TITLE if len(bare) > 1 and bare[0].isupper() and bare[1:].islower() else _LITERAL
-        got = (kind, int.from_bytes(hashlib.blake2b(low.encode("utf-8"), digest_size=8).digest(), "little"), low, text.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":"))
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = got
-        return got
+        return kind, int.from_bytes(hashlib.blake2b(low.encode("utf-8"), digest_size=8).digest(), "little"), low, end
 
 
 class Template:
-    """The canonical words of one text: ``hashes``, ``literal`` flags, ``values`` and ``kinds``."""
+    """The canonical words of one text: ``values``, ``kinds``, and the hashes with open words as literals (``hashes``) and as names (``named``)."""
 
     def __init__(self, text: bytes, lexicon: _Lexicon):
         kinds, hashes, self.values, ends = [], [], [], True
         add_kind, add_hash, add_value = kinds.append, hashes.append, self.values.append
         for line in text.split(b"\n"):
-            ends = True  # a capital that begins a line or sentence is no name
-            for kind, code, value, end in map(lexicon.__getitem__, line.split()):
+            ends = True  # a capital that begins a line or sentence may be a name or not
+            for kind, code, value, end in chain.from_iterable(map(lexicon.__getitem__, line.split())):
                 if kind == _TITLE and ends:
-                    kind = _LITERAL
+                    kind = _OPEN
                 add_kind(kind)
-                add_hash(code if kind == _LITERAL else _PLACEHOLDER[kind])
+                add_hash(code if kind == _LITERAL or kind == _OPEN else _PLACEHOLDER[kind])
                 add_value(value)
                 ends = end
         self.kinds = np.array(kinds, dtype=np.int8)
-        self.hashes = mix(np.array(hashes, dtype=U))
-
-    def windows(self, k: int) -> np.ndarray:
-        found, _ = windows(self.hashes, np.zeros(len(self.hashes), dtype=np.int8), k)
-        return found.view(np.int64)
-
-    def slots(self, at: int, k: int) -> list[tuple[int, str]]:
+        plain = np.array(hashes, dtype=U)
+        self.hashes = mix(plain)
+        self.open = self.kinds == _OPEN
+        self.named = mix(np.where(self.open, U(_PLACEHOLDER[_TITLE]), plain)) if self.open.any() else self.hashes
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first word, and mask of the open words taken as names (bit j: the window's word j), of each form of each window."""
+        none = np.zeros(len(self.hashes), dtype=np.int8)
+        found, at = windows(self.hashes, none, k)
+        forms = [(found.view(np.int64), at, np.zeros(len(at), dtype=np.int64))]
+        if len(at) and self.open.any():
+            before = np.concatenate(([0], np.cumsum(self.open)))
+            count = before[k:] - before[:-k]
+            own = np.array([self.open[j : j + len(at)] for j in range(k)]).T.astype(np.int64) @ (1 << np.arange(k))
+            some = np.flatnonzero(count)
+            forms.append((windows(self.named, none, k)[0].view(np.int64)[some], some, own[some]))
+            for place in np.flatnonzero((count > 1) & (count <= MOST_OPEN)).tolist():
+                mask = full = int(own[place])
+                while mask := (mask - 1) & full:
+                    named = np.array([mask >> j & 1 for j in range(k)], dtype=bool)
+                    mixed = np.where(named, self.named[place : place + k], self.hashes[place : place + k])
+                    forms.append((windows(mixed, none[:k], k)[0].view(np.int64), np.array([place]), np.array([mask])))
+        return tuple(np.concatenate(x) for x in zip(*forms, strict=True))
+
+    def slots(self, at: int, k: int, named: int = 0) -> list[tuple[int, str]]:
         """(offset, value) of the placeholders of a window."""
-        return [(j, self.values[at + j]) for j in range(k) if self.kinds[at + j] != _LITERAL]
+        return [(j, self.values[at + j]) for j in range(k) if (kind := self.kinds[at + j]) != _LITERAL and (kind != _OPEN or named >> j & 1)]
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -107,12 +148,11 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                 k = min(WINDOW, len(t.hashes))
                 if item is None or k < LEAST_ITEM:
                     continue
-                literal = np.cumsum(np.concatenate(([0], t.kinds == _LITERAL)))
-                found = t.windows(k)
-                good = np.flatnonzero(literal[k:] - literal[:-k] >= LEAST_LITERAL)
-                for at in good.tolist():
-                    slots = t.slots(at, k)
-                    for column, value in zip(out, (item, k, len(good), int(found[at]), at, [s[0] for s in slots], [s[1] for s in slots]), strict=True):
+                forms = [(code, at, t.slots(at, k, named), LEAST_BESIDE_NAMES if named else LEAST_LITERAL) for code, at, named in zip(*(x.tolist() for x in t.windows(k)), strict=True)]
+                good = [f for f in forms if k - len(f[2]) >= f[3]]
+                total = len({f[1] for f in good})
+                for code, at, slots, _ in good:
+                    for column, value in zip(out, (item, k, total, code, at, [s[0] for s in slots], [s[1] for s in slots]), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "size", "total", "hash", "at", "offsets", "values"])
@@ -163,13 +203,13 @@ def _by_broadcast(docs: DataFrame, index: DataFrame, coverage: float) -> DataFra
                 t = Template(text, lexicon)
                 hits: dict[tuple, list] = defaultdict(list)
                 for k in sizes:
-                    found = t.windows(k)
+                    found, places, named = t.windows(k)
                     left = np.searchsorted(keys, found)
                     known = np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == found)) if len(keys) else []
-                    for place in map(int, known):
-                        n = int(left[place])
-                        own = [v for _, v in t.slots(place, k)]
-                        while n < len(keys) and keys[n] == found[place]:
+                    for form in map(int, known):
+                        n, place = int(left[form]), int(places[form])
+                        own = [v for _, v in t.slots(place, k, int(named[form]))]
+                        while n < len(keys) and keys[n] == found[form]:
                             item, size, total, at, given = entries[n]
                             if size == k:
                                 hits[item, total].append((place, at, own, given))
@@ -193,12 +233,12 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
             for doc, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
                 t = Template(text, lexicon)
                 for k in sizes:
-                    found = t.windows(k)
+                    found, places, named = t.windows(k)
                     for a in range(0, len(found), 5000):
                         b = min(a + 5000, len(found))
-                        own = [[v for _, v in t.slots(p, k)] for p in range(a, b)]
+                        own = [[v for _, v in t.slots(p, k, m)] for p, m in zip(places[a:b].tolist(), named[a:b].tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([doc] * (b - a), pa.int64()), pa.array(range(a, b), pa.int32()), pa.array([k] * (b - a), pa.int32()), pa.array(found[a:b]), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "place", "size", "hash", "own"]
+                            [pa.array([doc] * (b - a), pa.int64()), pa.array(places[a:b], pa.int32()), pa.array([k] * (b - a), pa.int32()), pa.array(found[a:b]), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "place", "size", "hash", "own"]
                         )
 
     pieces = common.map_batches(docs, cut, "doc_id bigint, place int, size int, hash bigint, own array<string>")

@@ -121,6 +121,19 @@ def test_leaks_verbatim_and_reparameterised(spark, edge, empty):
     assert decontaminate.decontaminated(edge, bench).count() == edge.count()
 
 
+def test_attached_units_number_words_and_names_at_a_sentence_start(spark):
+    pairs = [
+        ("the shop sells the coat for $200 and takes 15% off on days when 5kg of wool came in", "the shop sells the coat for €350 and takes 20% off on days when 7kg of wool came in"),
+        ("there were nineteen boys and twenty-five girls who sang together while sixty old men slept", "there were fourteen boys and thirty-one girls who sang together while ninety old men slept"),
+        ("Alice has 12 apples. Alice gives Bob 5. Alice eats 2. Alice then sells all the rest today.", "Maria has 15 apples. Maria gives Tom 7. Maria eats 3. Maria then sells all the rest today."),
+    ]
+    bench = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"so it is. {b} and so on") for i, (_, b) in enumerate(pairs)] + [(10 + i, f"so it is. {a} and so on") for i, (a, _) in enumerate(pairs)], "doc_id bigint, text string")
+    for rows in (1000, 0):
+        got = {(r.doc_id, r.item_id, r.same_values) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()}
+        assert got == {(i, i, False) for i in range(3)} | {(10 + i, i, True) for i in range(3)}
+
+
 def test_benchmark_passages_are_found_and_only_they(spark, small):
     docs, bench = common.table(spark, small, "documents"), common.table(spark, small, "benchmark")
     items = {r.item_id: " ".join(r.text.lower().split()) for r in bench.collect()}
