@@ -28,7 +28,7 @@ from .wordhash import U, mix, windows
 
 #: Words of a window; a shorter item is one window of its own length.
 WINDOW = 8
-#: Shortest item, in words, that is looked for.
+#: Shortest item, in words, that is looked for as a template; a shorter one is looked for word by word.
 LEAST_ITEM = 6
 #: Share of an item's windows that a leaking document holds at least.
 COVERAGE = 0.5
@@ -60,6 +60,10 @@ def _split_amount(bare: str) -> list[str] | None:
     return [x for x in (found[2], found[1] + found[3], found[4]) if x]
 
 
+#: Keeps the hashes of exact windows apart from those of templates.
+_EXACT = U(0x5EEDE4AC7)
+
+
 class _Lexicon(dict):
     """(kind, hash, value, whether a sentence ends with it) of each part of a word; remembered for up to 200,000 words."""
 
@@ -92,13 +96,14 @@ class Template:
     """The canonical words of one text: ``values``, ``kinds``, and the hashes with open words as literals (``hashes``) and as names (``named``)."""
 
     def __init__(self, text: bytes, lexicon: _Lexicon):
-        kinds, hashes, self.values, ends = [], [], [], True
-        add_kind, add_hash, add_value = kinds.append, hashes.append, self.values.append
+        kinds, hashes, codes, self.values, ends = [], [], [], [], True
+        add_code, add_kind, add_hash, add_value = codes.append, kinds.append, hashes.append, self.values.append
         for line in text.split(b"\n"):
             ends = True  # a capital that begins a line or sentence may be a name or not
             for kind, code, value, end in chain.from_iterable(map(lexicon.__getitem__, line.split())):
                 if kind == _TITLE and ends:
                     kind = _OPEN
+                add_code(code)
                 add_kind(kind)
                 add_hash(code if kind == _LITERAL or kind == _OPEN else _PLACEHOLDER[kind])
                 add_value(value)
@@ -106,12 +111,19 @@ class Template:
         self.kinds = np.array(kinds, dtype=np.int8)
         plain = np.array(hashes, dtype=U)
         self.hashes = mix(plain)
+        self.codes = np.array(codes, dtype=U)
         self.open = self.kinds == _OPEN
         self.named = mix(np.where(self.open, U(_PLACEHOLDER[_TITLE]), plain)) if self.open.any() else self.hashes
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first word, and mask of the open words taken as names (bit j: the window's word j), of each form of each window."""
+        """Hash, first word, and mask of the open words taken as names (bit j: the window's word j), of each form of each window.
+
+        ``-k``: windows of ``k`` words as they are, without placeholders.
+        """
         none = np.zeros(len(self.hashes), dtype=np.int8)
+        if k < 0:
+            found, at = windows(mix(self.codes ^ _EXACT), none, -k)
+            return found.view(np.int64), at, np.zeros(len(at), dtype=np.int64)
         found, at = windows(self.hashes, none, k)
         forms = [(found.view(np.int64), at, np.zeros(len(at), dtype=np.int64))]
         if len(at) and self.open.any():
@@ -129,14 +141,15 @@ class Template:
         return tuple(np.concatenate(x) for x in zip(*forms, strict=True))
 
     def slots(self, at: int, k: int, named: int = 0) -> list[tuple[int, str]]:
-        """(offset, value) of the placeholders of a window."""
+        """(offset, value) of the placeholders of a window; none for a negative ``k``."""
         return [(j, self.values[at + j]) for j in range(k) if (kind := self.kinds[at + j]) != _LITERAL and (kind != _OPEN or named >> j & 1)]
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, size, total, hash, at, offsets, values``: the windows of the items that are long enough.
+    """``item_id, size, total, hash, at, offsets, values``: the windows of the items.
 
-    ``size``: words of the window; ``total``: the item's windows that say enough.
+    ``size``: words of the window, negative where it is looked for without
+    placeholders; ``total``: the item's windows that say enough, or all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +159,13 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             for item, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
                 t = Template(text, lexicon)
                 k = min(WINDOW, len(t.hashes))
-                if item is None or k < LEAST_ITEM:
+                if item is None or not k:
                     continue
                 forms = [(code, at, t.slots(at, k, named), LEAST_BESIDE_NAMES if named else LEAST_LITERAL) for code, at, named in zip(*(x.tolist() for x in t.windows(k)), strict=True)]
                 good = [f for f in forms if k - len(f[2]) >= f[3]]
+                if k < LEAST_ITEM or not good:  # says too little as a template: all its words are looked for
+                    k = -k
+                    good = [(code, at, [], 0) for code, at in zip(*(x.tolist() for x in t.windows(k)[:2]), strict=True)]
                 total = len({f[1] for f in good})
                 for code, at, slots, _ in good:
                     for column, value in zip(out, (item, k, total, code, at, [s[0] for s in slots], [s[1] for s in slots]), strict=True):
@@ -161,6 +177,14 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return common.map_batches(benchmark.select(F.col(id_col).cast("bigint"), text_col), run, schema)
 
 
+def whole_copy(hits: list[tuple[int, int, list[str], list[str]]], total: int) -> tuple[int, bool]:
+    """As ``consistent_cover``, for exact windows: ``total`` if one run holds them all, else 0."""
+    runs: dict[int, set] = defaultdict(set)
+    for place, at, _, _ in hits:
+        runs[place - at].add(at)
+    return (total if any(len(run) == total for run in runs.values()) else 0), True
+
+
 def consistent_cover(hits: Iterable[tuple[int, int, list[str], list[str]]]) -> tuple[int, bool]:
     """From (place in the document, place in the item, document's values, item's values) of an item's matches in one
     document: the item's windows covered by consistent runs, and whether all their values are the item's own."""
@@ -212,10 +236,10 @@ def _by_broadcast(docs: DataFrame, index: DataFrame, coverage: float) -> DataFra
                         while n < len(keys) and keys[n] == found[form]:
                             item, size, total, at, given = entries[n]
                             if size == k:
-                                hits[item, total].append((place, at, own, given))
+                                hits[item, size < 0, total].append((place, at, own, given))
                             n += 1
-                for (item, total), found_hits in hits.items():
-                    n, same = consistent_cover(found_hits)
+                for (item, exact, total), found_hits in hits.items():
+                    n, same = whole_copy(found_hits, total) if exact else consistent_cover(found_hits)
                     if n and n >= coverage * total:
                         rows.append((doc, item, n, n / total, same))
             yield _leak_batch(rows)
@@ -225,7 +249,7 @@ def _by_broadcast(docs: DataFrame, index: DataFrame, coverage: float) -> DataFra
 
 def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame:
     """The same join for item windows beyond the broadcast bound: both sides are dealt by hash."""
-    sizes = [r[0] for r in index.select("size").distinct().collect()]  # at most WINDOW - LEAST_ITEM + 1 values
+    sizes = [r[0] for r in index.select("size").distinct().collect()]  # at most 2 * WINDOW values
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _Lexicon()
@@ -242,13 +266,14 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
                         )
 
     pieces = common.map_batches(docs, cut, "doc_id bigint, place int, size int, hash bigint, own array<string>")
-    met = pieces.join(index, ["hash", "size"]).groupBy("doc_id", "item_id", "total").agg(F.collect_list(F.struct("place", "at", "own", F.col("values").alias("given"))).alias("hits"))
+    met = pieces.join(index, ["hash", "size"]).groupBy("doc_id", "item_id", (F.col("size") < 0).alias("exact"), "total").agg(F.collect_list(F.struct("place", "at", "own", F.col("values").alias("given"))).alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, item, total, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, same = consistent_cover((h["place"], h["at"], h["own"], h["given"]) for h in hits)
+            for doc, item, exact, total, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows_of = [(h["place"], h["at"], h["own"], h["given"]) for h in hits]
+                n, same = whole_copy(rows_of, total) if exact else consistent_cover(rows_of)
                 if n and n >= coverage * total:
                     rows.append((doc, item, n, n / total, same))
             yield _leak_batch(rows)
@@ -260,7 +285,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
     """``doc_id, item_id, windows, coverage, same_values``: each document that holds at least ``coverage`` of an item's windows.
 
     same_values: verbatim; else re-parameterised. Null and empty texts hold nothing,
-    items under six words or with a null id aren't looked for. Repeated rows give
+    items without words or with a null id aren't looked for; those under six words or
+    without a window that says enough only as a whole, word by word. Repeated rows give
     repeated results, null document ids come back null. Other columns aren't read.
     """
     index = common.stored(item_windows(benchmark), "items")

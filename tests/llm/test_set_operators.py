@@ -134,6 +134,15 @@ def test_attached_units_number_words_and_names_at_a_sentence_start(spark):
         assert got == {(i, i, False) for i in range(3)} | {(10 + i, i, True) for i in range(3)}
 
 
+def test_copies_of_short_and_unspecific_items_are_found(spark):
+    items = ["Who wrote Pride and Prejudice?", "3 4 5 12 30 42 7 8 15", "Paris London Berlin Rome Madrid Vienna Oslo Bern Prague Dublin", "too short"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [f"so it was. {i} and more" for i in items] + ["Who wrote Emma and Prejudice?", "3 4 5 12 30 42 7 8 16", "Paris London Berlin Rome Madrid Vienna Oslo Bern Prague x Prague Dublin", "too very short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for rows in (1000, 0):
+        assert {(r.doc_id, r.item_id, r.same_values) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()} == {(i, i, True) for i in range(4)}
+
+
 def test_benchmark_passages_are_found_and_only_they(spark, small):
     docs, bench = common.table(spark, small, "documents"), common.table(spark, small, "benchmark")
     items = {r.item_id: " ".join(r.text.lower().split()) for r in bench.collect()}
