@@ -5,16 +5,16 @@ values are kept as slots; other words are lower-cased and stripped of punctuatio
 Windows of a benchmark item's template are hash-joined with the documents' windows.
 An amount with a sign or unit attached counts as two words, and a capitalised word
 that begins a sentence or line is tried both as a word and as a name.
-A run of matches with one offset must be slot-consistent: each value of the item
-stands against one value of the document everywhere, and the other way round. So a
-question with other numbers or names is found, and chance fits of placeholders
-aren't.
+In a run of matches with one offset, windows with the item's own values count, and
+others if they are slot-consistent: each value of the item stands against one value
+of the document, the one most windows give, and few values share one. So a question
+with other numbers or names is found, and chance fits of placeholders aren't.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -45,6 +45,9 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 #: Most words of a window that may be a word or a name and are tried in every combination; of more, all as words and all as names.
 MOST_OPEN = 3
 
+#: Values of an item that may stand against one value of a document; of more, only the best attested does.
+MOST_MERGED = 2
+
 _LITERAL, _NUMBER, _UNIT, _TITLE, _OPEN = range(5)
 _NUMBER_RE = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?")
 _AMOUNT_RE = re.compile(r"([+-]?)([$€£]?)([+-]?\d(?:[\d.,:/]*\d)?)-?([^\W\d_]+|[%$€£])?")
@@ -187,17 +190,33 @@ def whole_copy(hits: list[tuple[int, int, list[str], list[str]]], total: int) ->
 
 def consistent_cover(hits: Iterable[tuple[int, int, list[str], list[str]]]) -> tuple[int, bool]:
     """From (place in the document, place in the item, document's values, item's values) of an item's matches in one
-    document: the item's windows covered by consistent runs, and whether all their values are the item's own."""
+    document: the item's windows that are covered, and whether all their values are the item's own.
+
+    In a run, windows with the item's own values always count; others where each value of the item stands against the
+    document's value that most windows give it.
+    """
     runs: dict[int, list] = defaultdict(list)
     for place, at, own, given in hits:
-        runs[place - at].append((at, own, given))
+        runs[place - at].append((at, set(zip(given, own, strict=True))))
     covered: set[int] = set()
     same = True
     for run in runs.values():
-        pairs = {(g, o) for _, own, given in run for g, o in zip(given, own, strict=True)}
-        if len(pairs) == len({g for g, _ in pairs}) == len({o for _, o in pairs}):
-            covered.update(at for at, _, _ in run)
-            same &= all(g == o for g, o in pairs)
+        votes: Counter = Counter(pair for _, pairs in run for pair in pairs)
+        chosen: dict[str, str] = {}
+        users: dict[str, list[str]] = defaultdict(list)
+        for (given, own), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+            if given not in chosen:
+                chosen[given] = own
+                users[own].append(given)
+        for own, several in users.items():
+            if len(several) > MOST_MERGED:
+                for given in several[1:]:
+                    del chosen[given]
+        for at, pairs in run:
+            verbatim = all(g == o for g, o in pairs)
+            if verbatim or all(chosen.get(g) == o for g, o in pairs):
+                covered.add(at)
+                same &= verbatim
     return len(covered), same
 
 

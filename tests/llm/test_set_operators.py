@@ -143,6 +143,15 @@ def test_copies_of_short_and_unspecific_items_are_found(spark):
         assert {(r.doc_id, r.item_id, r.same_values) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()} == {(i, i, True) for i in range(4)}
 
 
+def test_windows_are_judged_not_whole_runs():
+    run = [(100 + at, at, [value], ["12"]) for at, value in enumerate(["12"] * 20 + ["13"] * 8)]
+    assert decontaminate.consistent_cover(run) == (20, True)
+    merged = [(100 + at, at, ["5"], [given]) for at, given in enumerate(["3"] * 4 + ["4"] * 4)]
+    assert decontaminate.consistent_cover(merged) == (8, False)
+    chance = [(100 + at, at, ["5"], [given]) for at, given in enumerate("34678")]
+    assert decontaminate.consistent_cover(chance) == (1, False)
+
+
 def test_benchmark_passages_are_found_and_only_they(spark, small):
     docs, bench = common.table(spark, small, "documents"), common.table(spark, small, "benchmark")
     items = {r.item_id: " ".join(r.text.lower().split()) for r in bench.collect()}
