@@ -267,13 +267,17 @@ def _by_broadcast(docs: DataFrame, index: DataFrame, coverage: float) -> DataFra
 
 
 def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame:
-    """The same join for item windows beyond the broadcast bound: both sides are dealt by hash."""
+    """The same join for item windows beyond the broadcast bound: both sides are dealt by hash.
+
+    The documents are written first, so that a row keeps its key when a task runs again.
+    """
+    rows = common.stored(docs, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     sizes = [r[0] for r in index.select("size").distinct().collect()]  # at most 2 * WINDOW values
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _Lexicon()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2)), strict=True):
                 t = Template(text, lexicon)
                 for k in sizes:
                     found, places, named = t.windows(k)
@@ -281,11 +285,11 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
                         b = min(a + 5000, len(found))
                         own = [[v for _, v in t.slots(p, k, m)] for p, m in zip(places[a:b].tolist(), named[a:b].tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([doc] * (b - a), pa.int64()), pa.array(places[a:b], pa.int32()), pa.array([k] * (b - a), pa.int32()), pa.array(found[a:b]), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "place", "size", "hash", "own"]
+                            [pa.array([row] * (b - a), pa.int64()), pa.array([doc] * (b - a), pa.int64()), pa.array(places[a:b], pa.int32()), pa.array([k] * (b - a), pa.int32()), pa.array(found[a:b]), pa.array(own, pa.list_(pa.string()))], names=["row", "doc_id", "place", "size", "hash", "own"]
                         )
 
-    pieces = common.map_batches(docs, cut, "doc_id bigint, place int, size int, hash bigint, own array<string>")
-    met = pieces.join(index, ["hash", "size"]).groupBy("doc_id", "item_id", (F.col("size") < 0).alias("exact"), "total").agg(F.collect_list(F.struct("place", "at", "own", F.col("values").alias("given"))).alias("hits"))
+    pieces = common.map_batches(rows, cut, "row bigint, doc_id bigint, place int, size int, hash bigint, own array<string>")
+    met = pieces.join(index, ["hash", "size"]).groupBy("row", "doc_id", "item_id", (F.col("size") < 0).alias("exact"), "total").agg(F.collect_list(F.struct("place", "at", "own", F.col("values").alias("given"))).alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +301,7 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
                     rows.append((doc, item, n, n / total, same))
             yield _leak_batch(rows)
 
-    return common.map_batches(met, judge, _LEAKS)
+    return common.map_batches(met.drop("row"), judge, _LEAKS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:

@@ -152,6 +152,16 @@ def test_windows_are_judged_not_whole_runs():
     assert decontaminate.consistent_cover(chance) == (1, False)
 
 
+def test_repeated_and_null_ids_are_judged_row_by_row_on_both_paths(spark):
+    item = ITEMS[0][1].split()
+    parts = [" ".join(item[:10]), " ".join(item[5:15]), " ".join(item[10:])]
+    rows = [(i, p) for i in (1, None) for p in parts] + [(2, ITEMS[0][1])] * 2 + [(None, ITEMS[0][1])] * 2
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    for most in (1000, 1):
+        got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, broadcast_rows=most).collect()]
+        assert Counter(got) == {(2, 1): 2, (None, 1): 2}
+
+
 def test_benchmark_passages_are_found_and_only_they(spark, small):
     docs, bench = common.table(spark, small, "documents"), common.table(spark, small, "benchmark")
     items = {r.item_id: " ".join(r.text.lower().split()) for r in bench.collect()}
