@@ -305,3 +305,10 @@ def test_streams(spark, small, tmp_path):
     assert last == {"j": ("completed", 100, 4), "k": ("running", 5, 1)}
     tokens = spark.createDataFrame([("r", 2, "token", "lo"), ("r", 1, "token", "Hel"), ("r", 3, "done", ""), ("q", 1, "token", "x")], "request_id string, seq int, event string, data string")
     assert [tuple(r) for r in run_stream(spark, tokens, tokens.schema, latency.assembled_answers, str(tmp_path / "t"), "append")] == [("r", "Hello", "done")]
+
+
+def test_queries_of_several_blocks_equal_one_block(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(60)], "vec_id bigint, embedding array<double>").repartition(4)
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).filter("query_id < 25")
+    want = sorted(map(tuple, retrieval.knn_batch(vectors, queries, 5).collect()))
+    assert len(want) == 125 and sorted(map(tuple, retrieval.knn_batch(vectors, queries, 5, most_queries=7).collect())) == want
