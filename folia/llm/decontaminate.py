@@ -135,12 +135,16 @@ class Template:
             own = np.array([self.open[j : j + len(at)] for j in range(k)]).T.astype(np.int64) @ (1 << np.arange(k))
             some = np.flatnonzero(count)
             forms.append((windows(self.named, none, k)[0].view(np.int64)[some], some, own[some]))
-            for place in np.flatnonzero((count > 1) & (count <= MOST_OPEN)).tolist():
-                mask = full = int(own[place])
-                while mask := (mask - 1) & full:
-                    named = np.array([mask >> j & 1 for j in range(k)], dtype=bool)
-                    mixed = np.where(named, self.named[place : place + k], self.hashes[place : place + k])
-                    forms.append((windows(mixed, none[:k], k)[0].view(np.int64), np.array([place]), np.array([mask])))
+            several = np.flatnonzero((count > 1) & (count <= MOST_OPEN))
+            grid = several[:, None] + np.arange(k)
+            rank = np.maximum(np.cumsum(self.open[grid], axis=1) - 1, 0)
+            for subset in range(1, (1 << MOST_OPEN) - 1):
+                rows = np.flatnonzero(subset < (1 << count[several]) - 1)
+                if len(rows):
+                    taken = self.open[grid[rows]] & ((subset >> rank[rows]) & 1).astype(bool)
+                    mixed = np.where(taken, self.named[grid[rows]], self.hashes[grid[rows]])
+                    codes, _ = windows(mixed.ravel(), np.repeat(np.arange(len(rows)), k), k)
+                    forms.append((codes.view(np.int64), several[rows], taken.astype(np.int64) @ (1 << np.arange(k))))
         return tuple(np.concatenate(x) for x in zip(*forms, strict=True))
 
     def slots(self, at: int, k: int, named: int = 0) -> list[tuple[int, str]]:
