@@ -16,8 +16,8 @@ CHUNK_BYTES = 2_000_000
 #: Bytes of an Arrow batch on its way to a Python worker, and the rows of it that a worker takes at a time.
 ARROW_BYTES, PIECE_ROWS = 8 << 20, 1024
 
-#: Largest table (rows) that an operator may broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Largest table (rows, and bytes as JSON) that an operator may broadcast; beyond it the same join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, which is all it reads, and those at most ``size`` bytes written out."""
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (held or 0) <= size
 
 
 def held_out(mod: int, remainder: int, doc_id: Column | str = "doc_id") -> Column:

@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .wordhash import U, mix, windows
+from .wordhash import U, Words, mix, weights, windows
 
 #: Words of a window; a shorter item is one window of its own length.
 WINDOW = 8
@@ -66,90 +65,176 @@ def _split_amount(bare: str) -> list[str] | None:
 #: Keeps the hashes of exact windows apart from those of templates.
 _EXACT = U(0x5EEDE4AC7)
 
+_BYTES = np.arange(256)
+_UPPER, _LOWER = (_BYTES >= 65) & (_BYTES <= 90), (_BYTES >= 97) & (_BYTES <= 122)
+_EDGE = np.isin(_BYTES, np.frombuffer("".join(c for c in _EDGES if ord(c) < 128).encode(), dtype=np.uint8))
+#: Bytes that send a word through the Python path: digits, signs of amounts, hyphens inside, and all but ASCII.
+_OTHER = (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | np.isin(_BYTES, np.frombuffer(b"$%+-", dtype=np.uint8))
+_QUOTE, _STOP = np.isin(_BYTES, np.frombuffer(b"\"')", dtype=np.uint8)), np.isin(_BYTES, np.frombuffer(b".!?:", dtype=np.uint8))
 
-class _Lexicon(dict):
-    """(kind, hash, value, whether a sentence ends with it) of each part of a word; remembered for up to 200,000 words."""
 
-    def __missing__(self, word: bytes) -> list[tuple[int, int, str, bool]]:
-        text = word.decode("utf-8", "replace")
-        bare = text.strip(_EDGES) or text
-        end = text.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":")
-        parts = None if _NUMBER_RE.fullmatch(bare) else _split_amount(bare)
-        got = [self._part(p, False) for p in parts[:-1]] + [self._part(parts[-1], end)] if parts else [self._part(bare, end)]
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = got
+def _hashed(words: list[str]) -> np.ndarray:
+    """Hashes of words without ASCII white space."""
+    return Words([w.encode("utf-8") for w in words]).hashes() if words else np.zeros(0, dtype=U)
+
+
+class Lexicon:
+    """How each distinct word reads: kinds and hashes of its parts, and whether a sentence ends with it.
+
+    Plain ASCII words are read in numpy for a whole chunk; the others one by one, and remembered (up to 200,000).
+    """
+
+    def __init__(self) -> None:
+        self.numbers, self.units = np.sort(_hashed(sorted(NUMBER_WORDS))), np.sort(_hashed(sorted(UNITS)))
+        self.read: dict[bytes, tuple[list[tuple[int, str, int]], bool]] = {}
+
+    def slow(self, word: bytes) -> tuple[list[tuple[int, str, int]], bool]:
+        """(kind, value, hash) of the parts of a word, and whether a sentence ends with it."""
+        got = self.read.get(word)
+        if got is None:
+            text = word.decode("utf-8", "replace")
+            bare = text.strip(_EDGES) or text
+            parts = None if _NUMBER_RE.fullmatch(bare) else _split_amount(bare)
+            values = [x.lower() for x in parts or [bare]]
+            codes = _hashed(values).tolist()
+            found = [(self.kind(p, v), v, c) for p, v, c in zip(parts or [bare], values, codes, strict=True)]
+            got = found, text.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":")
+            if len(self.read) >= 200_000:
+                self.read.clear()
+            self.read[word] = got
         return got
 
     @staticmethod
-    def _part(bare: str, end: bool) -> tuple[int, int, str, bool]:
-        import hashlib
-
-        low = bare.lower()
+    def kind(bare: str, low: str) -> int:
         if _NUMBER_RE.fullmatch(bare) or all(x in NUMBER_WORDS for x in low.split("-")):
-            kind = _NUMBER
-        elif low in UNITS:
-            kind = _UNIT
-        else:
-            kind = _TITLE if len(bare) > 1 and bare[0].isupper() and bare[1:].islower() else _LITERAL
-        return kind, int.from_bytes(hashlib.blake2b(low.encode("utf-8"), digest_size=8).digest(), "little"), low, end
-
-
-class Template:
-    """The canonical words of one text: ``values``, ``kinds``, and the hashes with open words as literals (``hashes``) and as names (``named``)."""
-
-    def __init__(self, text: bytes, lexicon: _Lexicon):
-        kinds, hashes, codes, self.values, ends = [], [], [], [], True
-        add_code, add_kind, add_hash, add_value = codes.append, kinds.append, hashes.append, self.values.append
-        for line in text.split(b"\n"):
-            ends = True  # a capital that begins a line or sentence may be a name or not
-            for kind, code, value, end in chain.from_iterable(map(lexicon.__getitem__, line.split())):
-                if kind == _TITLE and ends:
-                    kind = _OPEN
-                add_code(code)
-                add_kind(kind)
-                add_hash(code if kind == _LITERAL or kind == _OPEN else _PLACEHOLDER[kind])
-                add_value(value)
-                ends = end
-        self.kinds = np.array(kinds, dtype=np.int8)
-        plain = np.array(hashes, dtype=U)
-        self.hashes = mix(plain)
-        self.codes = np.array(codes, dtype=U)
-        self.open = self.kinds == _OPEN
-        self.named = mix(np.where(self.open, U(_PLACEHOLDER[_TITLE]), plain)) if self.open.any() else self.hashes
+            return _NUMBER
+        if low in UNITS:
+            return _UNIT
+        return _TITLE if len(bare) > 1 and bare[0].isupper() and bare[1:].islower() else _LITERAL
+
+
+class Templates:
+    """The canonical words of a chunk of texts, as arrays: ``doc``, ``kinds``, and the hashes with open words as literals (``plain``) and as names (``named``)."""
+
+    def __init__(self, texts: list[bytes], lexicon: Lexicon):
+        self.words = w = Words(texts)
+        whole = w.hashes()
+        _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+        starts, ends = w.starts[first].copy(), w.ends[first].copy()
+        self.slow: dict[int, list[str]] = {}  # values of the parts of words that Python reads, by their number
+        kinds, codes, stops = self._plain(starts, ends, lexicon)
+        size = np.ones(len(first), dtype=np.int64)
+        spare: list[tuple[int, int]] = []
+        for u in np.flatnonzero(kinds < 0).tolist():
+            parts, stop = lexicon.slow(bytes(w.raw[w.starts[first[u]] : w.ends[first[u]]]))
+            kinds[u], codes[u], stops[u] = parts[0][0], parts[0][2], stop
+            self.slow[u] = [v for _, v, _ in parts]
+            if len(parts) > 1:
+                size[u] = len(parts)
+                spare += [(k, c) for k, _, c in parts[1:]]
+        self.starts, self.ends = starts, ends  # of the distinct words, without their edges
+        # a part is found by its word's place for the first one, behind all first parts for the others
+        kinds, codes = np.append(kinds, np.array([k for k, _ in spare], dtype=np.int8)), np.append(codes, np.array([c for _, c in spare], dtype=U))
+        after = len(size) + np.cumsum(size - 1) - (size - 1) - 1
+        times = size[which]
+        self.word = np.repeat(np.arange(len(which)), times)
+        self.number = which[self.word]
+        self.part = np.arange(len(self.word)) - np.repeat(np.cumsum(times) - times, times)
+        entry = np.where(self.part == 0, self.number, after[self.number] + self.part)
+        self.kinds, self.codes, self.doc = kinds[entry], codes[entry], w.doc[self.word]
+        lines = np.cumsum(w.raw == 10)[w.starts]
+        begins = np.ones(len(which), dtype=bool)
+        begins[1:] = (lines[1:] != lines[:-1]) | stops[which[:-1]]
+        self.open = (self.kinds == _TITLE) & (self.part == 0) & begins[self.word]
+        holders = np.array([0, _PLACEHOLDER[_NUMBER], _PLACEHOLDER[_UNIT], _PLACEHOLDER[_TITLE]], dtype=U)
+        literal = (self.kinds == _LITERAL) | self.open
+        plain = np.where(literal, self.codes, holders[self.kinds])
+        self.plain = mix(plain)
+        self.named = np.where(self.open, mix(holders[_TITLE : _TITLE + 1]), self.plain)
+        self.slotted = ~literal
+
+    def _plain(self, starts: np.ndarray, ends: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind (-1: for Python), hash and sentence end of the distinct words; moves ``starts`` and ``ends`` past their edges."""
+        raw, full = self.words.raw, (starts.copy(), ends.copy())
+
+        def within(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            total = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(table[raw], dtype=np.int32)))
+            return total[b] - total[a]
+
+        last = ends.copy()
+        while len(moved := np.flatnonzero((last > starts) & _QUOTE[raw[last - 1]])):
+            last[moved] -= 1
+        stops = (last > starts) & _STOP[raw[last - 1]]
+        while len(moved := np.flatnonzero((ends > starts) & _EDGE[raw[ends - 1]])):
+            ends[moved] -= 1
+        while len(moved := np.flatnonzero((ends > starts) & _EDGE[raw[np.minimum(starts, len(raw) - 1)]])):
+            starts[moved] += 1
+        empty = starts >= ends
+        starts[empty], ends[empty] = full[0][empty], full[1][empty]
+        codes = self.words.hash_ranges(starts, ends)
+        title = _UPPER[raw[starts]] & (within(_UPPER, starts + 1, ends) == 0) & (within(_LOWER, starts + 1, ends) > 0)
+        kinds = np.where(title, _TITLE, _LITERAL).astype(np.int8)
+        kinds[np.isin(codes, lexicon.units)] = _UNIT
+        kinds[np.isin(codes, lexicon.numbers)] = _NUMBER
+        kinds[within(_OTHER, *full) > 0] = -1
+        return kinds, codes, stops
+
+    def value(self, at: int) -> str:
+        """The canonical word at a place."""
+        u = int(self.number[at])
+        if u in self.slow:
+            return self.slow[u][int(self.part[at])]
+        return bytes(self.words.raw[self.starts[u] : self.ends[u]]).decode("utf-8", "replace").lower()
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first word, and mask of the open words taken as names (bit j: the window's word j), of each form of each window.
+        """Hash, first word, and mask of the open words taken as names (bit j: the window's word j), of each form of each window inside a text.
 
         ``-k``: windows of ``k`` words as they are, without placeholders.
         """
-        none = np.zeros(len(self.hashes), dtype=np.int8)
         if k < 0:
-            found, at = windows(mix(self.codes ^ _EXACT), none, -k)
+            found, at = windows(mix(self.codes ^ _EXACT), self.doc, -k)
             return found.view(np.int64), at, np.zeros(len(at), dtype=np.int64)
-        found, at = windows(self.hashes, none, k)
-        forms = [(found.view(np.int64), at, np.zeros(len(at), dtype=np.int64))]
-        if len(at) and self.open.any():
-            before = np.concatenate(([0], np.cumsum(self.open)))
-            count = before[k:] - before[:-k]
-            own = np.array([self.open[j : j + len(at)] for j in range(k)]).T.astype(np.int64) @ (1 << np.arange(k))
-            some = np.flatnonzero(count)
-            forms.append((windows(self.named, none, k)[0].view(np.int64)[some], some, own[some]))
-            several = np.flatnonzero((count > 1) & (count <= MOST_OPEN))
-            grid = several[:, None] + np.arange(k)
-            rank = np.maximum(np.cumsum(self.open[grid], axis=1) - 1, 0)
-            for subset in range(1, (1 << MOST_OPEN) - 1):
-                rows = np.flatnonzero(subset < (1 << count[several]) - 1)
-                if len(rows):
-                    taken = self.open[grid[rows]] & ((subset >> rank[rows]) & 1).astype(bool)
-                    mixed = np.where(taken, self.named[grid[rows]], self.hashes[grid[rows]])
-                    codes, _ = windows(mixed.ravel(), np.repeat(np.arange(len(rows)), k), k)
-                    forms.append((codes.view(np.int64), several[rows], taken.astype(np.int64) @ (1 << np.arange(k))))
-        return tuple(np.concatenate(x) for x in zip(*forms, strict=True))
+        n = len(self.plain) - k + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        found, at = windows(self.plain, self.doc, k, mixed=False)
+        before = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(self.open, dtype=np.int32)))
+        several = np.flatnonzero(before[at + k] > before[at])
+        sums, places, masks = [found], [at], [np.zeros(len(at), dtype=np.int64)]
+        if len(several):
+            # an open word taken as a name adds a difference to a window's sum: of the first MOST_OPEN ones and of all
+            base, here = found[several], at[several]
+            count = before[here + k] - before[here]
+            rank = np.zeros(len(here), dtype=np.int64)
+            step = np.zeros((MOST_OPEN, len(here)), dtype=U)
+            bit = np.zeros((MOST_OPEN, len(here)), dtype=np.int64)
+            whole, bits = np.zeros(len(here), dtype=U), np.zeros(len(here), dtype=np.int64)
+            with np.errstate(over="ignore"):
+                difference, weight = self.named - self.plain, weights(k)
+                for j in range(k):
+                    rows = np.flatnonzero(self.open[here + j])
+                    change = difference[here[rows] + j] * weight[j]
+                    whole[rows] += change
+                    bits[rows] |= 1 << j
+                    early = rank[rows] < MOST_OPEN
+                    step[rank[rows][early], rows[early]], bit[rank[rows][early], rows[early]] = change[early], 1 << j
+                    rank[rows] += 1
+                sums.append(base + whole)
+                places.append(here)
+                masks.append(bits)
+                for subset in range(1, (1 << MOST_OPEN) - 1):
+                    rows = np.flatnonzero((count > 1) & (count <= MOST_OPEN) & (subset < (1 << count.astype(np.int64)) - 1))
+                    if len(rows):
+                        some = [r for r in range(MOST_OPEN) if subset >> r & 1]
+                        sums.append(base[rows] + step[some][:, rows].sum(axis=0, dtype=U))
+                        places.append(here[rows])
+                        masks.append(bit[some][:, rows].sum(axis=0))
+        with np.errstate(over="ignore"):
+            return mix(np.concatenate(sums) + U(k)).view(np.int64), np.concatenate(places), np.concatenate(masks)
 
     def slots(self, at: int, k: int, named: int = 0) -> list[tuple[int, str]]:
         """(offset, value) of the placeholders of a window; none for a negative ``k``."""
-        return [(j, self.values[at + j]) for j in range(k) if (kind := self.kinds[at + j]) != _LITERAL and (kind != _OPEN or named >> j & 1)]
+        return [(j, self.value(at + j)) for j in range(k) if self.slotted[at + j] or named >> j & 1]
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -160,12 +245,12 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon()
+        lexicon = Lexicon()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for item, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
-                t = Template(text, lexicon)
-                k = min(WINDOW, len(t.hashes))
+                t = Templates([text], lexicon)
+                k = min(WINDOW, len(t.plain))
                 if item is None or not k:
                     continue
                 forms = [(code, at, t.slots(at, k, named), LEAST_BESIDE_NAMES if named else LEAST_LITERAL) for code, at, named in zip(*(x.tolist() for x in t.windows(k)), strict=True)]
@@ -233,38 +318,64 @@ def _leak_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "windows", "coverage", "same_values"])
 
 
+class Index:
+    """The item windows as flat arrays, sorted by hash: what every worker holds. ``given``: the values of all windows one after another."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        order = np.lexsort(tuple(table.column(c).to_numpy() for c in ("at", "item_id", "size", "hash")))
+        table = table.take(pa.array(order)).combine_chunks()
+        self.keys, self.item, self.size, self.total, self.at = (table.column(c).to_numpy() for c in ("hash", "item_id", "size", "total", "at"))
+        lists = table.column("values").combine_chunks() if len(table) else pa.array([], pa.list_(pa.string()))
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        self.begin, self.given = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0), lists.flatten()
+        self.bits = max(10, min(24, int(len(self.keys) * 16).bit_length()))
+        self.some = np.zeros(1 << self.bits, dtype=bool)
+        self.some[self._short(self.keys)] = True
+        self.sizes = sorted(set(self.size.tolist()))
+
+    def _short(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(U) >> U(64 - self.bits)
+
+    def met(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each key that the index has: its place in ``keys``, and its first and last-but-one entry."""
+        likely = np.flatnonzero(self.some[self._short(keys)])
+        left, right = np.searchsorted(self.keys, keys[likely]), np.searchsorted(self.keys, keys[likely], side="right")
+        found = right > left
+        return likely[found], left[found], right[found]
+
+    def values(self, entry: int) -> list[str]:
+        return self.given[int(self.begin[entry]) : int(self.begin[entry + 1])].to_pylist()
+
+
+def _verdict(item: int, exact: bool, total: int, hits: list, coverage: float) -> tuple[int, int, float, bool] | None:
+    """The result row, but for the document, of an item's matches in one document; None if they are no leak."""
+    n, same = whole_copy(hits, total) if exact else consistent_cover(hits)
+    return (item, n, n / total, same) if n and n >= coverage * total else None
+
+
 def _by_broadcast(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame:
     """The join inside the scan of the documents: the item windows, of checked size, go to every worker."""
-    table = index.orderBy("hash", "item_id", "at").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (table["hash"].to_numpy(dtype=np.int64), list(zip(table["item_id"].tolist(), table["size"].tolist(), table["total"].tolist(), table["at"].tolist(), [list(v) for v in table["values"]], strict=True)))
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(Index(index.select("item_id", "size", "total", "hash", "at", "values").toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, entries = shared.value
-        sizes = sorted({e[1] for e in entries})
-        lexicon = _Lexicon()
+        known, lexicon = shared.value, Lexicon()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
-                t = Template(text, lexicon)
+            rows, ids, texts = [], batch.column(0).to_pylist(), common.as_bytes(batch.column(1))
+            for a, b in common.slices(texts) if len(known.keys) else ():
+                t = Templates(texts[a:b], lexicon)
                 hits: dict[tuple, list] = defaultdict(list)
-                for k in sizes:
+                for k in known.sizes:
                     found, places, named = t.windows(k)
-                    left = np.searchsorted(keys, found)
-                    known = np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == found)) if len(keys) else []
-                    for form in map(int, known):
-                        n, place = int(left[form]), int(places[form])
+                    for form, left, right in zip(*(x.tolist() for x in known.met(found)), strict=True):
+                        place = int(places[form])
                         own = [v for _, v in t.slots(place, k, int(named[form]))]
-                        while n < len(keys) and keys[n] == found[form]:
-                            item, size, total, at, given = entries[n]
-                            if size == k:
-                                hits[item, size < 0, total].append((place, at, own, given))
-                            n += 1
-                for (item, exact, total), found_hits in hits.items():
-                    n, same = whole_copy(found_hits, total) if exact else consistent_cover(found_hits)
-                    if n and n >= coverage * total:
-                        rows.append((doc, item, n, n / total, same))
+                        for n in range(left, right):
+                            if known.size[n] == k:
+                                hits[int(t.doc[place]), int(known.item[n]), k < 0, int(known.total[n])].append((place, int(known.at[n]), own, known.values(n)))
+                for (doc, item, exact, total), of_item in hits.items():
+                    if (row := _verdict(item, exact, total, of_item, coverage)) is not None:
+                        rows.append((ids[a + doc], *row))
             yield _leak_batch(rows)
 
     return common.map_batches(docs, run, _LEAKS)
@@ -279,30 +390,31 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
     sizes = [r[0] for r in index.select("size").distinct().collect()]  # at most 2 * WINDOW values
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon()
+        lexicon = Lexicon()
         for batch in batches:
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2)), strict=True):
-                t = Template(text, lexicon)
+            texts = common.as_bytes(batch.column(2))
+            for x, y in common.slices(texts):
+                t = Templates(texts[x:y], lexicon)
                 for k in sizes:
                     found, places, named = t.windows(k)
                     for a in range(0, len(found), 5000):
-                        b = min(a + 5000, len(found))
-                        own = [[v for _, v in t.slots(p, k, m)] for p, m in zip(places[a:b].tolist(), named[a:b].tolist(), strict=True)]
+                        at = places[a : a + 5000]
+                        own = [[v for _, v in t.slots(p, k, m)] for p, m in zip(at.tolist(), named[a : a + 5000].tolist(), strict=True)]
+                        of = pa.array(t.doc[at] + x)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([row] * (b - a), pa.int64()), pa.array([doc] * (b - a), pa.int64()), pa.array(places[a:b], pa.int32()), pa.array([k] * (b - a), pa.int32()), pa.array(found[a:b]), pa.array(own, pa.list_(pa.string()))], names=["row", "doc_id", "place", "size", "hash", "own"]
-                        )
+                            [batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int64()), pa.array(np.full(len(at), k), pa.int32()), pa.array(found[a : a + 5000]), pa.array(own, pa.list_(pa.string()))], names=["row", "doc_id", "place", "size", "hash", "own"]
+                        )
 
-    pieces = common.map_batches(rows, cut, "row bigint, doc_id bigint, place int, size int, hash bigint, own array<string>")
+    pieces = common.map_batches(rows, cut, "row bigint, doc_id bigint, place bigint, size int, hash bigint, own array<string>")
     met = pieces.join(index, ["hash", "size"]).groupBy("row", "doc_id", "item_id", (F.col("size") < 0).alias("exact"), "total").agg(F.collect_list(F.struct("place", "at", "own", F.col("values").alias("given"))).alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, item, exact, total, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows_of = [(h["place"], h["at"], h["own"], h["given"]) for h in hits]
-                n, same = whole_copy(rows_of, total) if exact else consistent_cover(rows_of)
-                if n and n >= coverage * total:
-                    rows.append((doc, item, n, n / total, same))
+                row = _verdict(item, exact, total, [(h["place"], h["at"], h["own"], h["given"]) for h in hits], coverage)
+                if row is not None:
+                    rows.append((doc, *row))
             yield _leak_batch(rows)
 
     return common.map_batches(met.drop("row"), judge, _LEAKS)
@@ -313,8 +425,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
 
     same_values: verbatim; else re-parameterised. Null and empty texts hold nothing,
     items without words or with a null id aren't looked for; those under six words or
-    without a window that says enough only as a whole, word by word. Repeated rows give
-    repeated results, null document ids come back null. Other columns aren't read.
+    without a window that says enough only as a whole, word by word. Whole texts of any
+    length are searched; of equal items each is reported. Repeated rows give repeated
+    results, null document ids come back null. No documents or no items: no rows.
+    Other columns, whatever their names, aren't read.
     """
     index = common.stored(item_windows(benchmark), "items")
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

@@ -71,17 +71,30 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
+        return self._ranges(self.starts, self.ends, self.lower)
+
+    def hash_ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hashes that the bytes from ``starts`` to ``ends``, A-Z lower-cased, have as words."""
+        return self._ranges(starts, ends, True)
+
+    def _ranges(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
         up, down = _grown(len(self.raw) + 1)
         with np.errstate(over="ignore"):
-            values = _VALUES[_LOWER[self.raw] if self.lower else self.raw]
+            values = _VALUES[_LOWER[self.raw] if lower else self.raw]
             values *= up[: len(values)]
             total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(values, dtype=U)))
-            found = (total[self.ends] - total[self.starts]) * down[self.starts]
-            return mix(found + (self.ends - self.starts).astype(U))
+            found = (total[ends] - total[starts]) * down[starts]
+            return mix(found + (ends - starts).astype(U))
+
+
+def weights(k: int) -> np.ndarray:
+    """By how much a word's hash counts at each place of a window of ``k`` words, before the sum is mixed."""
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate((np.ones(1, dtype=U), np.full(k - 1, _WINDOW))))[::-1]
 
 
-def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of each window of ``k`` words inside one text."""
+def windows(hashes: np.ndarray, doc: np.ndarray, k: int, mixed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of each window of ``k`` words inside one text; with ``mixed`` false the sum that ``mix(sum + k)`` makes the hash."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
@@ -90,7 +103,7 @@ def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
         for j in range(1, k):
             total = total * _WINDOW + hashes[j : j + n]
         at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-        return mix(total[at] + U(k)), at
+        return (mix(total[at] + U(k)) if mixed else total[at]), at
 
 
 def sequence_hash(hashes: np.ndarray) -> int:
