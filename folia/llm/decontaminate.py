@@ -88,21 +88,21 @@ class Lexicon:
         self.numbers, self.units = np.sort(_hashed(sorted(NUMBER_WORDS))), np.sort(_hashed(sorted(UNITS)))
         self.read: dict[bytes, tuple[list[tuple[int, str, int]], bool]] = {}
 
-    def slow(self, word: bytes) -> tuple[list[tuple[int, str, int]], bool]:
-        """(kind, value, hash) of the parts of a word, and whether a sentence ends with it."""
-        got = self.read.get(word)
-        if got is None:
+    def slow(self, words: list[bytes]) -> list[tuple[list[tuple[int, str, int]], bool]]:
+        """For each word: (kind, value, hash) of its parts, and whether a sentence ends with it."""
+        if len(self.read) >= 200_000:
+            self.read.clear()
+        fresh = [w for w in dict.fromkeys(words) if w not in self.read]
+        split = []
+        for word in fresh:
             text = word.decode("utf-8", "replace")
             bare = text.strip(_EDGES) or text
             parts = None if _NUMBER_RE.fullmatch(bare) else _split_amount(bare)
-            values = [x.lower() for x in parts or [bare]]
-            codes = _hashed(values).tolist()
-            found = [(self.kind(p, v), v, c) for p, v, c in zip(parts or [bare], values, codes, strict=True)]
-            got = found, text.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":")
-            if len(self.read) >= 200_000:
-                self.read.clear()
-            self.read[word] = got
-        return got
+            split.append(([(self.kind(p, p.lower()), p.lower()) for p in parts or [bare]], text.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":")))
+        codes = iter(_hashed([v for parts, _ in split for _, v in parts]).tolist())
+        for word, (parts, stop) in zip(fresh, split, strict=True):
+            self.read[word] = [(k, v, next(codes)) for k, v in parts], stop
+        return [self.read[w] for w in words]
 
     @staticmethod
     def kind(bare: str, low: str) -> int:
@@ -125,8 +125,8 @@ class Templates:
         kinds, codes, stops = self._plain(starts, ends, lexicon)
         size = np.ones(len(first), dtype=np.int64)
         spare: list[tuple[int, int]] = []
-        for u in np.flatnonzero(kinds < 0).tolist():
-            parts, stop = lexicon.slow(bytes(w.raw[w.starts[first[u]] : w.ends[first[u]]]))
+        hard = np.flatnonzero(kinds < 0).tolist()
+        for u, (parts, stop) in zip(hard, lexicon.slow([w.raw[a:b].tobytes() for a, b in zip(starts[hard].tolist(), ends[hard].tolist(), strict=True)]), strict=True):
             kinds[u], codes[u], stops[u] = parts[0][0], parts[0][2], stop
             self.slow[u] = [v for _, v, _ in parts]
             if len(parts) > 1:
@@ -176,7 +176,8 @@ class Templates:
         kinds = np.where(title, _TITLE, _LITERAL).astype(np.int8)
         kinds[np.isin(codes, lexicon.units)] = _UNIT
         kinds[np.isin(codes, lexicon.numbers)] = _NUMBER
-        kinds[within(_OTHER, *full) > 0] = -1
+        other = within(_OTHER, *full) > 0
+        kinds[other], starts[other], ends[other] = -1, full[0][other], full[1][other]
         return kinds, codes, stops
 
     def value(self, at: int) -> str:
