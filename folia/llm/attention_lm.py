@@ -1,23 +1,30 @@
-"""LM scoring with a causal self-attention model in numpy over subword ids, beside a smoothed word unigram.
-
-The model reads the ids of a public byte-level BPE vocabulary. Its output symbols are
-the end, the most frequent ids, and classes of the other ids by how their strings
-begin. Inside a class a second softmax tells its more frequent members and a tail
-apart, and ids of the tail have smoothed corpus shares; so every text has a proper
-probability. A text is cut into
-blocks of new tokens; each block's window also holds the tokens before it, and a
-masked attention over the windows of many blocks scores each token exactly once.
-With one layer and relative positions, queries, keys and values depend on a symbol
-only, so they are tables and attention logits are looked up.
-
-Fitting: a warm start on the driver over a bounded sample, then rounds of local
-training on the workers, averaged; the rounds together take every training document
-once. Word and id counts cover all training documents.
+"""LM scoring with causal self-attention in numpy over subword ids, beside a smoothed word unigram.
+
+A text is read as the subwords of a public byte-level BPE vocabulary, word by word. A
+word's first subword is predicted by masked self-attention over the first subwords of
+the words before it; its other subwords, and its end, by masked self-attention over the
+subwords of the word itself. Both are the same kind of model (``Attention``): heads with
+logits by query and key symbol and a bias by distance, one softmax over all heads and
+positions, and values that are distributions over the next symbol, so a token's
+probability is the attention-weighted mean of its keys' values. Sequences are cut into
+blocks of new tokens; each block's window also holds the tokens before it, and each
+token is scored exactly once.
+
+Symbols are the end, the most frequent ids, and classes of the other ids by how their
+strings begin; an id has its corpus share within its symbol. Words seen in training
+share their first symbol's probability by their counts, in the whole corpus; the share
+of words seen once (Good and Turing) goes to the spelling by the second model.
+
+Training is expectation maximisation: a round over a part of the training documents
+gives, for every head, the expected counts of query-key pairs, distances and values,
+by which logits and values are rescaled. The rounds together take every training
+document once. Expected counts are rounded to whole numbers of 1/65536, so their sums,
+the model and the scores don't depend on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -29,21 +36,26 @@ from pyspark.sql import functions as F
 from . import common
 from .wordhash import Words
 
-#: Output symbols (the end, classes of less frequent ids, frequent ids), width, heads, hidden units.
-SYMBOLS, CLASSES, WIDTH, HEADS, HIDDEN = 224, 40, 24, 1, 32
-#: Members of a class, its tail (member 0) included. A token is coded as symbol * MEMBERS + member.
-MEMBERS = 32
-#: Tokens of a window, and the new ones among them.
-CONTEXT, NEW = 12, 8
-#: Documents of the warm start at most; each training document then trains in one of the rounds.
-WARM_DOCS, ROUNDS = 600, 2
-#: Longest text, in characters, that the warm start draws.
-WARM_LENGTH = 20_000
+#: Symbols (the end, classes of less frequent ids, frequent ids) and the classes among them; heads.
+SYMBOLS, CLASSES, HEADS = 512, 110, 2
+END, PAD = 0, SYMBOLS
+WIDE = SYMBOLS + 1
+#: Tokens of a window, and the new ones among them: of a text's first subwords, and inside a word.
+TEXT_WINDOW, WORD_WINDOW = (32, 16), (8, 4)
+#: Rounds of training; each training document, or distinct word, is in one of them.
+ROUNDS = 6
+#: Counts by which logits and values are smoothed, the latter by head, and how much of the earlier rounds' counts stays.
+SMOOTH, VALUE_SMOOTH, KEPT = 20.0, (5.0, 50.0), 0.5
 #: Words whose counts go to every worker; the others' counts are joined by shuffle.
 FREQUENT = 400_000
 #: Words that a worker remembers.
-REMEMBERED = 250_000
-END, PAD, PADDED = 0, SYMBOLS, SYMBOLS * MEMBERS
+REMEMBERED = 300_000
+#: Expected counts are whole multiples of its inverse.
+UNIT = np.float32(65536)
+#: Windows worked on at a time: their tables of pairs stay in a core's cache.
+BATCH = 128
+#: Slices in which tasks hand in their expected counts; each is summed on its own.
+SLICES = 64
 
 
 def bpe(path: str):
@@ -53,6 +65,233 @@ def bpe(path: str):
     return model(path).merge
 
 
+def encoded(encoder, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some words, each with a space before it, one after another; and how many each word has."""
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    texts = [" " + w.decode("utf-8", "replace") for w in words]
+    ids = np.array(encoder.encode_ordinary("".join(texts)), dtype=np.int64)
+    begins = np.flatnonzero(_spaced(encoder)[ids])
+    if len(begins) == len(words):  # every space begins an id
+        return ids, np.diff(np.append(begins, len(ids)))
+    each = [encoder.encode_ordinary(t) for t in texts]
+    return np.array(list(chain.from_iterable(each)), dtype=np.int64), np.array([len(e) for e in each], dtype=np.int64)
+
+
+_SPACED: dict[int, np.ndarray] = {}
+
+
+def _spaced(encoder) -> np.ndarray:
+    """Which ids' strings begin with a space."""
+    found = _SPACED.get(id(encoder))
+    if found is None:
+        found = _SPACED[id(encoder)] = np.array([_string(encoder, i)[:1] == b" " for i in range(encoder.max_token_value + 1)])
+    return found
+
+
+def _string(encoder, i: int) -> bytes:
+    try:
+        return encoder.decode_single_token_bytes(i)
+    except KeyError:  # a free id
+        return b""
+
+
+# --- the model ---------------------------------------------------------------------------------------------------
+
+
+class Windows:
+    """Windows of a batch of sequences: input symbols (blocks, context), targets (blocks, new; PAD where a sequence has ended)."""
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, start: np.ndarray | int, shape: tuple[int, int]):
+        """``codes``: the targets of all sequences, END last in each; ``lengths``: of each; ``start``: what comes before the first one."""
+        context, new = shape
+        self.blocks = -(-lengths // new)
+        begin = np.cumsum(lengths) - lengths
+        lead = context - new
+        room = self.blocks * new + lead
+        base = np.cumsum(room) - room
+        inputs = np.full(int(room.sum()), PAD, dtype=np.int32)
+        targets = np.full(len(inputs), PAD, dtype=np.int32)
+        at = np.repeat(base + lead - begin, lengths) + np.arange(len(codes))
+        targets[at] = codes
+        inner = np.ones(len(codes), dtype=bool)
+        inner[begin + lengths - 1] = False  # nothing comes after the last target
+        inputs[at[inner] + 1] = codes[inner]
+        inputs[base + lead] = start
+        starts = np.repeat(base - (np.cumsum(self.blocks) - self.blocks) * new, self.blocks) + np.arange(int(self.blocks.sum())) * new
+        self.inputs = inputs[starts[:, None] + np.arange(context)]
+        self.targets = targets[starts[:, None] + np.arange(lead, context)]
+
+
+class Attention:
+    """Causal self-attention whose values are distributions of the next symbol."""
+
+    def __init__(self, shape: tuple[int, int], share: np.ndarray):
+        """``share``: the symbols' distribution, from which training starts."""
+        self.shape, self.share = shape, share
+        context = shape[0]
+        self.logits = np.zeros((HEADS, WIDE, WIDE))
+        far = np.arange(context)
+        self.bias = np.stack([-2.0 * far, -2.0 - 0.03 * far])  # one head begins near, one anywhere
+        self.values = np.tile(np.append(share, 1.0), (HEADS, WIDE, 1))
+        self.held = np.zeros((HEADS, WIDE, SYMBOLS))
+
+    def ready(self) -> Attention:
+        """With the tables that scoring and training read, in single precision; made once."""
+        if hasattr(self, "weight"):
+            return self
+        context, new = self.shape
+        back = np.arange(context - new, context)[:, None] - np.arange(context)[None, :]
+        self.back, self.future = np.maximum(back, 0), back < 0
+        weight = np.exp(self.logits).astype(np.float32)
+        weight[:, :, PAD] = 0  # nothing attends to what lies before the sequence
+        self.weight = [w.ravel() for w in weight]
+        self.near = [np.where(self.future, 0, np.exp(b)[self.back]).astype(np.float32) for b in self.bias]
+        self.value = [v.ravel() for v in self.values.astype(np.float32)]
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "near", "value", "back", "future")}
+
+    def _attended(self, x: np.ndarray, y: np.ndarray) -> tuple:
+        """Pairs of query and key, of key and target; unnormalised weights and weighted values by head; and the sums of both."""
+        own = x[:, self.shape[0] - self.shape[1] :]
+        pair, held = own[:, :, None] * np.int32(WIDE) + x[:, None, :], x[:, None, :] * np.int32(WIDE) + y[:, :, None]
+        weights = [w.take(pair) * near for w, near in zip(self.weight, self.near, strict=True)]
+        parts = [w * v.take(held) for w, v in zip(weights, self.value, strict=True)]
+        return pair, held, weights, parts, sum(w.sum(axis=2) for w in weights), sum(p.sum(axis=2) for p in parts)
+
+    def log_probs(self, windows: Windows) -> np.ndarray:
+        """Natural log probability of each target (blocks, new); 0 for padding."""
+        out = np.zeros(windows.targets.shape)
+        for a in range(0, len(out), BATCH):
+            y = windows.targets[a : a + BATCH]
+            *_, whole, chosen = self._attended(windows.inputs[a : a + BATCH], y)
+            out[a : a + BATCH] = np.where(y == PAD, 0.0, np.log(np.maximum(chosen, 1e-37).astype(np.float64)) - np.log(whole.astype(np.float64)))
+        return out
+
+    def expected(self, windows: Windows, into: np.ndarray | None = None) -> np.ndarray:
+        """Expected counts, in units, added to ``into``: for each head the pairs that gave the target, the pairs attended to, the values, and both kinds of distances."""
+        cells, context = WIDE * WIDE, self.shape[0]
+        total = np.zeros(HEADS * (3 * cells + 2 * context)) if into is None else into
+        rows = total.reshape(HEADS, -1)
+        for a in range(0, len(windows.inputs), 8 * BATCH):
+            y = windows.targets[a : a + 8 * BATCH]
+            pair, held, weights, parts, whole, chosen = self._attended(windows.inputs[a : a + 8 * BATCH], y)
+            real = y != PAD
+            by_whole, by_chosen = np.where(real, UNIT / whole, 0)[:, :, None], np.where(real, UNIT / np.maximum(chosen, np.float32(1e-37)), 0)[:, :, None]
+            pair, held = pair.ravel(), held.ravel()
+            for h in range(HEADS):
+                attended, gave = np.rint(weights[h] * by_whole), np.rint(parts[h] * by_chosen)
+                rows[h, :cells] += np.bincount(pair, weights=gave.ravel(), minlength=cells)
+                rows[h, cells : 2 * cells] += np.bincount(pair, weights=attended.ravel(), minlength=cells)
+                rows[h, 2 * cells : 3 * cells] += np.bincount(held, weights=gave.ravel(), minlength=cells)
+                for n, x in ((0, gave), (1, attended)):
+                    at = 3 * cells + n * context
+                    rows[h, at : at + context] += np.bincount(self.back.ravel(), weights=x.sum(axis=0, dtype=np.float64).ravel(), minlength=context)
+        return total
+
+    def update(self, counts: np.ndarray) -> None:
+        """Rescale logits, biases and values by the expected counts of a round."""
+        self.__dict__.pop("weight", None)
+        cells, context = WIDE * WIDE, self.shape[0]
+        for h, row in enumerate(counts.reshape(HEADS, -1) / float(UNIT)):
+            gave, attended, held = (row[n * cells : (n + 1) * cells].reshape(WIDE, WIDE) for n in range(3))
+            self.held[h] = KEPT * self.held[h] + held[:, :SYMBOLS]
+            smooth = VALUE_SMOOTH[h]
+            self.values[h, :, :SYMBOLS] = (self.held[h] + smooth * self.share) / (self.held[h].sum(axis=1, keepdims=True) + smooth)
+            self.logits[h] = np.clip(self.logits[h] + np.log((gave + SMOOTH) / (attended + SMOOTH)), -12, 12)
+            near = row[3 * cells :].reshape(2, context)
+            self.bias[h] = np.clip(self.bias[h] + np.log((near[0] + SMOOTH) / (near[1] + SMOOTH)), -60, 12)
+
+
+@dataclass
+class Symbols:
+    """Each id's symbol, its log share within the symbol, and the symbols' distribution."""
+
+    code: np.ndarray
+    log_share: np.ndarray
+    share: np.ndarray
+
+
+def symbols(times: np.ndarray, targets: np.ndarray, ends: float, encoder) -> Symbols:
+    """From how often each id occurs, how often as a target, and how often sequences end."""
+    size = len(times)
+    order = np.lexsort((np.arange(size), -times))
+    own = order[: SYMBOLS - 1 - CLASSES]
+    smooth = times + 0.1
+    rest = smooth.copy()
+    rest[own] = 0
+    begins, mass = [], {}
+    for i in range(size):
+        string = _string(encoder, i)
+        begins.append(string[: 2 if string[:1] == b" " else 1])
+        mass[begins[i]] = mass.get(begins[i], 0.0) + rest[i]
+    number = {g: 1 + k for k, g in enumerate(sorted(mass, key=lambda g: (-mass[g], g))[: CLASSES - 1])}
+    code = np.array([number.get(g, CLASSES) for g in begins], dtype=np.int32)
+    code[own] = np.arange(1 + CLASSES, 1 + CLASSES + len(own))
+    smooth = targets + 0.1
+    whole = np.bincount(code, weights=smooth, minlength=SYMBOLS)
+    share = whole + 0.5
+    share[END] = ends + 0.5
+    return Symbols(code, np.log(smooth / whole[code]), share / share.sum())
+
+
+@dataclass
+class WordCounts:
+    """Counts of the frequent words (sorted hashes), and the totals of the unigram."""
+
+    keys: np.ndarray
+    times: np.ndarray
+    tokens: int
+    distinct: int
+    ends: int
+
+    def log10(self, times: np.ndarray | int) -> np.ndarray:
+        return np.log10((times + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+
+    def look_up(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of frequent words (0 for others), and which are the others."""
+        if not len(self.keys):
+            return np.zeros(len(hashed), dtype=np.int64), np.ones(len(hashed), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
+        rare = self.keys[at] != hashed
+        return np.where(rare, 0, self.times[at]), rare
+
+
+@dataclass
+class Reader:
+    """How texts become symbols. ``seen``: of each first symbol, the words' occurrences in training; ``once``: how many of its words occur once."""
+
+    path: str
+    name: str
+    firsts: Symbols
+    inner: Symbols
+    seen: np.ndarray
+    once: np.ndarray
+
+    @property
+    def unseen(self) -> np.ndarray:
+        """Share of each first symbol that goes to words never seen."""
+        return np.where(self.seen > 0, (self.once + 1) / (self.seen + 2), 1.0)
+
+    def spelling(self, ids: np.ndarray, size: np.ndarray) -> Windows:
+        """Windows over the subwords of words: from the first one on, up to the word's end."""
+        codes = self.inner.code[ids]
+        last = np.cumsum(size) - 1
+        targets = np.append(codes[1:], END)
+        targets[last] = END
+        return Windows(targets, size, codes[last - size + 1], WORD_WINDOW)
+
+    def spelled(self, ids: np.ndarray, size: np.ndarray, model: Attention) -> np.ndarray:
+        """Log probability of each word's subwords by ``model``, given the symbol of the first."""
+        windows = self.spelling(ids, size)
+        first = np.cumsum(size) - size
+        inside = self.inner.log_share[ids]
+        inside[first] = self.firsts.log_share[ids[first]]
+        return np.add.reduceat(model.log_probs(windows).sum(axis=1), np.cumsum(windows.blocks) - windows.blocks) + np.add.reduceat(inside, first)
+
+
 class _Numbers(dict):
     """Numbers words as they come; ``fresh`` are those not yet looked at."""
 
@@ -67,25 +306,20 @@ class _Numbers(dict):
 
 
 class WordTable:
-    """Subword codes and unigram facts of the words seen so far, as flat arrays indexed by the word's number.
+    """First symbols and facts of the words seen so far, as flat arrays indexed by the word's number.
 
     The empty word has number 0 and stands for a text's end.
     """
 
-    def __init__(self, path: str, code: np.ndarray | None = None, inside: np.ndarray | None = None, counts: "WordCounts | None" = None):
-        encoder = bpe(path)
-        self.encode, self.counts = encoder.encode_ordinary, counts
-        self.code = np.arange(encoder.max_token_value + 1) if code is None else code
-        self.log_share = np.zeros(len(self.code)) if inside is None else inside
+    def __init__(self, reader: Reader, counts: WordCounts | None = None, spelling: Attention | None = None):
+        self.reader, self.counts, self.spelling, self.encoder = reader, counts, spelling, bpe(reader.path)
         self.reset()
 
     def reset(self) -> None:
         self.number = _Numbers()
         self.number[b""] = 0
-        self.codes = np.full(1, END, dtype=self.code.dtype)
-        self.begin, self.size = np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
-        self.inside = np.zeros(1)
-        self.hash, self.value, self.rare = np.zeros(1, dtype=np.int64), np.zeros(1), np.zeros(1, dtype=bool)
+        self.code, self.hash, self.rare = np.full(1, END, dtype=np.int32), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=bool)
+        self.base, self.own, self.scale, self.spelled = np.zeros(1), np.zeros(1), np.zeros(1, dtype=np.float32), np.zeros(1, dtype=np.float32)
 
     def numbers(self, words: list[list[bytes]]) -> np.ndarray:
         """The numbers of the words of some texts, one after another."""
@@ -94,74 +328,73 @@ class WordTable:
         found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int32)
         if fresh := self.number.fresh:
             self.number.fresh = []
-            encoded = [self.encode(" " + w.decode("utf-8", "replace")) for w in fresh]
-            size = np.array([len(e) for e in encoded], dtype=np.int32)
-            ids = np.array([i for e in encoded for i in e], dtype=np.int64)
-            begin = np.cumsum(size) - size
-            self.begin = np.concatenate((self.begin, (len(self.codes) + begin).astype(np.int32)))
-            self.size = np.concatenate((self.size, size))
-            self.inside = np.concatenate((self.inside, np.add.reduceat(self.log_share[ids], begin)))
-            self.codes = np.concatenate((self.codes, self.code[ids]))
-            hashed = Words([b" ".join(fresh)]).hashes().view(np.int64)
-            self.hash = np.concatenate((self.hash, hashed))
+            r = self.reader
+            ids, size = encoded(self.encoder, fresh)
+            code = r.firsts.code[ids[np.cumsum(size) - size]]
+            self.code = np.concatenate((self.code, code))
             if self.counts is not None:
-                value, rare = self.counts.look_up(hashed)
-                self.value, self.rare = np.concatenate((self.value, value)), np.concatenate((self.rare, rare))
+                hashed = Words([b" ".join(fresh)]).hashes().view(np.int64)
+                times, rare = self.counts.look_up(hashed)
+                scale = ((1 - r.unseen) / np.maximum(r.seen, 1))[code].astype(np.float32)
+                spelled = (np.log(r.unseen)[code] + r.spelled(ids, size, self.spelling)).astype(np.float32)
+                own = np.log(times * scale.astype(np.float64) + np.exp(spelled.astype(np.float64)), where=~rare, out=np.zeros(len(fresh)))
+                for name, more in (("hash", hashed), ("rare", rare), ("base", np.where(rare, 0.0, self.counts.log10(times))), ("own", own), ("scale", scale), ("spelled", spelled)):
+                    setattr(self, name, np.concatenate((getattr(self, name), more)))
         return found
 
-    def sequence(self, numbers: np.ndarray) -> np.ndarray:
-        """The codes of a sequence of words."""
-        size = self.size[numbers]
-        total = np.cumsum(size, dtype=np.int32)
-        at = np.repeat(self.begin[numbers] - (total - size), size)
-        at += np.arange(len(at), dtype=np.int32)
-        return self.codes[at]
+    def windows(self, texts: list[bytes]) -> tuple[Windows, np.ndarray, np.ndarray]:
+        """Windows over the first subwords of the texts; the numbers of their words and ends; how many each text has."""
+        split = [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
+        for words in split:
+            words.append(b"")
+        n = np.array([len(s) for s in split], dtype=np.int64)
+        numbers = self.numbers(split)
+        return Windows(self.code[numbers], n, END, TEXT_WINDOW), numbers, n
 
 
-@dataclass
-class WordCounts:
-    """Counts of the frequent words (sorted hashes), and the totals of the unigram."""
+_HELD: dict[str, WordTable] = {}
 
-    keys: np.ndarray
-    times: np.ndarray
-    tokens: int
-    distinct: int
-    ends: int
 
-    def log10(self, times: np.ndarray | int) -> np.ndarray:
-        return np.log10((times + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+def table_of(reader: Reader, counts: WordCounts | None = None, spelling: Attention | None = None) -> WordTable:
+    """The worker's table for ``reader``, kept from task to task; of the last reader only."""
+    name = f"{reader.name} {'scoring' if counts else 'training'}"
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = WordTable(reader, counts, spelling)
+    return _HELD[name]
 
-    def look_up(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of frequent words (0 for others), and which are the others."""
-        if not len(self.keys):
-            return np.zeros(len(hashed)), np.ones(len(hashed), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-        rare = self.keys[at] != hashed
-        return np.where(rare, 0.0, self.log10(self.times[at])), rare
+
+# --- corpus statistics -------------------------------------------------------------------------------------------
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """``hash, times`` of all words of ``texts`` (one column), A-Z lower-cased; counts combine before and after the shuffle."""
+    """``hash, word, times`` of all distinct words of ``texts`` (one column), A-Z lower-cased; counts combine before and after the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[str, list] = {"hash": [], "word": [], "times": []}
         for batch in batches:
-            held.append(as_bytes_hashed(common.as_bytes(batch.column(0))))
-            if sum(map(len, held)) > 3_000_000:
+            texts = common.as_bytes(batch.column(0))
+            for a, b in common.slices(texts):
+                words = Words([t.lower() for t in texts[a:b]])
+                keys, first, times = np.unique(words.hashes(), return_index=True, return_counts=True)
+                raw = words.raw.tobytes()
+                held["hash"].append(keys.view(np.int64))
+                held["times"].append(times)
+                held["word"] += [raw[x:y] for x, y in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+            if len(held["word"]) > 200_000:
                 yield counted(held)
         yield counted(held)
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, times = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["hash", "times"])
-
-    return common.map_batches(texts, run, "hash bigint, times bigint").groupBy("hash").agg(F.sum("times").alias("times"))
-
+    def counted(held: dict[str, list]) -> pa.RecordBatch:
+        """One row a word of what is held."""
+        keys, first, which = np.unique(np.concatenate([*held["hash"], np.zeros(0, dtype=np.int64)]), return_index=True, return_inverse=True)
+        times = np.bincount(which, weights=np.concatenate([*held["times"], np.zeros(0, dtype=np.int64)]), minlength=len(keys)).astype(np.int64)
+        words = [held["word"][i] for i in first.tolist()]
+        for x in held.values():
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["hash", "word", "times"])
 
-def as_bytes_hashed(texts: list[bytes]) -> np.ndarray:
-    parts = [Words(texts[a:b], lower=True).hashes().view(np.int64) for a, b in common.slices(texts)]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+    return common.map_batches(texts, run, "hash bigint, word binary, times bigint").groupBy("hash", "word").agg(F.sum("times").alias("times"))
 
 
 def frequent_words(counts: DataFrame, ends: int, most: int = FREQUENT) -> tuple[WordCounts, int]:
@@ -175,327 +408,92 @@ def frequent_words(counts: DataFrame, ends: int, most: int = FREQUENT) -> tuple[
         if held + n > most:
             break
         bound, held = low, held + n
-    rows = counts.filter(step >= bound).toPandas().sort_values("hash")  # at most `most` rows
+    rows = counts.filter(step >= bound).select("hash", "times").toPandas().sort_values("hash")  # at most `most` rows
     return WordCounts(rows["hash"].to_numpy(dtype=np.int64), rows["times"].to_numpy(dtype=np.int64), int(tokens), int(distinct), ends), bound
 
 
-# --- the model ---------------------------------------------------------------------------------------------------
-
-
-def initial(seed: int = 5) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    draw = lambda *shape: rng.normal(0, shape[-2] ** -0.5, shape).astype(np.float32)
-    d, k = WIDTH, WIDTH // HEADS
-    return {
-        "E": rng.normal(0, 0.3, (SYMBOLS + 1, d)).astype(np.float32), "Q": draw(HEADS, d, k), "K": draw(HEADS, d, k), "V": draw(HEADS, d, k), "B": np.tile(-0.05 * np.arange(CONTEXT, dtype=np.float32), (HEADS, 1)),
-        "U2": draw(CLASSES + 1, d, MEMBERS) * np.float32(0.5), "c2": np.zeros((CLASSES + 1, MEMBERS), dtype=np.float32), "O": draw(d, d) * np.float32(0.5), "W1": draw(d, HIDDEN), "b1": np.zeros(HIDDEN, dtype=np.float32), "W2": draw(HIDDEN, d) * np.float32(0.5), "U": draw(d, SYMBOLS), "c": np.zeros(SYMBOLS, dtype=np.float32),
-    }
-
-
-_QUERY = np.arange(CONTEXT - NEW, CONTEXT)
-_BACK = _QUERY[:, None] - np.arange(CONTEXT)[None, :]
-_FUTURE = _BACK < 0
-#: Windows scored at a time: their logits stay in a core's cache.
-BATCH = 128
-_ROWS = np.arange(BATCH * NEW)
-_ONES = np.ones((CONTEXT, 1), dtype=np.float32)
-
-
-class Blocks:
-    """Windows of a batch of texts: input symbols (blocks, CONTEXT), target codes (blocks, NEW; PADDED where a text has ended)."""
-
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray):
-        """``codes``: the texts' codes one after another, each text's END last; ``lengths``: of each text."""
-        blocks = -(-lengths // NEW)
-        begin = np.cumsum(lengths) - lengths
-        lead = CONTEXT - NEW
-        room = blocks * NEW + lead
-        base = np.cumsum(room) - room
-        inputs = np.full(int(room.sum()), PAD, dtype=np.int16)
-        targets = np.full(len(inputs), PADDED, dtype=np.int16)
-        at = np.repeat(base + lead - begin, lengths) + np.arange(len(codes))
-        targets[at] = codes
-        last = at[begin + lengths - 1]
-        inputs[at[:-1] + 1] = codes[:-1] // MEMBERS
-        inputs[np.minimum(last + 1, len(inputs) - 1)[last + 1 < len(inputs)]] = PAD
-        inputs[base + lead] = END
-        starts = np.repeat(base - (np.cumsum(blocks) - blocks) * NEW, blocks) + np.arange(int(blocks.sum())) * NEW
-        self.inputs = inputs[starts[:, None] + np.arange(CONTEXT)]
-        self.targets = targets[starts[:, None] + _QUERY]
-        self.blocks = blocks
-
-
-def _one_hot(symbols: np.ndarray, kind) -> np.ndarray:
-    """A row per symbol with a 1 in its column: sums by symbol become matrix products."""
-    out = np.zeros((symbols.size, SYMBOLS + 1), dtype=kind)
-    out[np.arange(symbols.size), symbols.ravel()] = 1
-    return out
-
-
-class Model:
-    """The attention model with its tables."""
-
-    def __init__(self, p: dict[str, np.ndarray]):
-        self.p = p
-        E = p["E"]
-        self.q = [E @ p["Q"][h] * np.float32((WIDTH // HEADS) ** -0.5) for h in range(HEADS)]
-        self.k = [E @ p["K"][h] for h in range(HEADS)]
-        self.v = [E @ p["V"][h] for h in range(HEADS)]
-        # attention weights before they are normalised: the exponential of a logit table times that of the distance's bias
-        self.logits = [np.exp(np.clip(q @ k.T, -30, 30)) for q, k in zip(self.q, self.k, strict=True)]
-        for table in self.logits:
-            table[:, PAD] = 0  # nothing attends to what lies before the text
-        self.flat = [np.ascontiguousarray(t).ravel() for t in self.logits]
-        self.bias = [np.where(_FUTURE, 0, np.exp(np.clip(p["B"][h], -30, 30))[np.maximum(_BACK, 0)]).astype(p["E"].dtype) for h in range(HEADS)]
-
-    def forward(self, inputs: np.ndarray) -> dict:
-        """Hidden states of the new tokens of each window, with what backward needs."""
-        x = inputs.astype(np.int32)
-        own = x[:, CONTEXT - NEW :]
-        at = own[:, :, None] * np.int32(SYMBOLS + 1) + x[:, None, :]
-        weights, heads = [], []
-        for h in range(HEADS):
-            a = self.flat[h].take(at)
-            a *= self.bias[h]
-            a /= a @ _ONES
-            weights.append(a)
-            heads.append(np.matmul(a, self.v[h].take(x, axis=0)))
-        mixed = np.concatenate(heads, axis=2).reshape(-1, WIDTH)
-        h1 = self.p["E"].take(own.ravel(), axis=0) + mixed @ self.p["O"]
-        pre = h1 @ self.p["W1"] + self.p["b1"]
-        act = np.maximum(pre, 0)
-        h2 = h1 + act @ self.p["W2"]
-        return {"x": x, "own": own, "weights": weights, "mixed": mixed, "h1": h1, "act": act, "h2": h2}
-
-    def log_probs(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target; 0 for padding."""
-        out = np.zeros(targets.shape, dtype=np.float64)
-        flat = out.ravel()
-        later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        ones = np.ones(SYMBOLS, dtype=self.p["U"].dtype)
-        for a in range(0, len(inputs), BATCH):
-            h2 = self.forward(inputs[a : a + BATCH])["h2"]
-            code = targets[a : a + BATCH].ravel().astype(np.int32)
-            goal = code // MEMBERS
-            z = h2 @ self.p["U"]
-            z += self.p["c"]
-            real = goal != PAD
-            chosen = z[_ROWS[: len(goal)], np.where(real, goal, 0)]
-            with np.errstate(over="ignore", invalid="ignore"):
-                total = np.exp(z, out=z) @ ones
-            if not (total > 0).all() or not np.isfinite(total).all():  # logits beyond what exp can hold
-                z = h2 @ self.p["U"] + self.p["c"]
-                top = z.max(axis=1)
-                chosen, total = chosen - top, np.exp(z - top[:, None]) @ ones
-            out[a : a + BATCH] = np.where(real, chosen - np.log(total), 0.0).reshape(-1, NEW)
-            inside = np.flatnonzero((goal > 0) & (goal <= CLASSES))
-            later.append((h2[inside], code[inside], inside + a * NEW))
-        if later:
-            h2, code, at = (np.concatenate(x) for x in zip(*later, strict=True))
-            order = np.argsort(code // MEMBERS, kind="stable")
-            bounds = np.searchsorted((code // MEMBERS)[order], np.arange(1, CLASSES + 2))
-            for c in range(1, CLASSES + 1):
-                rows = order[bounds[c - 1] : bounds[c]]
-                if len(rows):
-                    z = np.clip(h2[rows] @ self.p["U2"][c] + self.p["c2"][c], -80, 80)
-                    flat[at[rows]] += z[np.arange(len(rows)), code[rows] % MEMBERS] - np.log(np.exp(z).sum(axis=1))
-        return out
-
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Gradient of the mean negative log probability, and that mean."""
-        p, f = self.p, self.forward(inputs)
-        code = targets.ravel().astype(np.int64)
-        goal = code // MEMBERS
-        real = goal != PAD
-        n = max(1, int(real.sum()))
-        z = f["h2"] @ p["U"] + p["c"]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        rows = np.flatnonzero(real)
-        loss = -float(np.log(np.maximum(z[rows, goal[rows]], 1e-30)).mean()) if len(rows) else 0.0
-        z[rows, goal[rows]] -= 1
-        z[~real] = 0
-        z /= np.float32(n)
-        g = {"U": f["h2"].T @ z, "c": z.sum(axis=0)}
-        d2 = z @ p["U"].T
-        g["U2"], g["c2"] = np.zeros_like(p["U2"]), np.zeros_like(p["c2"])
-        for c in np.unique(goal[(goal > 0) & (goal <= CLASSES)]):
-            own = np.flatnonzero(goal == c)
-            y = f["h2"][own] @ p["U2"][c] + p["c2"][c]
-            y -= y.max(axis=1, keepdims=True)
-            np.exp(y, out=y)
-            y /= y.sum(axis=1, keepdims=True)
-            chosen = y[np.arange(len(own)), code[own] % MEMBERS]
-            loss -= float(np.log(np.maximum(chosen, 1e-30)).sum()) / n
-            y[np.arange(len(own)), code[own] % MEMBERS] -= 1
-            y /= n
-            g["U2"][c], g["c2"][c] = f["h2"][own].T @ y, y.sum(axis=0)
-            d2[own] += y @ p["U2"][c].T
-        g["W2"] = f["act"].T @ d2
-        dpre = (d2 @ p["W2"].T) * (f["act"] > 0)
-        g["W1"], g["b1"] = f["h1"].T @ dpre, dpre.sum(axis=0)
-        d1 = d2 + dpre @ p["W1"].T
-        g["O"] = f["mixed"].T @ d1
-        dE = np.zeros_like(p["E"])
-        own_rows, all_rows = _one_hot(f["own"], d1.dtype), _one_hot(f["x"], d1.dtype)
-        dE += own_rows.T @ d1
-        dmixed = (d1 @ p["O"].T).reshape(len(inputs), NEW, WIDTH)
-        x, own, k = f["x"], f["own"], WIDTH // HEADS
-        g["Q"], g["K"], g["V"], g["B"] = np.zeros_like(p["Q"]), np.zeros_like(p["K"]), np.zeros_like(p["V"]), np.zeros_like(p["B"])
-        scale = np.float32(k**-0.5)
-        for h in range(HEADS):
-            a, dh = f["weights"][h], dmixed[:, :, h * k : (h + 1) * k]
-            dv = all_rows.T @ np.matmul(a.transpose(0, 2, 1), dh).reshape(-1, k)
-            da = np.matmul(dh, self.v[h].take(x, axis=0).transpose(0, 2, 1))
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            g["B"][h] = np.bincount(np.maximum(_BACK, 0).ravel(), weights=np.where(_FUTURE, 0, ds.sum(axis=0)).ravel(), minlength=CONTEXT)
-            dq = own_rows.T @ (np.matmul(ds, self.k[h].take(x, axis=0)) * scale).reshape(-1, k)
-            dk = all_rows.T @ np.matmul(ds.transpose(0, 2, 1), self.q[h].take(own, axis=0)).reshape(-1, k)
-            E = p["E"]
-            g["Q"][h], g["K"][h], g["V"][h] = E.T @ dq, E.T @ dk, E.T @ dv
-            dE += dq @ p["Q"][h].T + dk @ p["K"][h].T + dv @ p["V"][h].T
-        g["E"] = dE
-        return g, loss
-
-
-def train(p: dict[str, np.ndarray], blocks: Blocks, epochs: int, rate: float, batch: int = 256, seed: int = 3) -> tuple[dict[str, np.ndarray], float]:
-    """Adam over the blocks; the same blocks give the same parameters. Returns them and the last epoch's mean loss."""
-    p = {k: v.copy() for k, v in p.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
-    steps = max(1, epochs * -(-len(blocks.inputs) // batch))
-    t, loss = 0, 0.0
-    for _ in range(epochs):
-        losses = []
-        order = rng.permutation(len(blocks.inputs))
-        for a in range(0, len(order), batch):
-            rows = order[a : a + batch]
-            g, loss = Model(p).gradients(blocks.inputs[rows], blocks.targets[rows])
-            losses.append(loss)
-            t += 1
-            now = rate * (1 - 0.9 * t / steps)
-            for k in p:
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.005 * (g[k] * g[k] - second[k])
-                p[k] -= (now * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.995**t)) + 1e-8)).astype(np.float32)
-        loss = float(np.mean(losses)) if losses else 0.0
-    return p, loss
-
+def count_ids(counts: DataFrame, path: str) -> np.ndarray:
+    """By id, from all distinct words: occurrences as a word's first subword; words that begin with it; of those, seen once; and its places further inside words."""
+    size = bpe(path).max_token_value + 1
 
-@dataclass
-class Scorer:
-    """All that a worker needs to score texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = bpe(path)
+        total = np.zeros((4, size), dtype=np.int64)
+        for batch in batches:
+            ids, n = encoded(encoder, batch.column(0).to_pylist())
+            if not len(n):
+                continue
+            times, begin = batch.column(1).to_numpy(), np.cumsum(n) - n
+            first, inner = ids[begin], np.delete(ids, begin)
+            np.add.at(total[0], first, times)
+            for row, some in ((1, first), (2, first[times == 1]), (3, inner)):
+                total[row] += np.bincount(some, minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total.ravel()[some], pa.int64())], names=["cell", "times"])
+
+    found = np.zeros(4 * size, dtype=np.int64)
+    rows = common.map_batches(counts.select("word", "times"), run, "cell bigint, times bigint").groupBy("cell").agg(F.sum("times")).collect()  # at most four times the vocabulary
+    for cell, times in rows:
+        found[cell] = times
+    return found.reshape(4, size)
+
+
+def train(model: Attention, rows: DataFrame, windows: Callable[[pa.Array], Iterator[Windows]]) -> None:
+    """One round of ``model`` over all ``rows`` (one column), which ``windows`` turns into windows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    path: str
-    code: np.ndarray
-    inside: np.ndarray
-    params: dict[str, np.ndarray]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = shared.value.ready(), None
+        for batch in batches:
+            for made in windows(batch.column(0)):
+                total = own.expected(made, total)
+        if total is not None:
+            cut = np.array_split(total.astype(np.int64), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, dtype=np.int64)
+                sums[i] = sums[i] + x if i in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
-    def table(self, counts: WordCounts | None = None) -> WordTable:
-        return WordTable(self.path, self.code, self.inside, counts)
+    schema = "slice int, counts binary"
+    found = common.map_batches(common.map_batches(rows, run, schema).repartition("slice"), add, schema).collect()  # the model's size
+    shared.unpersist()
+    if found:
+        model.update(np.concatenate([np.frombuffer(r[1], dtype=np.int64) for r in sorted(found)]).astype(np.float64))
 
-    def blocks(self, table: WordTable, texts: list[bytes]) -> tuple[Blocks, np.ndarray, np.ndarray]:
-        """Windows of the texts; the numbers of their words and ends; how many each text has."""
-        split = [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
-        for words in split:
-            words.append(b"")
-        n = np.array([len(s) for s in split], dtype=np.int64)
-        numbers = table.numbers(split)
-        first = np.cumsum(n) - n
-        return Blocks(table.sequence(numbers), np.add.reduceat(table.size[numbers], first).astype(np.int64)), numbers, n
 
+def fit(docs: DataFrame, counts: DataFrame, ends: int, path: str, id_col: str, text_col: str, rounds: int = ROUNDS) -> tuple[Reader, Attention, Attention]:
+    """The reader, the model of texts and that of words, from all training documents ``docs``, of which there are ``ends``, and their word ``counts``."""
+    import uuid
 
-def _symbols(texts: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each id's code, the log share of ids in the tail of their class (0 for others), and log shares of the members."""
     encoder = bpe(path)
-    size = bpe(path).max_token_value + 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(path)
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            texts = common.as_bytes(batch.column(0))
-            for a, b in common.slices(texts):
-                numbers = table.numbers([t.lower().split() for t in texts[a:b]])
-                total += np.bincount(table.sequence(numbers), minlength=size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "times"])
-
-    rows = common.map_batches(texts, run, "id bigint, times bigint").groupBy("id").agg(F.sum("times").alias("times")).toPandas().sort_values(["times", "id"], ascending=[False, True])  # at most the vocabulary
-    own = rows["id"].to_numpy(dtype=np.int64)[: SYMBOLS - 1 - CLASSES]
-    times = np.zeros(size)
-    times[rows["id"].to_numpy(dtype=np.int64)] = rows["times"]
-    times += 0.1
-    times[own] = 0
-    mass: dict[bytes, float] = {}
-    begins = [b""] * size
-    for i in range(encoder.max_token_value + 1):
-        string = encoder.decode_single_token_bytes(i)
-        begins[i] = string[: 2 if string[:1] == b" " else 1]
-        mass[begins[i]] = mass.get(begins[i], 0.0) + times[i]
-    largest = sorted(mass, key=lambda g: (-mass[g], g))[: CLASSES - 1]
-    number = {g: 1 + k for k, g in enumerate(largest)}
-    symbol = np.array([number.get(g, CLASSES) for g in begins], dtype=np.int64)
-    symbol[own] = np.arange(1 + CLASSES, 1 + CLASSES + len(own))
-    member = np.zeros(size, dtype=np.int64)
-    shares = np.full((CLASSES + 1, MEMBERS), 1e-9)
-    for c in range(1, CLASSES + 1):
-        ids = np.flatnonzero(symbol == c)
-        ids = ids[np.lexsort((ids, -times[ids]))][: MEMBERS - 1]
-        ids = ids[times[ids] > 1]
-        member[ids] = np.arange(1, 1 + len(ids))
-        shares[c, : 1 + len(ids)] = [times[(symbol == c) & (member == 0)].sum() + 1e-3, *times[ids]]
-        shares[c] /= shares[c].sum()
-    tail = (symbol <= CLASSES) & (member == 0)
-    whole = np.bincount(symbol[tail], weights=times[tail], minlength=SYMBOLS)
-    inside = np.where(tail, np.log(np.maximum(times, 1e-300) / np.maximum(whole[symbol], 1e-300)), 0.0)
-    return (symbol * MEMBERS + member).astype(np.int16), inside, np.log(shares).astype(np.float32)
-
-
-def _local_rounds(texts: DataFrame, scorer: Scorer, rate: float) -> dict[str, np.ndarray]:
-    """One round: each task trains on its texts from the given parameters; the results are averaged by tokens."""
-    names = sorted(scorer.params)
-    shapes = [scorer.params[k].shape for k in names]
+    times, words, once, inner = count_ids(counts, path)
+    firsts, inside = symbols(times, times, ends, encoder), symbols(words + inner, inner, float(words.sum()), encoder)
+    by_symbol = [np.bincount(firsts.code, weights=x, minlength=SYMBOLS) for x in (times, once)]
+    reader = Reader(path, uuid.uuid4().hex, firsts, inside, *by_symbol)
+    text, word = Attention(TEXT_WINDOW, firsts.share), Attention(WORD_WINDOW, inside.share)
+
+    def of_words(column: pa.Array) -> Iterator[Windows]:
+        found = column.to_pylist()
+        if found:
+            yield reader.spelling(*encoded(bpe(path), found))
+
+    def of_texts(column: pa.Array) -> Iterator[Windows]:
+        texts, table = common.as_bytes(column), table_of(reader)
+        for a, b in common.slices(texts):
+            yield table.windows(texts[a:b])[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, params, tokens = scorer.table(), scorer.params, 0
-        for batch in batches:
-            texts = common.as_bytes(batch.column(0))
-            for a, b in common.slices(texts):
-                made = scorer.blocks(table, texts[a:b])[0]
-                params, _ = train(params, made, 1, rate)
-                tokens += int((made.targets != PADDED).sum())
-        if tokens:
-            flat = np.concatenate([params[k].ravel() for k in names]).astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.concatenate(([tokens], flat)))], names=["i", "x"])
-
-    rows = common.map_batches(texts, run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")  # one row a parameter
-    if not len(rows):
-        return scorer.params
-    flat = (rows["x"].to_numpy()[1:] / rows["x"].iloc[0]).astype(np.float32)
-    ends = np.cumsum([int(np.prod(s)) for s in shapes])
-    return {k: flat[e - int(np.prod(s)) : e].reshape(s) for k, s, e in zip(names, shapes, ends, strict=True)}
-
-
-def fit(docs: DataFrame, total: int, path: str, id_col: str, text_col: str) -> Scorer:
-    """Fit on the training documents ``docs``, of which there are ``total``."""
     texts = F.coalesce(F.col(text_col), F.lit("")).alias("__text")
-    deal = F.pmod(F.xxhash64(F.lit("lm"), F.col(id_col)), F.lit(ROUNDS))
-    # about four times as many as are needed, so that what reaches the driver doesn't grow with the corpus
-    odds = F.pmod(F.xxhash64(F.lit("warm"), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, 4 * WARM_DOCS / max(total, 1)) * (1 << 30))
-    drawn = docs.filter(odds & (F.length(text_col) <= WARM_LENGTH)).orderBy(F.xxhash64(id_col), id_col).limit(WARM_DOCS)
-    warm = [r[0].encode("utf-8") for r in drawn.select(texts).collect()]
-    code, inside, shares = _symbols(docs.select(texts), path)
-    scorer = Scorer(path, code, inside, initial() | {"c2": shares})
-    if warm:
-        made = scorer.blocks(scorer.table(), warm)[0]
-        share = np.bincount(made.targets[made.targets != PADDED] // MEMBERS, minlength=SYMBOLS) + 1.0
-        scorer.params["c"] = np.log(share / share.sum()).astype(np.float32)
-        scorer.params, _ = train(scorer.params, made, epochs=3, rate=1e-2)
-    for r in range(ROUNDS):
-        scorer.params = _local_rounds(docs.filter(deal == r).select(texts), scorer, 3e-3 / (r + 1))
-    return scorer
+    deal = F.pmod(F.xxhash64(F.lit("lm"), F.col(id_col)), F.lit(rounds))
+    for r in range(rounds):
+        train(word, counts.filter(F.pmod("hash", F.lit(rounds)) == r).select("word"), of_words)
+    for r in range(rounds):
+        train(text, docs.filter(deal == r).select(texts), of_texts)
+    return reader, text, word
 
 
 def scored(docs: DataFrame, training: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -504,48 +502,60 @@ def scored(docs: DataFrame, training: Column, path: str, id_col: str = "doc_id",
     ``training``: which rows teach, by ``id_col``. Tokens are the words with A-Z
     lower-cased, and one end; n_known: those seen in training; base_score: the
     add-half unigram's log10 probability; score: the attention model's, of the same
-    words as subwords and the end. A null or empty text is one end. Null ids and
-    repeated rows are scored like others; other columns aren't read. With no
-    training rows every count is 0 and the model keeps its initial parameters.
+    words as subwords and the end. A null or empty text is one end. Texts of any
+    length are scored whole, in windows. Null ids and repeated rows (which teach as
+    often as they come) are scored like others; equal texts score alike; other columns,
+    whatever their names, aren't read. An empty table gives no rows. With no training
+    rows every count is 0 and the model keeps its initial parameters.
     """
     spark = docs.sparkSession
     teach = docs.filter(training).select(id_col, text_col)
     counts = common.stored(count_words(teach.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"))), "words")
     total = teach.count()
     known, bound = frequent_words(counts, total)
-    scorer = spark.sparkContext.broadcast((fit(teach, total, path, id_col, text_col), known))
+    shared = spark.sparkContext.broadcast((*fit(teach, counts, total, path, id_col, text_col), known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fitted, counts = scorer.value
-        model, table = Model(fitted.params), fitted.table(counts)
+        reader, model, spelling, counts = shared.value
+        model.ready()
+        table = table_of(reader, counts, spelling.ready())
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = common.as_bytes(batch.column(1))
             for a, b in common.slices(texts):
-                blocks, numbers, n = fitted.blocks(table, texts[a:b])
+                windows, numbers, n = table.windows(texts[a:b])
                 first = np.cumsum(n) - n
-                log_p = model.log_probs(blocks.inputs, blocks.targets).sum(axis=1)
-                score = np.add.reduceat(log_p, np.cumsum(blocks.blocks) - blocks.blocks) + np.add.reduceat(table.inside[numbers], first)
+                log_p = model.log_probs(windows).sum(axis=1)
+                score = np.add.reduceat(log_p, np.cumsum(windows.blocks) - windows.blocks) + np.add.reduceat(table.own[numbers], first)
                 rare = table.rare[numbers]
-                base = np.add.reduceat(table.value[numbers], first) + counts.log10(counts.ends)
+                base = np.add.reduceat(table.base[numbers], first) + counts.log10(counts.ends)
                 unmet = np.add.reduceat(rare.astype(np.int64), first)
                 familiar = n - 1 - unmet + (counts.ends > 0)
-                unknown, begin = table.hash[numbers[rare]], np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(unmet).astype(np.int32)))
+                which, begin = numbers[rare], np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(unmet).astype(np.int32)))
+                one = pa.StructArray.from_arrays([pa.array(table.hash[which]), pa.array(table.scale[which]), pa.array(table.spelled[which])], names=["hash", "scale", "spelled"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + b - a)), batch.column(0)[a:b], pa.array(n), pa.array(familiar), pa.array(base), pa.array(score / np.log(10)), pa.ListArray.from_arrays(pa.array(begin), pa.array(unknown))],
+                    [pa.array(np.arange(row, row + b - a)), batch.column(0)[a:b], pa.array(n), pa.array(familiar), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(begin), one)],
                     names=["row", id_col, "n_tokens", "known", "base", "score", "rare"],
                 )
                 row += b - a
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = common.stored(common.map_batches(docs.select(id_col, text_col), run, f"row bigint, `{id_col}` {kind}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"), "scores")
+    schema = f"row bigint, `{id_col}` {kind}, n_tokens bigint, known bigint, base double, score double, rare array<struct<hash: bigint, scale: float, spelled: float>>"
+    rows = common.stored(common.map_batches(docs.select(id_col, text_col), run, schema), "scores")
     unseen = float(known.log10(0))
-    rest = counts.filter(F.col("times") < bound) if bound < 1 << 62 else counts
-    value = F.coalesce(F.log10((F.col("times") + 0.5) / F.lit(known.tokens + 0.5 * (known.distinct + 1))), F.lit(unseen))
-    met = rows.select("row", F.explode("rare").alias("hash")).join(rest, "hash", "left")
-    extra = met.groupBy("row").agg(F.sum(value).alias("more"), F.count("times").alias("met"))
+    rest = (counts.filter(F.col("times") < bound) if bound < 1 << 62 else counts).select("hash", "times")
+    base = F.coalesce(F.log10((F.col("times") + 0.5) / F.lit(known.tokens + 0.5 * (known.distinct + 1))), F.lit(unseen))
+    spelled = F.col("spelled").cast("double")
+    own = F.when(F.col("times").isNull(), spelled).otherwise(F.log(F.col("times") * F.col("scale").cast("double") + F.exp(spelled)))
+    met = rows.select("row", F.inline("rare")).join(rest, "hash", "left")
+    extra = met.groupBy("row").agg(F.sum(base).alias("more"), F.sum(own).alias("words"), F.count("times").alias("met"))
     return rows.drop("rare").join(extra, "row", "left").select(
-        id_col, "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(known.tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
+        id_col,
+        "n_tokens",
+        (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"),
+        F.lit(known.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        ((F.col("score") + F.coalesce("words", F.lit(0.0))) / F.lit(float(np.log(10)))).alias("score"),
     )

@@ -193,43 +193,91 @@ def test_rare_words_are_counted_by_the_join(edge, tokenizer, monkeypatch):
         assert a["n_known"] == b["n_known"] and a["base_score"] == pytest.approx(b["base_score"])
 
 
-def test_every_training_document_counts_ids_and_trains_once(spark, tokenizer, monkeypatch):
+def test_every_training_document_is_counted_and_trains_once(spark, tokenizer, monkeypatch):
     texts = [f"document {i} tells of thing{i * i}" for i in range(60)] + ["", "long " * 5000]
     docs = spark.createDataFrame([*enumerate(texts), (None, "without id")], "doc_id bigint, text string")
-    want, symbols, met = sorted([*texts, "without id"]), attention_lm._symbols, {"ids": [], "rounds": []}
-    monkeypatch.setattr(attention_lm, "_symbols", lambda df, path: (met["ids"].extend(r[0] for r in df.collect()), symbols(df, path))[1])
-    monkeypatch.setattr(attention_lm, "_local_rounds", lambda df, scorer, rate: (met["rounds"].extend(r[0] for r in df.collect()), scorer.params)[1])
-    attention_lm.fit(docs, docs.count(), tokenizer, "doc_id", "text")
-    assert sorted(met["ids"]) == want and sorted(met["rounds"]) == want
-
-
-def test_attention_model_is_causal_proper_and_its_gradient_right():
+    met: list[list] = []
+    monkeypatch.setattr(attention_lm, "train", lambda model, rows, windows: met.append([r[0] for r in rows.collect()]))
+    counts = attention_lm.count_words(docs.select("text"))
+    attention_lm.fit(docs, counts, docs.count(), tokenizer, "doc_id", "text")
+    words, read = met[: attention_lm.ROUNDS], met[attention_lm.ROUNDS :]
+    assert sorted(t for r in read for t in r) == sorted([*texts, "without id"])
+    own = Counter(w for t in [*texts, "without id"] for w in t.encode().split())
+    assert sorted(bytes(w) for r in words for w in r) == sorted(own) and {bytes(r.word): r.times for r in counts.collect()} == own
+
+
+def plain_attention(model, inputs, targets):
+    """log probability of each target by plain loops: all keys of the target's window up to its own input."""
+    context, new = model.shape
+    out = []
+    for i, y in enumerate(targets):
+        first = i // new * new - (context - new)
+        weights, chosen = 0.0, 0.0
+        for h in range(attention_lm.HEADS):
+            for j in range(max(first, 0), i + 1):
+                w = math.exp(model.logits[h][inputs[i]][inputs[j]] + model.bias[h][i - j])
+                weights, chosen = weights + w, chosen + w * model.values[h][inputs[j]][y]
+        out.append(math.log(chosen / weights))
+    return out
+
+
+def test_score_is_that_of_a_plain_forward_over_whole_texts(spark, edge, tokenizer):
+    A = attention_lm
+    teach = edge.filter(~common.held_out(5, 1))
+    counts = A.count_words(teach.select(F.coalesce("text", F.lit(""))))
+    reader, text_model, word_model = A.fit(teach, counts, teach.count(), tokenizer, "doc_id", "text")
+    times = {bytes(r.word): r.times for r in counts.collect()}
+    encoder, spelled = A.bpe(tokenizer), {}
+
+    def word_score(word):
+        if word not in spelled:
+            ids = encoder.encode_ordinary(" " + word.decode())
+            inner = reader.inner.code[ids].tolist()
+            log_p = sum(plain_attention(word_model, inner, [*inner[1:], A.END])) + reader.firsts.log_share[ids[0]] + sum(reader.inner.log_share[i] for i in ids[1:])
+            s = reader.firsts.code[ids[0]]
+            spelled[word] = int(s), math.log((1 - reader.unseen[s]) * times.get(word, 0) / max(reader.seen[s], 1) + reader.unseen[s] * math.exp(log_p)) if log_p > -600 else math.log(reader.unseen[s]) + log_p
+        return spelled[word]
+
+    got = {r.doc_id: r.score for r in A.scored(edge, ~common.held_out(5, 1), tokenizer).collect() if r.doc_id is not None}
+    for r in edge.filter("doc_id is not null and length(coalesce(text, '')) < 3000").collect():
+        words = [word_score(w) for w in (r.text or "").encode().lower().split()]
+        codes = [s for s, _ in words] + [A.END]
+        want = sum(plain_attention(text_model, [A.END, *codes[:-1]], codes)) + sum(v for _, v in words)
+        assert got[r.doc_id] == pytest.approx(want / math.log(10), rel=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(edge, tokenizer):
+    runs = [sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in attention_lm.scored(edge.repartition(n), ~common.held_out(5, 1), tokenizer).collect()) for n in (1, 5)]
+    for a, b in zip(*runs, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-12)
+
+
+def test_attention_is_causal_and_proper_and_training_raises_the_likelihood():
     A = attention_lm
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in A.initial().items()}
-    codes = rng.integers(0, A.SYMBOLS, 60) * A.MEMBERS
-    codes = np.where(codes // A.MEMBERS <= A.CLASSES, codes + 3, codes)
-    codes[codes < A.MEMBERS] = A.MEMBERS * 100
-    codes[-1] = 0
-    one = A.Blocks(codes.astype(np.int16), np.array([60]))
-    base = A.Model(p).log_probs(one.inputs, one.targets).ravel()[:60]
+    model = A.Attention((8, 4), np.full(A.SYMBOLS, 1 / A.SYMBOLS))
+    model.logits = rng.normal(0, 1, model.logits.shape)
+    codes = rng.integers(1, 40, 60)
+    codes[-1] = A.END
+    one = lambda x: A.Windows(np.array(x), np.array([len(x)]), A.END, model.shape)
+    base = model.ready().log_probs(one(codes)).ravel()[:60]
     changed = codes.copy()
-    changed[40] = A.MEMBERS * (A.CLASSES + 5)
-    other = A.Model(p).log_probs(*(lambda b: (b.inputs, b.targets))(A.Blocks(changed.astype(np.int16), np.array([60])))).ravel()[:60]
-    assert np.allclose(base[:40], other[:40]) and not np.allclose(base[40:], other[40:])
-    both = A.Blocks(np.concatenate((codes, codes)).astype(np.int16), np.array([60, 60]))  # a text's score doesn't depend on its neighbours
-    assert np.allclose(A.Model(p).log_probs(both.inputs, both.targets).sum(), 2 * base.sum())
-    alone = [A.Blocks(np.array([c], dtype=np.int16), np.array([1])) for c in [s * A.MEMBERS for s in [0, *range(A.CLASSES + 1, A.SYMBOLS)]] + [c * A.MEMBERS + m for c in range(1, A.CLASSES + 1) for m in range(A.MEMBERS)]]
-    assert sum(np.exp(A.Model(p).log_probs(b.inputs, b.targets).sum()) for b in alone) == pytest.approx(1.0)
-    g, _ = A.Model(p).gradients(one.inputs, one.targets)
-    for k in p:
-        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        loss = []
-        for e in (1e-4, -1e-4):
-            q = {n: v.copy() for n, v in p.items()}
-            q[k][at] += e
-            loss.append(A.Model(q).gradients(one.inputs, one.targets)[1])
-        assert g[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-4, rel=1e-3)
+    changed[40] = 77
+    other = model.log_probs(one(changed)).ravel()[:60]
+    assert np.allclose(base[:40], other[:40]) and base[40] == pytest.approx(other[40])  # values are still uniform
+    both = A.Windows(np.concatenate((codes, codes)), np.array([60, 60]), A.END, model.shape)  # a text's score doesn't depend on its neighbours
+    assert np.allclose(model.log_probs(both).sum(), 2 * base.sum())
+    before = base.sum()
+    for _ in range(4):
+        model.update(model.ready().expected(one(codes)))
+        after = model.ready().log_probs(one(codes)).sum()
+        assert after > before
+        before = after
+    assert sum(np.exp(model.log_probs(one([*codes[:5], s])).ravel()[5]) for s in range(A.SYMBOLS)) == pytest.approx(1.0, abs=1e-4)
+    assert model.log_probs(one(codes)).ravel()[:60] == pytest.approx(plain_attention(model, [A.END, *codes[:-1]], codes), rel=1e-4)
+    split = [A.Windows(codes[a:b], np.array([b - a]), A.END, model.shape) for a, b in ((0, 20), (20, 60))]
+    whole = A.Windows(codes, np.array([20, 40]), A.END, model.shape)
+    assert (model.expected(split[1], model.expected(split[0])) == model.expected(whole)).all()
 
 
 def test_digest_of_no_secret_is_that_of_nothing():
