@@ -18,6 +18,7 @@ from folia.functions import tables as TB
 from folia.functions import text as T
 from folia.operators import chunking, index, layout, metadata, retrieval, routing
 from folia.operators.splitting import split_text
+from folia.plans import oracles
 from folia.sources import tables as S
 from folia.streaming import latency
 
@@ -708,3 +709,5 @@ def latency_percentiles(spark, sf_dir):
     s AS (SELECT *, sum(new) OVER (PARTITION BY request_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM n) SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 minute AS session_end, request_id, count(*) AS n, round(sum(value), 4) AS total_ms FROM s GROUP BY request_id, k""")
 def latency_sessions(spark, sf_dir):
     return latency.sessions(latency.latency_events(S.table(spark, sf_dir, "events")))
+
+ORACLES |= oracles.oracles(BLOCKS_SQL.strip(), PAGES_SQL.strip(), _BM25, _VEC, _RRF)
