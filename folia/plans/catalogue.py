@@ -711,3 +711,5 @@ def latency_sessions(spark, sf_dir):
     return latency.sessions(latency.latency_events(S.table(spark, sf_dir, "events")))
 
 ORACLES |= oracles.oracles(BLOCKS_SQL.strip(), PAGES_SQL.strip(), _BM25, _VEC, _RRF)
+
+from folia.plans import documents  # noqa: E402, F401  registers further queries
