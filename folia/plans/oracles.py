@@ -153,6 +153,22 @@ def oracles(blocks: str, pages: str, bm25: str, vectors: str, rrf: str) -> dict[
     """The SQL by query name, over the catalogue's CTEs of blocks, pages and ranked lists."""
     hits = lambda items, tok: f"len(list_filter({items}, lambda z: list_contains({tok}, z)))"
     dated = " OR ".join(f"regexp_matches(z, '{p}')" for p in _DATES)
+    block_id = "substr(md5(type || '::' || concat_ws(',', CAST(x0 AS VARCHAR), CAST(y0 AS VARCHAR), CAST(x1 AS VARCHAR), CAST(y1 AS VARCHAR), CAST(page_num AS VARCHAR), CAST(seq AS VARCHAR)) || '::' || text), 1, 12)"
+    name = lambda strategy: f"doc_id || ':{strategy}:p' || page_num || ':' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INTEGER), '0') || ':' || chunk_type || ':' || substr(md5(sources), 1, 8)"
+    text_first = f"""WITH RECURSIVE {pages}, o AS (SELECT *, {clean('text')} AS c, {block_id} AS bid, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y0, x0, seq) AS i FROM blocks WHERE type <> 'table'),
+            f AS (SELECT doc_id, page_num, i, length(c) AS len_, 1 AS flow FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.page_num, o.i, CASE WHEN f.len_ + length(o.c) > 950 OR f.len_ = 0 THEN length(o.c) WHEN o.c = '' THEN f.len_ ELSE f.len_ + 2 + length(o.c) END, f.flow + CAST(f.len_ + length(o.c) > 950 AS INTEGER)
+              FROM f JOIN o ON o.doc_id = f.doc_id AND o.page_num = f.page_num AND o.i = f.i + 1),
+            g AS (SELECT doc_id, page_num, flow, min(i) AS place, count(*) AS n, string_agg(c, chr(10) || chr(10) ORDER BY i) FILTER (c <> '') AS t, string_agg(bid, ',' ORDER BY i) AS sources FROM f JOIN o USING (doc_id, page_num, i) GROUP BY ALL),
+            kept AS (SELECT doc_id, page_num, 0 AS kind, place, n, CASE WHEN n > 1 THEN 'block_group' ELSE 'text' END AS chunk_type, t, sources FROM g WHERE coalesce(t, '') <> '' AND NOT (length(t) < 24 AND n = 1)),
+            rest AS (SELECT doc_id, page_num, 1 AS kind, 0 AS place, (SELECT count(*) FROM blocks b WHERE b.doc_id = p.doc_id AND b.page_num = p.page_num) AS n, 'page' AS chunk_type, {clean('text')} AS t,
+              (SELECT string_agg({block_id}, ',' ORDER BY y0, x0, seq) FROM blocks b WHERE b.doc_id = p.doc_id AND b.page_num = p.page_num) AS sources FROM pages_ p WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = p.doc_id AND k.page_num = p.page_num)),
+            ided AS (SELECT *, doc_id || '|' || page_num || '|' || place AS id FROM (SELECT * FROM kept UNION ALL SELECT * FROM rest) WHERE t <> ''), {split('ided')},
+            nr AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, kind, place, pos) AS INTEGER) AS chunk_index FROM parts)
+            SELECT {name('text_first_with_visual_support')} AS chunk_id, doc_id, page_num, chunk_index, chunk_type, CAST(length(text) AS INTEGER) AS char_len, CAST(greatest(1, length(text) // 4) AS INTEGER) AS token_estimate, CAST(n AS INTEGER) AS sources FROM nr"""
+    native = f"""WITH RECURSIVE {pages}, rows_ AS (SELECT doc_id, page_num, -1 AS seq, 'native_page' AS chunk_type, {clean('text')} AS t, '' AS sources FROM pages_ UNION ALL SELECT doc_id, page_num, seq, type, {clean('text')}, CAST(seq AS VARCHAR) FROM blocks),
+            ided AS (SELECT *, doc_id || '|' || page_num || '|' || seq AS id FROM rows_ WHERE t <> ''), {split('ided', 1350)},
+            nr AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, seq, pos) AS INTEGER) AS chunk_index FROM parts)
+            SELECT {name('llm_ready_native')} AS chunk_id, doc_id, page_num, chunk_index, chunk_type, CAST(length(text) AS INTEGER) AS char_len FROM nr"""
     return {
         "text_predicates": rf"""WITH d AS (SELECT doc_id, text AS t, {clean('text')} AS cl FROM documents), {measured('d')},
             e AS (SELECT *, {found('cl', T.SENTENCE_END)} AS ends, {found('cl', T.PHONE)} + {found('cl', T.EMAIL)} + {found('cl', T.URL)} AS signs FROM measured),
@@ -165,10 +181,12 @@ def oracles(blocks: str, pages: str, bm25: str, vectors: str, rrf: str) -> dict[
               FROM f JOIN o ON o.doc_id = f.doc_id AND o.page_num = f.page_num AND o.i = f.i + 1)
             SELECT doc_id, page_num, 'text_flow:' || flow AS group_key, count(*) AS blocks, CAST(sum(own) AS BIGINT) AS chars FROM f GROUP BY ALL""",
         "sparse_pages": f"WITH {pages} SELECT doc_id, page_num, length({clean('text')}) < 80 AS sparse FROM pages_",
-        "native_chunks": f"""WITH RECURSIVE {pages}, rows_ AS (SELECT doc_id, page_num, -1 AS seq, 'native_page' AS chunk_type, {clean('text')} AS t, '' AS sources FROM pages_ UNION ALL SELECT doc_id, page_num, seq, type, {clean('text')}, CAST(seq AS VARCHAR) FROM blocks),
-            ided AS (SELECT *, doc_id || '|' || page_num || '|' || seq AS id FROM rows_ WHERE t <> ''), {split('ided', 1350)},
-            nr AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, seq, pos) AS INTEGER) AS chunk_index FROM parts)
-            SELECT doc_id || ':llm_ready_native:p' || page_num || ':' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INTEGER), '0') || ':' || chunk_type || ':' || substr(md5(sources), 1, 8) AS chunk_id, doc_id, page_num, chunk_index, chunk_type, CAST(length(text) AS INTEGER) AS char_len FROM nr""",
+        "native_chunks": native,
+        "text_first_chunks": text_first,
+        "chunk_payloads": f"""WITH c AS (SELECT doc_id, 'text_first_with_visual_support' AS strategy_name, count(*) AS n FROM ({text_first}) GROUP BY 1 UNION ALL SELECT doc_id, 'llm_ready_native', count(*) FROM ({native}) GROUP BY 1),
+            h AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, s.strategy_name, source AS filename, lang AS document_type FROM documents, (VALUES ('text_first_with_visual_support'), ('llm_ready_native')) s(strategy_name)),
+            x AS (WITH {pages} SELECT s.doc_id, string_agg('stub:' || (s.page_num + 1), ',' ORDER BY 'stub:' || (s.page_num + 1)) AS issues FROM pages_ s WHERE s.page_num % 3 <> 2 AND NOT EXISTS (SELECT 1 FROM pages_ q WHERE q.doc_id = s.doc_id AND q.page_num = s.page_num + 1) GROUP BY 1)
+            SELECT h.doc_id, h.strategy_name, filename, document_type, coalesce(n, 0) AS total_chunks, 1 AS schema_version, CASE WHEN h.strategy_name = 'llm_ready_native' THEN coalesce(issues, '') ELSE '' END AS issues FROM h LEFT JOIN c ON c.doc_id = h.doc_id AND c.strategy_name = h.strategy_name LEFT JOIN x ON x.doc_id = h.doc_id""",
         "markdown_blocks": rf"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(string_split({clean('text')}, chr(10) || chr(10))) AS raw, generate_subscripts(string_split({clean('text')}, chr(10) || chr(10)), 1) - 1 AS seq FROM documents)
             SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN regexp_matches(raw, '^#{{1,6}}\s') THEN 'title' ELSE 'text' END AS type, CAST(length({strip("regexp_replace(raw, '^#{1,6}" + chr(92) + "s+', '')")}) AS INTEGER) AS chars FROM p WHERE {strip('raw')} <> ''""",
         "table_rows": f"""WITH {_CELLS}, k AS (SELECT *, count(*) OVER (PARTITION BY table_id, c) AS n_rows FROM cells)
