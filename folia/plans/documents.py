@@ -9,7 +9,7 @@ from folia import schemas
 from folia.functions import geometry as G
 from folia.functions import pagetext as P
 from folia.functions import text as T
-from folia.operators import answering, assembly, export, pages, retrieval
+from folia.operators import answering, assembly, export, pages, retrieval, slides
 from folia.plans import catalogue as C
 from folia.plans import oracles as O
 from folia.sources import tables as S
@@ -307,3 +307,92 @@ def model_documents(spark, sf_dir):
     texts = export.page_texts(export.entries(rows), export.page_titles(rows, parsed)).join(parsed.select("doc_id", "page_num", F.col("text").alias("source_text")), ["doc_id", "page_num"])
     heads = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("filename"))
     return export.report(export.documents(texts, heads)).select("doc_id", F.length("markdown").alias("chars"), F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+# --- slides, boxes and tables --------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH {C.BLOCKS_SQL}, t AS (SELECT *, {O.strip('text')} AS s, length(regexp_replace(text, '\s+', '', 'g')) AS d, 10.0 + seq % 8 AS font FROM blocks), m AS (SELECT *, length(s) AS n, {O.found('s', '[0-9]')} / greatest(1, d) AS dr, y0 < 842 * 0.16 AS high FROM t),
+    r AS (SELECT *, CASE WHEN high AND ((regexp_matches(s, '[.!?。]') AND d > 120) OR (d > 180 AND dr >= 0.12)) THEN 'body_note' WHEN high AND (font >= 14 OR (n <= 80 AND x1 - x0 > 595 * 0.18)) THEN 'title' WHEN y1 > 842 * 0.92 AND n <= 40 THEN 'footer' WHEN regexp_matches(s, '{slides.KEY_FIGURE}') AND n <= 48 THEN 'kpi_metric'
+      WHEN regexp_matches(s, '^[▪•□◦*+-]') THEN 'bullet_item' WHEN n <= 8 AND NOT regexp_matches(s, '[A-Za-z가-힣]{{2,}}') THEN 'decorative_noise' WHEN x1 - x0 < 595 * 0.12 AND n < 16 AND y0 < 842 * 0.25 THEN 'section_chip' ELSE 'body_note' END AS role FROM m)
+    SELECT doc_id, page_num, seq, role AS slide_role, CASE WHEN role = 'footer' OR (type <> 'table' AND y1 > 842 * 0.94) THEN 'footer' WHEN role = 'title' THEN 'title' ELSE type END AS kind, CASE WHEN role = 'footer' OR (type <> 'table' AND y1 > 842 * 0.94) THEN 'low' WHEN role IN ('title', 'kpi_metric') THEN 'high' END AS priority,
+      CASE WHEN y0 < 842 * 0.12 AND font >= 13.5 AND n <= 120 THEN 'section_title' WHEN y1 > 842 * 0.92 AND n <= 60 THEN 'footer_note' WHEN regexp_matches(s, '(?i)^\s*(표|table|figure|그림)\s*[0-9A-Za-z.-]+') THEN 'caption' WHEN font - 8 >= 2.5 AND n <= 90 THEN 'section_title' ELSE 'body_text' END AS report_role,
+      CASE WHEN font >= 14 AND y0 < 842 * 0.15 THEN 'title' WHEN y1 > 842 * 0.92 AND y1 - y0 < 20 THEN 'footer' ELSE 'text' END AS plain_role FROM r""")
+def block_roles(spark, sf_dir):
+    """What each block would be on a slide and in a report; fonts by number."""
+    b, font = F.col("bbox"), 10.0 + F.col("seq") % 8
+    rows = blocks(spark, sf_dir).withColumn("slide_role", slides.slide_role(F.col("text"), b, F.col("page_width"), F.col("page_height"), font))
+    kind = slides.slide_kind(F.col("type"), F.col("slide_role"), b, F.col("page_height"))
+    return rows.select("doc_id", "page_num", "seq", "slide_role", kind["type"].alias("kind"), kind["summary_priority"].alias("priority"), slides.report_role(F.col("text"), b, F.col("page_height"), font, F.lit(8.0))["role"].alias("report_role"), slides.plain_role(b, F.col("page_height"), font).alias("plain_role"))
+
+
+@query(rf"""WITH {_RICH}, s AS (SELECT *, length(regexp_replace(text, '\s+', '', 'g')) AS d, type IN ('text', 'title') AND NOT excl AND {O.strip('text')} <> '' AS said FROM rich), g AS (SELECT *, said AND slide IS NOT NULL AS st FROM s),
+    p AS (SELECT doc_id, page_num, coalesce(sum(d) FILTER (said AND NOT st), 0) AS lo, coalesce(sum(d) FILTER (st), 0) AS gl, count(*) FILTER (type = 'chart') AS visuals, coalesce(sum({O.found('text', '[.!?。]')}) FILTER (st), 0) AS stops, coalesce(sum({O.found('text', '[0-9]')}) FILTER (st), 0) AS digits FROM g GROUP BY ALL),
+    q AS (SELECT *, gl >= 40 AND lo < 40 AS only_, digits / greatest(1, gl) AS share FROM p)
+    SELECT doc_id, page_num, CAST(lo AS BIGINT) AS local_chars, CAST(gl AS BIGINT) AS global_chars, visuals, only_ AS global_only, only_ AND stops >= 1 AND gl > 55 AND share < 0.18 AND visuals <= 4 AS legal_like, only_ AND gl <= 260 AND share >= 0.08 AND visuals <= 4 AS index_like FROM q""")
+def page_profiles(spark, sf_dir):
+    return slides.page_profiles(rich_blocks(spark, sf_dir))
+
+
+@query(rf"""WITH {C.PAGES_SQL}, b AS (SELECT doc_id, page_num, count(*) AS n, count(*) FILTER (type <> 'table') AS tx, bool_or({O.any_of("regexp_replace(lower(text), '" + chr(92) + "s+', '', 'g')", ('목차', 'contents', 'index'))}) AS toc FROM blocks GROUP BY ALL), m AS (SELECT doc_id, max(page_num) AS last_ FROM b GROUP BY 1),
+    x AS (SELECT *, length(text) AS ch, {O.words('text')} AS w FROM pages_)
+    SELECT b.doc_id, b.page_num, CASE WHEN b.page_num = 1 THEN 'cover' WHEN b.page_num >= last_ THEN 'disclaimer' WHEN toc THEN 'toc' WHEN n < 5 THEN 'section_divider' ELSE 'body' END AS page_role,
+      CASE WHEN ch >= 120 OR w >= 40 OR (tx >= 4 AND ch >= 60) THEN 'native_text_slide' WHEN ch < 40 AND w < 15 AND (b.page_num % 4 > 0 AND tx = 0 OR ch < 10) THEN 'ocr_slide' ELSE 'hybrid_slide' END AS page_mode FROM b JOIN m USING (doc_id) JOIN x ON x.doc_id = b.doc_id AND x.page_num = b.page_num""")
+def page_roles(spark, sf_dir):
+    """Each page's role, and how it would be read as a slide; some are taken to have images."""
+    rows = blocks(spark, sf_dir)
+    counts = rows.groupBy("doc_id", "page_num").agg(F.count_if(F.col("type") != "table").alias("texts"))
+    t = F.col("text")
+    mode = slides.page_mode(F.length(t), F.size(T.words(t)), F.col("texts"), F.col("page_num") % 4, F.lit(0))
+    modes = pages_of(rows).join(counts, ["doc_id", "page_num"]).select("doc_id", "page_num", mode.alias("page_mode"))
+    return slides.page_roles(rows).join(modes, ["doc_id", "page_num"])
+
+
+@query(f"""WITH {C.BLOCKS_SQL}, v AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM blocks WHERE (x1 - x0) * (y1 - y0) >= 0.005 * 595 * 842 AND NOT (x1 - x0 > 595 * 0.5 AND y1 - y0 < 842 * 0.008)), r AS (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY w * h DESC, seq) AS k FROM v WINDOW p AS (PARTITION BY doc_id, page_num))
+    SELECT doc_id, page_num, seq FROM r WHERE n <= 10 OR k <= 10""")
+def kept_visuals(spark, sf_dir):
+    """All blocks taken as visuals: the larger ones of each page."""
+    return slides.kept_visuals(blocks(spark, sf_dir)).select("doc_id", "page_num", "seq")
+
+
+@query(f"""WITH {_RICH}, h AS (SELECT *, CASE WHEN seq % 5 = 0 THEN 'kpi' WHEN seq % 5 = 1 THEN 'footer' ELSE '' END AS role FROM rich WHERE type IN ('text', 'title', 'table')),
+    p AS (SELECT v.doc_id, v.page_num, v.seq, h.seq AS hs, greatest(0, least(v.x1, h.x1) - greatest(v.x0, h.x0)) * greatest(0, least(v.y1, h.y1) - greatest(v.y0, h.y0)) / ((v.x1 - v.x0) * (v.y1 - v.y0))
+      + CASE WHEN greatest(0, h.x0 - v.x1, v.x0 - h.x1) < 595 * 0.04 AND greatest(0, h.y0 - v.y1, v.y0 - h.y1) < 842 * 0.04 THEN 1.0 ELSE 0 END + CASE WHEN role = 'kpi' THEN 0.25 ELSE 0 END AS s FROM rich v JOIN h ON h.doc_id = v.doc_id AND h.page_num = v.page_num AND role <> 'footer' WHERE v.type = 'chart'),
+    b AS (SELECT * FROM p WHERE s >= 0.35 QUALIFY row_number() OVER (PARTITION BY doc_id, page_num, seq ORDER BY s DESC, hs) = 1)
+    SELECT v.doc_id, v.page_num, v.seq, b.hs AS host_seq, round(b.s, 6) AS score FROM rich v LEFT JOIN b ON b.doc_id = v.doc_id AND b.page_num = v.page_num AND b.seq = v.seq WHERE v.type = 'chart'""")
+def visual_hosts(spark, sf_dir):
+    rows = rich_blocks(spark, sf_dir).withColumn("dashboard_role", F.when(F.col("seq") % 5 == 0, "kpi").when(F.col("seq") % 5 == 1, "footer"))
+    return slides.visual_hosts(rows.filter("type = 'chart'"), rows)
+
+
+@query(f"""WITH {C.BLOCKS_SQL}, r AS (SELECT doc_id, page_num, seq % 3 AS region, (max(x1) - min(x0)) * (max(y1) - min(y0)) / (595.0 * 842.0) AS share, count(*) AS lines FROM blocks GROUP BY ALL)
+    SELECT doc_id, page_num, count(*) AS regions, round(min(share), 5) AS area_min, round(max(share), 5) AS area_max, round(avg(share), 5) AS area_mean, min(lines) AS lines_min, max(lines) AS lines_max, round(avg(lines), 3) AS lines_mean FROM r GROUP BY ALL""")
+def region_stats(spark, sf_dir):
+    return slides.region_stats(blocks(spark, sf_dir).withColumn("region", F.col("seq") % 3))
+
+
+@query(f"""WITH {C.BLOCKS_SQL}, b AS (SELECT doc_id, page_num, length({O.strip('text')}) AS n, (seq % 10) / 10.0 AS c, (x1 - x0) * (y1 - y0) AS a FROM blocks), g AS (SELECT doc_id, page_num, sum(n * c) AS w, avg(CASE WHEN c > 0.4 AND n >= 2 THEN 1.0 ELSE 0.0 END) AS valid, avg(CASE WHEN n <= 2 THEN 1.0 ELSE 0.0 END) AS micro, sum(n) AS chars, least(0.5, sum(a) / (595.0 * 842.0)) AS cov FROM b GROUP BY ALL),
+    s AS (SELECT *, CAST(w * (1.0 + valid * 0.3) * (1.0 + cov * 0.2) - micro * chars * 0.3 AS DOUBLE) AS s FROM g) SELECT doc_id, page_num, round(greatest(0.0, CASE WHEN chars < 10 THEN s * 0.1 ELSE s END), 2) AS score FROM s""")
+def box_scores(spark, sf_dir):
+    return slides.box_score(blocks(spark, sf_dir).withColumn("confidence", (F.col("seq") % 10) / 10.0))
+
+
+@query(f"""WITH {_RICH}, d AS (SELECT *, CASE CAST(doc_id AS BIGINT) % 4 WHEN 0 THEN 'slide_ir' WHEN 1 THEN 'dashboard_brief' WHEN 2 THEN 'table_heavy' ELSE 'text_report' END AS kind, {O.strip('text')} AS s FROM rich),
+    w AS (SELECT *, CASE WHEN excl THEN NULL WHEN kind = 'slide_ir' AND type = 'text' AND length(s) < 15 THEN 'slide_micro_text' WHEN kind = 'dashboard_brief' AND type = 'text' AND length(s) < 50 AND {O.found('s', '[0-9]')} / greatest(1, length(s)) < 0.1 THEN 'dashboard_narrative_noise' END AS why FROM d)
+    SELECT doc_id, page_num, seq, excl OR why IS NOT NULL AS summary_exclude, coalesce(why, reason) AS exclude_reason, CASE WHEN kind = 'table_heavy' AND type = 'table' THEN 'high' ELSE prio END AS summary_priority FROM w""")
+def suppressed_blocks(spark, sf_dir):
+    kinds = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.get(F.array(*map(F.lit, ("slide_ir", "dashboard_brief", "table_heavy", "text_report"))), (F.col("doc_id") % 4).cast("int")).alias("document_type"))
+    rows = rich_blocks(spark, sf_dir).withColumn("summary_role", F.lit(None).cast("string"))
+    return slides.suppressed(rows, kinds).select("doc_id", "page_num", "seq", "summary_exclude", "exclude_reason", "summary_priority")
+
+
+@query()
+def finished_pages(spark, sf_dir):
+    """Blocks of finished pages: checked, without repeats, tables judged, in reading order."""
+    return slides.finalised(blocks(spark, sf_dir))[0].select("doc_id", "page_num", "seq", "type", "rag_order", "table_score", "table_readiness")
+
+
+@query()
+def first_routes(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    return slides.first_route(pages_of(rows), rows)
