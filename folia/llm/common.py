@@ -28,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is
-    made and set as the checkpoint folder.
+    Only where the session names none and all runs on this machine (tests) a
+    temporary folder is made and set as the checkpoint folder; a cluster without
+    the setting is an error, as its executors wouldn't see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="folia-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -66,6 +69,16 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAS
     return n <= rows and (held or 0) <= size
 
 
+def looked_up(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, however many rows of ``left`` share a key.
+
+    ``right`` is written first. If it is small it is broadcast and ``left`` doesn't move; else both sides are plain
+    shuffles of stored rows, so that adaptive execution splits a key with many rows of ``left`` over several tasks.
+    """
+    table = stored(right, "looked-up")
+    return left.join(F.broadcast(table) if small_enough(table, rows) else table, on, how)
+
+
 def held_out(mod: int, remainder: int, doc_id: Column | str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; false for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -208,27 +208,30 @@ def near_duplicates(
     doc_id reachable, kept tells whether that is the document itself. A pair at the
     threshold t is missed by every band with probability (1 - t**rows)**bands.
     A text with fewer words is one shingle; null, empty or blank texts have none
-    and are linked with nothing. A null id: component_id null, kept. Rows that
-    repeat an id share its component. Other columns are not read.
+    and are linked with nothing; texts of any length count whole. A null id:
+    component_id null, kept. Rows that repeat an id share its component; of equal
+    ids none is preferred, as all are kept or none. An empty table gives no rows.
+    Other columns, whatever their names, are not read.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rowset = common.stored(signed(texts, k, bands, rows, "doc_id", "text"), "signed")
     reps = common.stored(
-        rowset.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "reps"
+        rowset.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "reps"
     )
     banded = reps.select("rep", F.explode("keys").alias("key"))
     heads = banded.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).filter("members > 1").select("key", "head")
-    ties = banded.join(heads, "key").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    families = components(ties)
+    ties = common.looked_up(banded, heads, "key", "inner", broadcast_rows).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    families = components(ties, broadcast_rows=broadcast_rows)
     sized = families.join(reps.select(F.col("rep").alias("node"), "n"), "node")
     parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     measured = sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select("component", parts.alias("parts"))
     members = common.stored(families.join(measured, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "parts"), "members")
     few = common.small_enough(members, broadcast_rows)
     links = confirmed_links(texts.join(F.broadcast(members) if few else members, "doc_id"), k, percent, bands, rows)
-    found = components(links)
-    by_set = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return rowset.select("doc_id", "n_shingles", "fp").join(by_set, "fp", "left").select(
+    found = components(links, broadcast_rows=broadcast_rows)
+    # a set of one document that is linked with nothing needs no look-up
+    by_set = reps.join(found, reps["rep"] == found["node"], "left").filter("component is not null or copies > 1").select("fp", F.coalesce("component", "rep").alias("component"))
+    return common.looked_up(rowset.select("doc_id", "n_shingles", "fp"), by_set, "fp", rows=broadcast_rows).select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
@@ -237,7 +240,11 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, broadcast_rows: int = common.BROADCAST_ROWS, **options) -> DataFrame:
-    """The rows and columns of ``docs`` but for documents that aren't kept; see ``near_duplicates``."""
+    """The rows and columns of ``docs`` but for documents that aren't kept; see ``near_duplicates``.
+
+    Null ids and texts without words stay; rows that repeat a kept id all stay. An
+    empty table stays empty; other columns, whatever their names, pass through.
+    """
     id_col = options.get("id_col", "doc_id")
     dropped = near_duplicates(docs, broadcast_rows=broadcast_rows, **options).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
     dropped = common.stored(dropped, "dropped")
