@@ -214,7 +214,7 @@ def plain_attention(model, inputs, targets):
         first = i // new * new - (context - new)
         weights, chosen = 0.0, 0.0
         for h in range(attention_lm.HEADS):
-            for j in range(max(first, 0), i + 1):
+            for j in range(max(i - model.local + 1, 0) if h == 0 else max(first, 0), i + 1):
                 w = math.exp(model.logits[h][inputs[i]][inputs[j]] + model.bias[h][i - j])
                 weights, chosen = weights + w, chosen + w * model.values[h][inputs[j]][y]
         out.append(math.log(chosen / weights))
