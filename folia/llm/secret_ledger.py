@@ -9,6 +9,7 @@ has, scans the rest, appends them, and joins the findings back to all paths.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,9 +18,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Raise it with any change of the rules: all blobs are then scanned again.
-RULE_VERSION = 1
-
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -30,6 +28,8 @@ _MORE = {
     "slack": re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 }
+#: Follows from the patterns and the least lengths: after any change of the rules all blobs are scanned again.
+RULE_VERSION = zlib.crc32(repr([(p.pattern, p.flags) for p in (_ASSIGN, _ACCESS, _HEX, *_MORE.values())] + [12, 18, 16]).encode())
 _ORDER = {kind: i for i, kind in enumerate(("assign", "access", "hex", *_MORE))}
 _FINDINGS = "n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string"
 
@@ -102,7 +102,7 @@ def scan(contents: DataFrame) -> DataFrame:
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at ``path``; empty before the first scan."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    schema = f"blob binary, rule_version int, {_FINDINGS}"
+    schema = f"blob binary, rule_version bigint, {_FINDINGS}"
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
@@ -114,7 +114,7 @@ def update_ledger(versions: DataFrame, path: str, id_col: str = "doc_id", text_c
     paths, contents = addressed(versions, id_col, text_col)
     known = ledger(spark, path).filter(F.col("rule_version") == rule_version).select("blob").distinct()
     unseen = contents.groupBy("blob").agg(F.first("packed").alias("packed")).join(known, "blob", "left_anti")
-    scan(unseen).withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(path)
+    scan(unseen).withColumn("rule_version", F.lit(rule_version).cast("bigint")).write.mode("append").parquet(path)
     return paths
 
 
@@ -123,12 +123,13 @@ def findings(versions: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Each row of ``versions`` is a version of a path: repeated rows and null ids each
     get their content's findings; null and empty texts have none. Whole contents of
-    any length are scanned. Other columns are not read.
+    any length are scanned; secrets that begin at one place come in the order of their
+    kinds. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     paths = update_ledger(versions, path, id_col, text_col, rule_version)
     found = ledger(versions.sparkSession, path).filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
     some = found.filter("spans <> ''").drop("rule_version")
-    joined = paths.join(some, "blob", "left")
+    joined = common.looked_up(paths, some, "blob")
     zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_assign", "n_access", "n_hex")]
     return joined.select(id_col, *zero, *(F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")))
 
@@ -137,13 +138,15 @@ def redacted(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs``, with ``[REDACTED kind]`` in place of each secret; n_chars, if there, is brought up to date.
 
     Overlapping secrets become one mark, of the first one's kind. Rows without
-    secrets, null texts included, stay as they are.
+    secrets, null texts included, stay as they are; repeated rows are treated alike,
+    texts of any length whole, and an empty table gives no rows. Other columns,
+    whatever their names, pass through.
     """
+    own, shown = ("__" + name + "_" * (1 + max(map(len, docs.columns))) for name in ("blob", "spans"))  # longer than any column of docs
     update_ledger(docs.select(F.lit(None).cast("bigint").alias("doc_id"), text_col), path, "doc_id", text_col)
-    some = ledger(docs.sparkSession, path).filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    few = common.small_enough(some, 200_000)
+    some = ledger(docs.sparkSession, path).filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias(own), F.col("spans").alias(shown)).dropDuplicates([own])
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    joined = docs.withColumn("__blob", blob).join(F.broadcast(some) if few else some, "__blob", "left").drop("__blob").select(*docs.columns, "__spans")
+    joined = common.looked_up(docs.withColumn(own, blob), some, own, rows=200_000).select(*(F.col(f"`{c}`") for c in docs.columns), shown)
     at = docs.columns.index(text_col)
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
