@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folia import schemas
 from folia.functions import pagetext as P
-from folia.operators import answering, assembly, export, pages, retrieval
+from folia.operators import answering, assembly, export, pages, retrieval, slides
 
 
 def value(spark, column, **columns):
@@ -137,3 +137,28 @@ def test_empty_pages_and_lines(spark):
     assert pages.unique_lines(none).count() == 0 and export.entries(none).count() == 0
     assert text(spark, P.narrative_profile, None).num_ratio == 0.0
     assert value(spark, P.decorative_shape(*(F.col(c) for c in "whab")), w=("double", 400.0), h=("double", 2.0), a=("double", 595.0), b=("double", 842.0))
+
+
+def test_scanned_boxes(spark):
+    rows = [("d", 1, t, c, [x, y, x + 20.0, y + 10.0], 100.0, 100.0) for t, c, x, y in (("Net", 0.9, 0.0, 0.0), ("sales", 0.8, 21.0, 0.2), ("rose", 0.7, 46.0, 0.0), ("far", 0.9, 90.0, 0.0), ("a", 0.6, 0.0, 30.0), ("--", 0.9, 30.0, 30.0), ("12", 0.55, 60.0, 30.0), ("below", 0.9, 0.0, 50.0))]
+    boxes = spark.createDataFrame(rows, "doc_id string, page_num int, text string, confidence double, bbox array<double>, page_width double, page_height double")
+    got = slides.joined_boxes(boxes).orderBy("place").collect()
+    assert [r.text for r in got] == ["Netsales rose", "far", "below"] and got[0].bbox == [0.0, 0.0, 66.0, 10.2] and got[0].confidence == pytest.approx(0.775)
+    assert slides.joined_boxes(boxes.limit(0)).count() == 0
+
+
+def test_tables_and_roles(spark):
+    judge = lambda rows, b, accuracy: value(spark, slides.accepted_scan(F.col("r"), F.col("b"), F.lit(100.0), F.lit(100.0), F.col("a")), r=("array<array<string>>", rows), b=("array<double>", b), a=("double", accuracy)).reason
+    two = [["a", "b"], ["c", "d"]]
+    assert [judge([["a", "b"]], [0.0, 0.0, 9.0, 9.0], 99.0), judge([["a"], ["b"]], [0.0, 0.0, 9.0, 9.0], 99.0), judge([["", ""], ["", "x"]], [0.0, 0.0, 9.0, 9.0], 99.0), judge(two, [0.0, 0.0, 99.0, 99.0], 99.0), judge(two, [0.0, 0.0, 9.0, 9.0], 10.0), judge(two, [0.0, 0.0, 9.0, 9.0], 99.0)] == [
+        "too_few_rows", "too_few_cols", "low_filled_ratio", "bbox_too_large", "low_accuracy", "accepted"]
+    piece = lambda t, y: value(spark, slides.fragment_of_line(F.col("t"), F.array(F.lit(0.0), F.col("y"), F.lit(9.0), F.col("y") + 5), F.lit(100.0)), t=("string", t), y=("double", y))
+    assert [piece("1Q24", 50.0), piece("12.5%", 5.0), piece("12.5%", 50.0), piece("sales", 5.0), piece("--", 50.0), piece(None, 50.0)] == [False, False, True, True, False, False]
+    mode = lambda *x: value(spark, slides.page_mode(*(F.col(c) for c in "cwtif")), **{c: ("int", v) for c, v in zip("cwtif", x, strict=True)})
+    assert [mode(200, 5, 1, 0, 0), mode(70, 5, 4, 0, 0), mode(5, 1, 1, 0, 0), mode(30, 5, 0, 1, 0), mode(30, 5, 1, 0, 60), mode(90, 20, 1, 1, 1)] == ["native_text_slide", "native_text_slide", "ocr_slide", "ocr_slide", "ocr_slide", "hybrid_slide"]
+    blocks = spark.createDataFrame(
+        [("d", 1, i, k, t, [10.0, y, 200.0, y + 20], "native", 595.0, 842.0) for i, (k, t, y) in enumerate((("table", "name  sales  costs\nnorth  12  7\nsouth  15  9", 100.0), ("table", "CONTENTS ..... 4", 300.0), ("text", "plain", 500.0)))],
+        "doc_id string, page_num int, seq int, type string, text string, bbox array<double>, source string, page_width double, page_height double",
+    )
+    got = {r.seq: r for r in slides.enriched_tables(blocks).collect()}
+    assert (got[0].type, got[1].type, got[2].type) == ("table", "unknown", "text") and got[0].table_markdown.startswith("| name | sales | costs |") and got[0].table_quality > 0 and got[1].table_markdown is None and got[2].table_score is None
