@@ -149,11 +149,15 @@ def token_metrics(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.metric_tokens(t), " ").alias("metrics"), F.array_join(T.period_tokens(t), " ").alias("periods"), F.size(T.label_candidates(t)).alias("labels"), T.trend(T.metric_tokens(t), T.period_tokens(t), t).alias("trend"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
-    SELECT conv_id, turn, regexp_matches(text, '(?i)\bpage\s*(\d{1,4})\b') AS asks_page, length(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS key_chars FROM c""")
+@query(r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 4 WHEN 0 THEN ' see Page ' || (turn + 1) WHEN 1 THEN ' p. ' || conv_id % 100 WHEN 2 THEN ' ' || turn || ' 페이지' ELSE '' END AS text FROM conversations)
+    SELECT conv_id, turn, CAST(coalesce(nullif(regexp_extract(text, '(?i)\bpage\s*(\d{1,4})\b', 1), ''), nullif(regexp_extract(text, '(?i)\bp\.\s*(\d{1,4})\b', 1), ''), nullif(regexp_extract(text, '(\d{1,4})\s*페이지', 1), '')) AS INTEGER) AS expected_page,
+      length(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS key_chars FROM c""")
 def conversation_keys(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", t.rlike(r"(?i)\bpage\s*(\d{1,4})\b").alias("asks_page"), F.length(T.normalized_key(t)).cast("bigint").alias("key_chars"))
+    """The pages that turns name, with a page added to three of four."""
+    n = F.col("turn")
+    said = F.when(n % 4 == 0, F.concat(F.lit(" see Page "), (n + 1).cast("string"))).when(n % 4 == 1, F.concat(F.lit(" p. "), (F.col("conv_id") % 100).cast("string"))).when(n % 4 == 2, F.concat(F.lit(" "), n.cast("string"), F.lit(" 페이지"))).otherwise("")
+    t = F.concat(F.coalesce("text", F.lit("")), said)
+    return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.expected_page(t).alias("expected_page"), F.length(T.normalized_key(t)).cast("bigint").alias("key_chars"))
 
 
 @query("""WITH n AS (SELECT conv_id, string_agg('[' || turn || '] document=' || role || ' page=' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id)
@@ -298,10 +302,10 @@ def table_quality(spark, sf_dir):
     return rows.select("table_id", "t.n_rows", "t.n_cols", F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), *(F.round(F.col(f"q.{c}"), 6).alias(c) for c in ("overall", "row_stability", "header_likelihood", "empty_cell_ratio", "numeric_alignment")), TB.readiness(F.col("t"), F.col("q.reject_signals")).alias("ready"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS table_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT table_id, n + 1 AS n_rows, 5 AS n_cols, '0,1,2' AS numeric_cols, CAST(1 AS DOUBLE) AS row_stability FROM o""")
+@query(f"""WITH {oracles._QUALITY} SELECT table_id, CAST(n_rows AS BIGINT) AS n_rows, n_cols, numeric_cols, round(CAST(stable AS DOUBLE), 9) AS row_stability FROM q""")
 def table_shape(spark, sf_dir):
     rows = order_tables(spark, sf_dir).select("table_id", TB.normalized(F.col("rows"), F.lit("native"), F.lit(None).cast("string")).alias("t"))
-    return rows.select("table_id", F.col("t.n_rows").cast("bigint").alias("n_rows"), F.col("t.n_cols").alias("n_cols"), F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), TB.row_stability(F.col("t.rows")).alias("row_stability"))
+    return rows.select("table_id", F.col("t.n_rows").cast("bigint").alias("n_rows"), F.col("t.n_cols").alias("n_cols"), F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), F.round(TB.row_stability(F.col("t.rows")), 9).alias("row_stability"))
 
 
 @query("""WITH g AS (SELECT r_name, list_sort(list([n_name, CAST(n_nationkey AS VARCHAR)])) AS d FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
