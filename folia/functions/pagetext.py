@@ -225,3 +225,40 @@ def decorative_shape(width: Column, height: Column, page_width: Column, page_hei
     """Visual fragments too small or too thin to show anything."""
     area = width * height / (page_width * page_height)
     return (width <= 0) | (height <= 0) | (area < 0.0005) | ((width < page_width * 0.03) & (height < page_height * 0.03)) | ((width > page_width * 0.5) & (height < page_height * 0.008)) | ((height > page_height * 0.5) & (width < page_width * 0.008))
+
+
+def key_value_rows(lines: Column) -> Column:
+    """``ARRAY<STRUCT<item, values>>`` of the lines with figures: the label without them, and the figures joined; ``metric`` without a label."""
+    figure = r"(?i)[-+]?\d[\d,]*(?:\.\d+)?\s*(?:%|bp|bps|원|억원|조원|조|USD|pt|x)?"
+    figures = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(figure), F.lit(0)), T.strip), lambda t: t != "")
+
+    def row(x: Column) -> Column:
+        def made(found: Column) -> Column:
+            bare = F.aggregate(found, x, lambda label, t: F.replace(label, t, F.lit(" ")))
+            label = F.regexp_replace(T.normalize_text(F.regexp_replace(bare, r"^[\s\-*+•▪●○]+", "")), "^[ :;,]+|[ :;,]+$", "")
+            return F.struct(F.coalesce(F.nullif(label, F.lit("")), F.lit("metric")).alias("item"), F.array_join(found, ", ").alias("values"))
+
+        return T.let(figures(x), lambda found: F.when(F.size(found) > 0, made(found)))
+
+    return F.filter(F.transform(lines, row), lambda r: r.isNotNull())
+
+
+def html_table(rows: Column, most_rows: int = 300, most_columns: int = 32) -> Column:
+    """Rows as an HTML table, the first one as its head if others follow; empty without cells."""
+    shown = F.filter(F.transform(F.slice(rows, 1, most_rows), lambda r: F.transform(F.slice(r, 1, most_columns), lambda c: F.coalesce(c, F.lit("")))), lambda r: F.exists(r, lambda c: c != ""))
+
+    def table(rs: Column) -> Column:
+        width = F.array_max(F.transform(rs, F.size))
+        line = lambda r, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.concat(F.lit(f"<{tag}>"), T.escaped_html(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+        head = F.concat(F.lit("<thead>"), line(F.get(rs, F.lit(0)), "th"), F.lit("</thead>"))
+        body = lambda part: F.concat(F.lit("<tbody>"), F.array_join(F.transform(part, lambda r: line(r, "td")), ""), F.lit("</tbody>"))
+        inner = F.when(F.size(rs) > 1, F.concat(head, body(F.slice(rs, F.lit(2), F.size(rs))))).otherwise(body(rs))
+        return F.when(F.size(rs) > 0, F.concat(F.lit("<table>"), inner, F.lit("</table>"))).otherwise("")
+
+    return F.coalesce(T.let(shown, table), F.lit(""))
+
+
+def portable_path(path: Column, root: str) -> Column:
+    """A path relative to ``root`` if it lies below it; else as it is."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)

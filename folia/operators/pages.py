@@ -112,3 +112,29 @@ def most_overlap(lines: DataFrame, zones: DataFrame) -> DataFrame:
     z = zones.select(*AT, F.col("bbox").alias("z_bbox"))
     met = lines.join(z, AT).groupBy(*AT, "seq").agg(F.max(G.inner_overlap(F.col("bbox"), F.col("z_bbox"))).alias("overlap"))
     return lines.select(*AT, "seq").join(met, [*AT, "seq"], "left").select(*AT, "seq", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+
+
+def exclusion_zones(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, page_num, kind (hard or soft), bbox: where a dashboard page has no prose.
+
+    Hard zones are the tables and the clusters (``cluster`` of ``lines``) of three or
+    more short or numeric lines on the right or at the bottom; soft ones numeric
+    clusters on the right. Each is a little inflated; one above 40 % of the page is none.
+    """
+    b, pw, ph = F.col("bbox"), F.col("page_width"), F.col("page_height")
+    own = lines.groupBy(*AT, "cluster").agg(
+        G.union_all(b).alias("bbox"), F.count("*").alias("n"), F.avg(G.width(b) / F.greatest(pw, F.lit(1.0))).alias("wide"), F.avg(P.share_of(F.col("text"), r"\d")).alias("numeric"),
+        F.avg((F.length(T.strip(F.coalesce("text", F.lit("")))) <= 22).cast("double")).alias("short"), F.first("page_width").alias("page_width"), F.first("page_height").alias("page_height"),
+    )
+    c = F.col
+    cx, cy = G.center_x(b), G.center_y(b)
+    some = c("n") >= 3
+    tight = some & (c("wide") <= 0.38) & ((c("numeric") >= 0.26) | (c("short") >= 0.45))
+    right = tight & (cx >= 0.52 * pw) & (cy < 0.67 * ph)
+    bottom = tight & ~right & (G.y0(b) >= 0.66 * ph)
+    soft = some & (c("numeric") >= 0.30) & (c("wide") <= 0.36) & (cx >= 0.50 * pw)
+    zone = lambda kind, dx, dy: F.struct(F.lit(kind).alias("kind"), G.expanded(b, pw * dx, ph * dy).alias("bbox"))
+    made = F.array_compact(F.array(F.when(right, zone("hard", 0.008, 0.006)).when(bottom, zone("hard", 0.006, 0.005)), F.when(soft, zone("soft", 0.004, 0.003))))
+    of_lines = own.select(*AT, "page_width", "page_height", F.explode(made).alias("z")).select(*AT, "page_width", "page_height", "z.kind", "z.bbox")
+    of_tables = tables.select(*AT, "page_width", "page_height", F.lit("hard").alias("kind"), G.expanded(b, F.greatest(F.lit(2.0), pw * 0.011), F.greatest(F.lit(2.0), ph * 0.009)).alias("bbox"))
+    return of_lines.unionByName(of_tables).filter(G.area(b) <= 0.40 * pw * ph).select(*AT, "kind", "bbox")

@@ -12,6 +12,7 @@ from folia.functions import text as T
 from folia.operators import answering, assembly, export, pages, retrieval, slides
 from folia.plans import catalogue as C
 from folia.plans import oracles as O
+from folia.sources import files
 from folia.sources import tables as S
 
 query, blocks, docs, pages_of = C.query, C.blocks, C.docs, C.pages_of
@@ -396,3 +397,38 @@ def finished_pages(spark, sf_dir):
 def first_routes(spark, sf_dir):
     rows = blocks(spark, sf_dir)
     return slides.first_route(pages_of(rows), rows)
+
+
+@query(f"""WITH {C.BLOCKS_SQL}, l AS (SELECT *, seq % 5 AS cl, length({O.strip('text')}) AS n FROM blocks), g AS (SELECT doc_id, page_num, cl, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d, count(*) AS k, avg((x1 - x0) / 595.0) AS wide, avg({O.found(O.strip('text'), '[0-9]')} / n) AS num, avg(CASE WHEN n <= 22 THEN 1.0 ELSE 0.0 END) AS short FROM l GROUP BY ALL),
+    f AS (SELECT *, k >= 3 AND wide <= 0.38 AND (num >= 0.26 OR short >= 0.45) AS tight, (a + c) / 2 AS cx, (b + d) / 2 AS cy FROM g), h AS (SELECT *, tight AND cx >= 0.52 * 595 AND cy < 0.67 * 842 AS rt FROM f),
+    z AS (SELECT doc_id, page_num, 'hard' AS kind, a - 595 * 0.008 AS a, b - 842 * 0.006 AS b, c + 595 * 0.008 AS c, d + 842 * 0.006 AS d FROM h WHERE rt UNION ALL SELECT doc_id, page_num, 'hard', a - 595 * 0.006, b - 842 * 0.005, c + 595 * 0.006, d + 842 * 0.005 FROM h WHERE tight AND NOT rt AND b >= 0.66 * 842
+      UNION ALL SELECT doc_id, page_num, 'soft', a - 595 * 0.004, b - 842 * 0.003, c + 595 * 0.004, d + 842 * 0.003 FROM h WHERE k >= 3 AND num >= 0.30 AND wide <= 0.36 AND cx >= 0.50 * 595 UNION ALL SELECT doc_id, page_num, 'hard', x0 - 595 * 0.011, y0 - 842 * 0.009, x1 + 595 * 0.011, y1 + 842 * 0.009 FROM blocks WHERE type = 'table')
+    SELECT doc_id, page_num, kind, round(CAST(a AS DOUBLE), 4) AS x0, round(CAST(b AS DOUBLE), 4) AS y0, round(CAST(c AS DOUBLE), 4) AS x1, round(CAST(d AS DOUBLE), 4) AS y1 FROM z WHERE (c - a) * (d - b) <= 0.40 * 595 * 842""")
+def exclusion_zones(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    zones = pages.exclusion_zones(rows.withColumn("cluster", F.col("seq") % 5), rows.filter("type = 'table'"))
+    return zones.select("doc_id", "page_num", "kind", *(F.round(F.get("bbox", F.lit(i)), 4).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+_FIGURE = r"(?i)[-+]?[0-9][0-9,]*(?:[.][0-9]+)?\s*(?:%|bp|bps|원|억원|조원|조|USD|pt|x)?"
+
+
+@query(rf"""WITH {C.BLOCKS_SQL}, t AS (SELECT doc_id, page_num, seq, text, list_transform(regexp_extract_all(text, '{_FIGURE}'), lambda x: {O.strip('x')}) AS f FROM blocks), n AS (SELECT *, list_reduce(list_prepend(text, f), lambda acc, x: replace(acc, x, ' ')) AS bare FROM t WHERE len(f) > 0),
+    l AS (SELECT *, regexp_replace({O.normal("regexp_replace(bare, '^[" + chr(92) + "s" + chr(92) + "-*+•" + chr(0xf0a7) + "▪●○]+', '')")}, '^[ :;,]+|[ :;,]+$', '', 'g') AS label FROM n) SELECT doc_id, page_num, seq, coalesce(nullif(label, ''), 'metric') AS item, array_to_string(f, ', ') AS "values" FROM l""")
+def key_value_rows(spark, sf_dir):
+    """Labels and figures of each line that has figures."""
+    return blocks(spark, sf_dir).select("doc_id", "page_num", "seq", F.explode(P.key_value_rows(F.array("text"))).alias("r")).select("doc_id", "page_num", "seq", "r.*")
+
+
+@query(f"""WITH {O._CELLS}, r AS (SELECT table_id, r, string_agg(CASE WHEN r = 0 THEN '<th>' || v || '</th>' ELSE '<td>' || v || '</td>' END, '' ORDER BY c) AS h FROM cells GROUP BY ALL)
+    SELECT table_id, md5('<table><thead><tr>' || max(h) FILTER (r = 0) || '</tr></thead><tbody>' || string_agg('<tr>' || h || '</tr>', '' ORDER BY r) FILTER (r > 0) || '</tbody></table>') AS digest FROM r GROUP BY 1""")
+def html_tables(spark, sf_dir):
+    return C.order_tables(spark, sf_dir).select("table_id", F.md5(P.html_table(F.col("rows")).cast("binary")).alias("digest"))
+
+
+@query("""SELECT doc_id, md5('/data/' || source || '/' || doc_id || '.' || upper(lang)) AS id, doc_id || '.' || upper(lang) AS filename, lang AS file_type, n_chars AS file_size, source || '/' || doc_id || '.' || upper(lang) AS portable FROM documents""")
+def base_records(spark, sf_dir):
+    """Documents as files below one folder: what a parsed document begins with, and the path relative to the folder."""
+    path = F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.upper("lang"))
+    rows = files.base_records(docs(spark, sf_dir).select(path.alias("path"), F.col("n_chars").alias("length")))
+    return rows.select(F.regexp_extract("filename", r"^(\d+)", 1).cast("bigint").alias("doc_id"), "id", "filename", "file_type", "file_size", P.portable_path(F.col("filepath"), "/data").alias("portable"))

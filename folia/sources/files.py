@@ -194,3 +194,32 @@ def listing(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files with their cache's status; ``pending`` where nothing is cached."""
     known = cached.select("doc_id", F.col("status").alias("cached")).distinct()
     return files.join(known, "doc_id", "left").select(files["*"], F.coalesce("cached", F.lit("pending")).alias("status"))
+
+
+def base_records(files: DataFrame) -> DataFrame:
+    """id, filename, filepath, file_type, file_size of files (path, length): what every parsed document begins with."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return files.select(F.md5(F.col("path").cast("binary")).alias("id"), name.alias("filename"), F.col("path").alias("filepath"), F.lower(F.regexp_extract(name, r"[^.]\.([^.]*)$", 1)).alias("file_type"), F.col("length").alias("file_size"))
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """name, value of a small file of ``name=value`` lines; comments and lines without ``=`` passed over, quotes taken off, the last of equal names counts.
+
+    Spark's readers pass over files whose names begin with a dot, so it is opened through Hadoop's file system.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        whole = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    text = spark.createDataFrame([(whole,)], "whole string").select(F.posexplode(F.split("whole", "\\r?\\n")).alias("n", "value"))
+    lines = text.select(F.trim("value").alias("line"), "n").filter(F.col("line").contains("=") & ~F.col("line").startswith("#"))
+    value = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)), '^"+|"+$', ""), "^'+|'+$", "")
+    rows = lines.select(F.trim(F.regexp_extract("line", r"^([^=]*)=", 1)).alias("name"), value.alias("value"), "n")
+    return rows.groupBy("name").agg(F.max_by("value", "n").alias("value"))
+
+
+def write_cache(documents: DataFrame, root: str) -> None:
+    """Parsed documents (doc_id and more) as JSON lines for ``read_cached`` readers; a run replaces the one before it."""
+    documents.write.mode("overwrite").option("ignoreNullFields", "false").json(root)

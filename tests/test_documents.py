@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from folia import schemas
 from folia.functions import pagetext as P
 from folia.operators import answering, assembly, export, pages, retrieval, slides
+from folia.sources import files
 
 
 def value(spark, column, **columns):
@@ -162,3 +163,15 @@ def test_tables_and_roles(spark):
     )
     got = {r.seq: r for r in slides.enriched_tables(blocks).collect()}
     assert (got[0].type, got[1].type, got[2].type) == ("table", "unknown", "text") and got[0].table_markdown.startswith("| name | sales | costs |") and got[0].table_quality > 0 and got[1].table_markdown is None and got[2].table_score is None
+
+
+def test_settings_and_cache(spark, tmp_path):
+    (tmp_path / ".env").write_text('# comment\nKEY = "a=b"\n\nno sign\nOTHER=\'x\'\nKEY=last\n')
+    assert {r.name: r.value for r in files.settings(spark, str(tmp_path / ".env")).collect()} == {"KEY": "last", "OTHER": "x"}
+    docs = spark.createDataFrame([("1", None, 3), ("2", "success", None)], "doc_id string, status string, pages int")
+    files.write_cache(docs, str(tmp_path / "cache"))
+    assert sorted(map(tuple, spark.read.schema(docs.schema).json(str(tmp_path / "cache")).collect())) == sorted(map(tuple, docs.collect()))
+    shown = value(spark, P.html_table(F.col("r")), r=("array<array<string>>", [["a<b", None], ["x"]]))
+    assert shown == "<table><thead><tr><th>a&lt;b</th><th></th></tr></thead><tbody><tr><td>x</td><td></td></tr></tbody></table>" and value(spark, P.html_table(F.col("r")), r=("array<array<string>>", [[None]])) == ""
+    got = value(spark, P.key_value_rows(F.col("l")), l=("array<string>", ["- Revenue: 12.5% and 1,200 USD", "no figure", "42"]))
+    assert [tuple(r) for r in got] == [("Revenue: and", "12.5%, 1,200 USD"), ("metric", "42")]
