@@ -109,8 +109,13 @@ def features(blocks: str) -> str:
     scored AS (SELECT *, CASE WHEN v[1] - v[2] < 0.08 AND CAST(tx >= 0.45 AS INTEGER) + CAST(nu >= 0.45 AS INTEGER) + CAST(tb >= 0.45 AS INTEGER) >= 2 THEN 'mixed_document' WHEN slide_ir = v[1] THEN 'slide_ir' WHEN text_report = v[1] THEN 'text_report' WHEN dashboard_brief = v[1] THEN 'dashboard_brief' ELSE 'table_heavy' END AS page_type FROM so)"""
 
 
-def _routes(blocks: str) -> str:
+def _routes(blocks: str, sample: int = 0) -> str:
+    """The documents' routes; from the first ``sample`` pages and without mixed types, if that is given."""
     types = routing.DOC_TYPES
+    rows = features(blocks)
+    if sample:
+        body = rows[len(blocks) :].replace("FROM blocks", "FROM early").replace("FROM pages_", "FROM early_pages")
+        rows = f"{blocks}, early AS (SELECT * FROM blocks WHERE page_num <= {sample}), early_pages AS (SELECT * FROM pages_ WHERE page_num <= {sample}){body}"
     means = ", ".join(f"avg({k}) AS mean_{k}, avg(CASE WHEN page_type = '{k}' THEN 1.0 ELSE 0.0 END) AS share_{k}" for k in types)
     score = ", ".join(f"round(mean_{k} + 0.15 * share_{k}, 9) AS score_{k}" for k in types)
     values = ", ".join(f"score_{k}" for k in types)
@@ -118,12 +123,14 @@ def _routes(blocks: str) -> str:
     share = " ".join(f"WHEN '{k}' THEN share_{k}" for k in types)
     wide = " + ".join(f"CAST(share_{k} >= 0.2 AS INTEGER)" for k in types)
     rounded = ", ".join(f"round(score_{k}, 6) AS score_{k}" for k in types)
-    return f"""WITH {features(blocks)}, d1 AS (SELECT doc_id, count(*) AS pages, {means}, avg(CASE WHEN page_type = 'mixed_document' THEN 1.0 ELSE 0.0 END) AS share_mixed, avg(table_count) AS table_count, avg(column_count) AS column_count, avg(repeated) AS repeated FROM scored GROUP BY 1),
+    chosen = "share_mixed >= 0.25 OR (gap < 0.08 AND wide >= 2) OR (share < 0.5 AND wide >= 3)" if not sample else "FALSE"
+    sql = f"""WITH {rows}, d1 AS (SELECT doc_id, count(*) AS pages, {means}, avg(CASE WHEN page_type = 'mixed_document' THEN 1.0 ELSE 0.0 END) AS share_mixed, avg(table_count) AS table_count, avg(column_count) AS column_count, avg(repeated) AS repeated FROM scored GROUP BY 1),
     d2 AS (SELECT *, {score} FROM d1), d3 AS (SELECT *, list_reverse_sort([{values}]) AS v, {wide} AS wide FROM d2), d4 AS (SELECT *, CASE {best} END AS top, v[1] - v[2] AS gap FROM d3), d5 AS (SELECT *, CASE top {share} END AS share FROM d4),
-    d6 AS (SELECT *, share_mixed >= 0.25 OR (gap < 0.08 AND wide >= 2) OR (share < 0.5 AND wide >= 3) AS mixed FROM d5), d7 AS (SELECT *, CASE WHEN mixed THEN 'mixed_document' ELSE top END AS kind FROM d6)
+    d6 AS (SELECT *, {chosen} AS mixed FROM d5), d7 AS (SELECT *, CASE WHEN mixed THEN 'mixed_document' ELSE top END AS kind FROM d6)
     SELECT doc_id, pages, kind AS document_type, round(greatest(0.0, least(1.0, CASE WHEN mixed THEN 0.52 + share_mixed * 0.25 + wide * 0.05 ELSE 0.40 + v[1] * 0.35 + share * 0.20 + gap * 1.20 END)), 3) AS confidence, {rounded},
       array_to_string(list_filter([CASE kind WHEN 'slide_ir' THEN 'visual pages with little narrative' WHEN 'text_report' THEN 'dense text with few tables and visuals' WHEN 'dashboard_brief' THEN 'numbers, visuals and many blocks together' WHEN 'table_heavy' THEN 'tables and numbers outweigh narrative' ELSE 'no layout dominates' END,
       CASE WHEN kind = 'text_report' AND repeated >= 0.35 THEN 'repeated headers or footers' END, CASE WHEN kind = 'dashboard_brief' AND column_count >= 1.8 THEN 'several columns' END, CASE WHEN kind = 'table_heavy' AND table_count >= 1.2 THEN 'tables on most pages' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM d7"""
+    return sql if not sample else f"SELECT doc_id, document_type, confidence FROM ({sql})"
 
 
 #: The order tables as cells (table_id, r, c, v; row 0 is the header), and their measures.
@@ -197,6 +204,7 @@ def oracles(blocks: str, pages: str, bm25: str, vectors: str, rrf: str) -> dict[
             SELECT o_custkey, table_id, round(overall, 6) AS overall FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY round(overall, 9) DESC, round(likely, 9) DESC, round(stable, 9) DESC, n_rows * n_cols DESC, table_id) = 1""",
         "page_scores": f"WITH {features(pages)} SELECT doc_id, page_num, page_type, " + ", ".join(f"round({k}, 6) AS {k}" for k in routing.DOC_TYPES) + " FROM scored",
         "document_routes": _routes(pages),
+        "first_routes": _routes(pages, 5),
         "qa_rerank": f"""WITH {bm25}, {vectors}, {rrf}, c AS (SELECT ra.query_id, ra.doc, ra.s, ra.hybrid_rank, len(list_intersect(list_distinct({tokens('b.text')}), list_distinct({tokens('d.text')}))) AS shared, {any_of(f"lower({normal('d.text')})", T.BOILERPLATE)} AS is_boilerplate FROM ra JOIN documents d ON d.doc_id = ra.doc JOIN benchmark b ON b.item_id = ra.query_id),
             k AS (SELECT *, 30 * s + least(0.5, 0.1 * shared) - CASE WHEN is_boilerplate THEN 0.4 ELSE 0 END AS score FROM c)
             SELECT query_id, doc, round(score, 6) AS score, is_boilerplate, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hybrid_rank) AS INTEGER) AS qa_rank FROM k QUALIFY qa_rank <= {retrieval.FINAL_K}""",
