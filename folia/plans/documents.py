@@ -399,14 +399,19 @@ def first_routes(spark, sf_dir):
     return slides.first_route(pages_of(rows), rows)
 
 
-@query(f"""WITH {C.BLOCKS_SQL}, l AS (SELECT *, seq % 5 AS cl, length({O.strip('text')}) AS n FROM blocks), g AS (SELECT doc_id, page_num, cl, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d, count(*) AS k, avg((x1 - x0) / 595.0) AS wide, avg({O.found(O.strip('text'), '[0-9]')} / n) AS num, avg(CASE WHEN n <= 22 THEN 1.0 ELSE 0.0 END) AS short FROM l GROUP BY ALL),
-    f AS (SELECT *, k >= 3 AND wide <= 0.38 AND (num >= 0.26 OR short >= 0.45) AS tight, (a + c) / 2 AS cx, (b + d) / 2 AS cy FROM g), h AS (SELECT *, tight AND cx >= 0.52 * 595 AND cy < 0.67 * 842 AS rt FROM f),
-    z AS (SELECT doc_id, page_num, 'hard' AS kind, a - 595 * 0.008 AS a, b - 842 * 0.006 AS b, c + 595 * 0.008 AS c, d + 842 * 0.006 AS d FROM h WHERE rt UNION ALL SELECT doc_id, page_num, 'hard', a - 595 * 0.006, b - 842 * 0.005, c + 595 * 0.006, d + 842 * 0.005 FROM h WHERE tight AND NOT rt AND b >= 0.66 * 842
-      UNION ALL SELECT doc_id, page_num, 'soft', a - 595 * 0.004, b - 842 * 0.003, c + 595 * 0.004, d + 842 * 0.003 FROM h WHERE k >= 3 AND num >= 0.30 AND wide <= 0.36 AND cx >= 0.50 * 595 UNION ALL SELECT doc_id, page_num, 'hard', x0 - 595 * 0.011, y0 - 842 * 0.009, x1 + 595 * 0.011, y1 + 842 * 0.009 FROM blocks WHERE type = 'table')
-    SELECT doc_id, page_num, kind, round(CAST(a AS DOUBLE), 4) AS x0, round(CAST(b AS DOUBLE), 4) AS y0, round(CAST(c AS DOUBLE), 4) AS x1, round(CAST(d AS DOUBLE), 4) AS y1 FROM z WHERE (c - a) * (d - b) <= 0.40 * 595 * 842""")
+@query(f"""WITH {C.BLOCKS_SQL}, t AS (SELECT * REPLACE (CASE WHEN page_num % 2 = 0 THEN '123456' || substr(text, 1, 6) ELSE substr(text, 1, 20) END AS text) FROM blocks), l AS (SELECT *, seq % 3 + 3 * ((seq % 20) // 7) AS cl, length({O.strip('text')}) AS n FROM t),
+    g AS (SELECT doc_id, page_num, cl, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d, count(*) AS k, avg((x1 - x0) / 800.0) AS wide, avg({O.found(O.strip('text'), '[0-9]')} / n) AS num, avg(CASE WHEN n <= 22 THEN 1.0 ELSE 0.0 END) AS short FROM l GROUP BY ALL),
+    f AS (SELECT *, k >= 3 AND wide <= 0.38 AND (num >= 0.26 OR short >= 0.45) AS tight, (a + c) / 2 AS cx, (b + d) / 2 AS cy FROM g), h AS (SELECT *, tight AND cx >= 0.52 * 800 AND cy < 0.67 * 842 AS rt FROM f),
+    z AS (SELECT doc_id, page_num, 'hard' AS kind, a - 800 * 0.008 AS a, b - 842 * 0.006 AS b, c + 800 * 0.008 AS c, d + 842 * 0.006 AS d FROM h WHERE rt UNION ALL SELECT doc_id, page_num, 'hard', a - 800 * 0.006, b - 842 * 0.005, c + 800 * 0.006, d + 842 * 0.005 FROM h WHERE tight AND NOT rt AND b >= 0.66 * 842
+      UNION ALL SELECT doc_id, page_num, 'soft', a - 800 * 0.004, b - 842 * 0.003, c + 800 * 0.004, d + 842 * 0.003 FROM h WHERE k >= 3 AND num >= 0.30 AND wide <= 0.36 AND cx >= 0.50 * 800 UNION ALL SELECT doc_id, page_num, 'hard', x0 - 800 * 0.011, y0 - 842 * 0.009, x1 + 800 * 0.011, y1 + 842 * 0.009 FROM blocks WHERE type = 'table')
+    SELECT doc_id, page_num, kind, round(CAST(a AS DOUBLE), 4) AS x0, round(CAST(b AS DOUBLE), 4) AS y0, round(CAST(c AS DOUBLE), 4) AS x1, round(CAST(d AS DOUBLE), 4) AS y1 FROM z WHERE (c - a) * (d - b) <= 0.40 * 800 * 842""")
 def exclusion_zones(spark, sf_dir):
-    rows = blocks(spark, sf_dir)
-    zones = pages.exclusion_zones(rows.withColumn("cluster", F.col("seq") % 5), rows.filter("type = 'table'"))
+    """Lines cut short, those of even pages led by figures, in clusters by column and height."""
+    rows = blocks(spark, sf_dir).withColumn("page_width", F.lit(800.0))
+    seq = F.col("seq")
+    short = F.when(F.col("page_num") % 2 == 0, F.concat(F.lit("123456"), F.substring("text", 1, 6))).otherwise(F.substring("text", 1, 20))
+    lines = rows.withColumns({"text": short, "cluster": seq % 3 + 3 * F.floor(seq % 20 / 7)})
+    zones = pages.exclusion_zones(lines, rows.filter("type = 'table'"))
     return zones.select("doc_id", "page_num", "kind", *(F.round(F.get("bbox", F.lit(i)), 4).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
 
 
