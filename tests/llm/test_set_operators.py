@@ -232,9 +232,12 @@ def test_archives_round_trip(spark):
     again = common.fresh_path(spark, "warc-test")
     other = warc_writer.write(pages.repartition(7), again)
     assert sorted((r.file, r.sha256) for r in manifest.collect()) == sorted((r.file, r.sha256) for r in other.collect())
+    ids = []
     for r in manifest.collect():
         raw = open(f"{folder.removeprefix('file:')}/{r.file}", "rb").read()
-        assert gzip.decompress(raw).count(b"WARC/1.1\r\n") == r.records and hashlib.sha256(raw).hexdigest() == r.sha256
+        assert gzip.decompress(raw).count(b"WARC/1.1\r\n") == r.records + 1 and hashlib.sha256(raw).hexdigest() == r.sha256
+        ids += re.findall(rb"WARC-Record-ID: (.*)\r\n", gzip.decompress(raw))
+    assert len(ids) == len(set(ids))
 
 
 def test_archives_roll_and_empty_tables(spark):
