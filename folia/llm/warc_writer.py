@@ -22,6 +22,8 @@ from . import common
 
 #: Page ids of a shard, and compressed bytes after which a file is full.
 SHARD_IDS, ROLL_BYTES = 2048, 8 << 20
+#: Shards that a task writes, about.
+TASK_SHARDS = 8
 #: Payloads that are shorter are never replaced by a revisit.
 LEAST_REVISIT = 100
 #: Records have no capture time of their own; a fixed one keeps the files reproducible.
@@ -145,8 +147,9 @@ def write(pages: DataFrame, folder: str, shard_ids: int = SHARD_IDS, roll_bytes:
     shard = F.when(F.col("page_id").isNotNull(), F.floor(F.col("page_id") / shard_ids)).otherwise(-1 - F.pmod(F.xxhash64("digest", "url"), F.lit(NULL_SHARDS)))
     # decisions come before the records of their page, so one pass over the sorted rows writes the files
     rows = both.withColumn("shard", shard.cast("bigint")).withColumn("is_record", F.col("packed").isNotNull())
-    # a shard is a range of ids already; dealing whole shards by hash needs no sampling pass over the payloads
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "is_record", "digest", "url").select("shard", "page_id", "url", "digest", "packed", "refers_to")
+    # a shard is a range of ids already; dealing whole shards by hash needs no sampling pass over the payloads. Tasks grow in number, not in size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // (TASK_SHARDS * shard_ids)))
+    dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "is_record", "digest", "url").select("shard", "page_id", "url", "digest", "packed", "refers_to")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
