@@ -24,8 +24,8 @@ from . import common
 
 #: Documents of a block.
 BLOCK_DOCS = 16
-#: Ranges of the order within which documents are numbered; no window holds more than one.
-BUCKETS = 1024
+#: Documents of a range of the order, about; documents are numbered range by range, so that no window grows with the table.
+RANGE_DOCS = 50_000
 
 
 def period(tickets: dict[str, int]) -> dict[str, list[int]]:
@@ -83,12 +83,13 @@ def _schedule(spark: SparkSession, plan: dict[str, list], tickets: dict[str, int
     return spark.createDataFrame(rows, "__source string, tickets bigint, firsts array<bigint>, starts array<bigint>, totals array<bigint>, slots array<array<bigint>>")
 
 
-def numbered(docs: DataFrame, source: Column, id_col: str) -> DataFrame:
-    """``docs`` with ``__source`` and ``__rank``, the place from 0 in its source's order, by two levels of counting."""
+def numbered(docs: DataFrame, source: Column, id_col: str, total: int) -> DataFrame:
+    """The ``total`` rows of ``docs`` with ``__source`` and ``__rank``, the place from 0 in its source's order, by two levels of counting."""
+    bits = max(10, (total // RANGE_DOCS).bit_length())
     order = F.xxhash64(F.lit("mix"), F.col(id_col), source)
-    keyed = docs.withColumns({"__source": source, "__hash": order, "__bucket": F.shiftrightunsigned(order, 54).cast("int")})
+    keyed = docs.withColumns({"__source": source, "__hash": order, "__bucket": F.shiftrightunsigned(order, 64 - bits).cast("int")})
     counts = keyed.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy("__source").orderBy("__bucket")) - F.col("__n")).drop("__n")  # at most BUCKETS rows a source
+    before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy("__source").orderBy("__bucket")) - F.col("__n")).drop("__n")  # a row a range and source
     before = common.stored(before, "offsets")
     few = common.small_enough(before)
     ranked = keyed.withColumn("__row", F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__hash", id_col)))
@@ -103,8 +104,10 @@ def mixed(docs: DataFrame, tickets: dict[str, int] | None = None, block_docs: in
     source without one gets 1. ``slot``: the block's turn in the mix; ``place``: the
     document's turn within all. release and deadline count in slots from the start
     of the phase. A null source is a source named ''. Repeated rows and null ids
-    are placed like others. Whole input: every row has a turn. Only the table of
-    sources goes to the driver.
+    are placed like others; ties of the pseudo-random order go by id, those of equal
+    ids are equal rows. Whole input: every row has a turn; an empty table gives no
+    rows. Other columns, whatever their names, aren't read. Only the table of sources
+    goes to the driver.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -113,7 +116,7 @@ def mixed(docs: DataFrame, tickets: dict[str, int] | None = None, block_docs: in
     given = {s: int((tickets or {}).get(s, 1)) for s in sizes} if tickets else root_tickets(sizes)
     plan = phases(given, {s: -(-n // block_docs) for s, n in sizes.items()})
     schedule = _schedule(spark, plan, given)
-    rows = numbered(narrow, source, id_col).join(F.broadcast(schedule), "__source")  # a row a source
+    rows = numbered(narrow, source, id_col, sum(sizes.values())).join(F.broadcast(schedule), "__source")  # a row a source
     block = F.floor(F.col("__rank") / block_docs)
     phase = F.size(F.filter("firsts", lambda x: x <= F.col("block"))) - 1
     rows = rows.withColumn("block", block).withColumn("__phase", phase)
