@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     ids = labels.filter(~held_out & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     chosen = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # bounded, so it may be broadcast
     meta = F.col(meta_col) if meta_col and meta_col in docs.columns else F.length(text_col)
-    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), meta.cast("double").alias("__meta")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__meta", "__label")
+    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), meta.cast("double").alias("__meta")).join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min(F.struct("__text", "__meta")).alias("__least")).select("__id", "__least.__text", "__least.__meta", "__label")  # one text an id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = common.map_batches(joined, run, f"id {kind}, label int, index binary, value binary, dense binary").toPandas().sort_values(["id", "index"])  # at most `sample` ids
+    rows = common.map_batches(joined, run, f"id {kind}, label int, index binary, value binary, dense binary").toPandas().sort_values(["id", "index"])  # at most `sample` rows of at most 2**BITS word buckets
     if not len(rows):
         return None
     f = object.__new__(Features)
@@ -159,9 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
 def scored(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text", meta_col: str | None = "n_chars", threshold: float = 0.7) -> DataFrame:
     """``id_col``, score and predicted (score >= ``threshold``) of each row of ``docs``.
 
-    Null and empty texts are scored by their statistics alone. A null id or null
-    metadata (taken as 0) is no obstacle; repeated rows score alike. Without a
-    model (nothing was labelled) every score is 0.5.
+    Null and empty texts are scored by their statistics alone, texts of any length
+    whole. A null id or null metadata (taken as 0) is no obstacle; repeated rows score
+    alike, and a score at the threshold is predicted as 1. Without a model (nothing was
+    labelled) every score is 0.5. An empty table gives no rows. Other columns, whatever
+    their names, aren't read.
     """
     meta = F.col(meta_col) if meta_col and meta_col in docs.columns else F.length(text_col)
 
