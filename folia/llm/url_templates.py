@@ -26,6 +26,9 @@ PRIOR, REJECT = 10.0, 0.5
 #: Standard errors by which a branch's bad share differs significantly from its siblings'.
 DIFFERENT = 2.0
 
+#: Rows of a tree that is broadcast.
+MOST_BROADCAST = 200_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,7 +93,7 @@ def generalised(shapes: DataFrame) -> DataFrame:
         alone = (F.col("c_shapes") == 1) & (kept != "*")
         chosen = children.join(nodes, ["host", "template"]).select("host", "template", "segment", kept.alias("kept"), alone.alias("alone"))
         rest = F.array_join(F.slice(parts, level + 1, F.size(parts)), "/")
-        step = here.join(chosen, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("kept"))))
+        step = common.looked_up(here, chosen, ["host", "template", "segment"], "inner", MOST_BROADCAST).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("kept"))))
         level += 1
         made = common.stored(step.select(*shapes.columns, "template", (F.col("alone") | (F.size(parts) <= level)).alias("ended")), "templates")
         done.append(made.filter("ended").drop("ended"))
@@ -114,7 +117,9 @@ def verdicts(pages: DataFrame, rules: dict[str, str], labels: DataFrame | None,
     ``rules``: host/path to allow or block. ``labels`` (label_key, bad 0 or 1) teach the
     tree, met by ``key``, an expression over ``pages``; a key's labels are averaged
     to the worse. A null url, or one without ``://``, has an empty host and path and
-    is judged like any other. Repeated rows are judged alike; other columns aren't read.
+    is judged like any other; urls of any length count whole. Of rules of one length
+    the later in alphabetical order wins. Repeated rows are judged alike, null ids like
+    others; an empty table gives no rows. Other columns, whatever their names, aren't read.
     """
     source = F.col(url_col)
     rows = pages.select(F.col(id_col), host_of(source).alias("host"), path_of(source).alias("path"), (key if key is not None else F.lit(None)).alias("__key"))
@@ -124,12 +129,11 @@ def verdicts(pages: DataFrame, rules: dict[str, str], labels: DataFrame | None,
         known = labels.filter("label_key is not null and bad in (0, 1)").groupBy("label_key").agg(F.max("bad").cast("bigint").alias("bad"))
         small = common.small_enough(known)
         marked = rows.join(F.broadcast(known) if small else known, F.col("__key") == F.col("label_key"), "left")
-    tree = common.stored(judged_templates(generalised(common.stored(folded(marked.select("host", "path", "bad")), "shapes"))), "judged")
-    small = common.small_enough(tree, 200_000)
+    tree = judged_templates(generalised(common.stored(folded(marked.select("host", "path", "bad")), "shapes")))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_rule = F.lit(None).cast("string")
     for name, verdict in rules.items():
         by_rule = F.when(F.col("rule") == name, F.lit(verdict)).otherwise(by_rule)
-    out = rows.withColumn("shape", shape_of(F.col("path"))).join(F.broadcast(tree) if small else tree, ["host", "shape"], "left").withColumn("rule", rule)
+    out = common.looked_up(rows.withColumn("shape", shape_of(F.col("path"))), tree, ["host", "shape"], rows=MOST_BROADCAST).withColumn("rule", rule)
     own = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(id_col, "host", "path", "rule", F.coalesce(by_rule, own).alias("verdict"), "template", "bad_share")
