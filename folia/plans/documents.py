@@ -230,18 +230,6 @@ def cell_fields(spark, sf_dir):
 # --- answers -------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {C._BM25}, {C._VEC}, {C._RRF}, v AS (SELECT query_id, count(*) AS vector_candidates FROM vr GROUP BY 1), k AS (SELECT query_id, count(*) AS keyword_candidates FROM bm GROUP BY 1),
-    f AS (SELECT ra.query_id, count(*) AS fused, count(*) FILTER ({O.any_of(f"lower({O.normal('d.text')})", T.BOILERPLATE)}) AS boilerplate_fused FROM ra JOIN documents d ON d.doc_id = ra.doc GROUP BY 1)
-    SELECT item_id AS query_id, coalesce(vector_candidates, 0) AS vector_candidates, coalesce(keyword_candidates, 0) AS keyword_candidates, coalesce(fused, 0) AS fused, coalesce(boilerplate_fused, 0) AS boilerplate_fused, least(coalesce(fused, 0), {retrieval.FINAL_K}) AS returned
-    FROM benchmark LEFT JOIN v ON v.query_id = item_id LEFT JOIN k ON k.query_id = item_id LEFT JOIN f ON f.query_id = item_id""")
-def answer_report(spark, sf_dir):
-    """The whole plan for the benchmark's items as questions: what each stage gave."""
-    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text", F.lit(1).alias("page"))
-    queries = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    _, report = answering.retrieved(C.vector_hits(spark, sf_dir), C.keyword_hits(spark, sf_dir), texts, queries)
-    return report.select("query_id", "vector_candidates", "keyword_candidates", "fused", "boilerplate_fused", "returned")
-
-
 @query("""WITH q AS (SELECT vec_id % 50 AS query_id, vec_id, label FROM embeddings), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY query_id) AS size FROM q)
     SELECT query_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 2 = 0 THEN 'm' || vec_id ELSE 'v' || vec_id END AS vector_record_id, CASE WHEN pos < size - 1 THEN 'text ' || vec_id ELSE '' END AS text, CASE WHEN pos < 3 THEN round(1.0 - (pos * 0.25) / 2, 6) END AS score FROM n""")
 def parallel_results(spark, sf_dir):
