@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
 CHUNK_BYTES = 2_000_000
 
+#: The same in the operators of the pipeline, whose arrays take some hundred bytes for each byte of text: by then a long-lived
+#: executor's heap has grown to its limit, and its Python workers have to do with the rest.
+FINE_BYTES = 400_000
+
 #: Bytes of an Arrow batch on its way to a Python worker, and the rows of it that a worker takes at a time.
 ARROW_BYTES, PIECE_ROWS = 8 << 20, 1024
 

@@ -47,6 +47,9 @@ MOST_OPEN = 3
 #: Values of an item that may stand against one value of a document; of more, only the best attested does.
 MOST_MERGED = 2
 
+#: Words whose reading a task remembers at most; beyond, it begins anew.
+MOST_READ = 50_000
+
 _LITERAL, _NUMBER, _UNIT, _TITLE, _OPEN = range(5)
 _NUMBER_RE = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?")
 _AMOUNT_RE = re.compile(r"([+-]?)([$€£]?)([+-]?\d(?:[\d.,:/]*\d)?)-?([^\W\d_]+|[%$€£])?")
@@ -81,7 +84,7 @@ def _hashed(words: list[str]) -> np.ndarray:
 class Lexicon:
     """How each distinct word reads: kinds and hashes of its parts, and whether a sentence ends with it.
 
-    Plain ASCII words are read in numpy for a whole chunk; the others one by one, and remembered (up to 200,000).
+    Plain ASCII words are read in numpy for a whole chunk; the others one by one, and remembered (up to MOST_READ).
     """
 
     def __init__(self) -> None:
@@ -90,7 +93,7 @@ class Lexicon:
 
     def slow(self, words: list[bytes]) -> list[tuple[list[tuple[int, str, int]], bool]]:
         """For each word: (kind, value, hash) of its parts, and whether a sentence ends with it."""
-        if len(self.read) >= 200_000:
+        if len(self.read) >= MOST_READ:
             self.read.clear()
         fresh = [w for w in dict.fromkeys(words) if w not in self.read]
         split = []
@@ -363,7 +366,7 @@ def _by_broadcast(docs: DataFrame, index: DataFrame, coverage: float) -> DataFra
         known, lexicon = shared.value, Lexicon()
         for batch in batches:
             rows, ids, texts = [], batch.column(0).to_pylist(), common.as_bytes(batch.column(1))
-            for a, b in common.slices(texts) if len(known.keys) else ():
+            for a, b in common.slices(texts, common.FINE_BYTES) if len(known.keys) else ():
                 t = Templates(texts[a:b], lexicon)
                 hits: dict[tuple, list] = defaultdict(list)
                 for k in known.sizes:
@@ -394,7 +397,7 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, coverage: float) -> DataFrame
         lexicon = Lexicon()
         for batch in batches:
             texts = common.as_bytes(batch.column(2))
-            for x, y in common.slices(texts):
+            for x, y in common.slices(texts, common.FINE_BYTES):
                 t = Templates(texts[x:y], lexicon)
                 for k in sizes:
                     found, places, named = t.windows(k)

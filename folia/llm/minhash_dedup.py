@@ -31,7 +31,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_500_000
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct ``k``-word shingle hashes; a shorter text is one shingle, an empty one has none."""
-    for a, b in common.slices(texts):
+    for a, b in common.slices(texts, common.FINE_BYTES):
         words = Words(texts[a:b], lower=True)
         hashes = words.hashes()
         found, at = windows(hashes, words.doc, k)

@@ -47,7 +47,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
         total = np.zeros((2, 1 << BITS), dtype=np.int64)
         for batch in batches:
             texts, is_trusted = common.as_bytes(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in common.slices(texts):
+            for a, b in common.slices(texts, common.FINE_BYTES):
                 buckets, begin, end = hashed_grams(texts[a:b])
                 own = np.zeros(len(buckets) + 1, dtype=np.int8)
                 mine = np.zeros(len(buckets) + 1, dtype=np.int8)
@@ -90,7 +90,7 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
         for batch in batches:
             texts = common.as_bytes(batch.column(1))
             parts: dict[str, list] = {c: [] for c in (*_COUNTS, "llr")}
-            for a, b in common.slices(texts):
+            for a, b in common.slices(texts, common.FINE_BYTES):
                 for c, v in base_counts(texts[a:b]).items():
                     parts[c].append(v)
                 buckets, begin, end = hashed_grams(texts[a:b])
@@ -117,7 +117,7 @@ def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
         for batch in batches:
             texts = common.as_bytes(batch.column(at))
             keep = []
-            for a, b in common.slices(texts):
+            for a, b in common.slices(texts, common.FINE_BYTES):
                 n = base_counts(texts[a:b])
                 buckets, begin, end = hashed_grams(texts[a:b])
                 total = np.concatenate((np.zeros(1), np.cumsum(ratio[buckets])))

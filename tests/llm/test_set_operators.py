@@ -4,14 +4,16 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folia.llm import common, components, decontaminate, minhash_dedup, mixing, queries, url_templates, warc_writer
+from folia.llm import common, components, decontaminate, minhash_dedup, mixing, quality_rules, queries, url_templates, warc_writer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -317,6 +319,30 @@ def staged(spark, small):
     return out
 
 
+def test_workers_of_the_pipeline_hold_little_and_chunks_do_not_change_results(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" if n % 2 else rng.choice("abcdefgh") * 9 for n in range(300)) for _ in range(1000)]
+    texts[::50] = [f"{t} {ITEMS[0][1]}" for t in texts[::50]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})
+    docs, bench = spark.createDataFrame([(1, "a few words")], "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    runs, real = [], common.map_batches
+    monkeypatch.setattr(common, "map_batches", lambda df, run, schema: runs.append(run) or real(df, run, schema))
+    decontaminate.leaks(docs, bench)
+    minhash_dedup.signed(docs, 5, 36, 5, "doc_id", "text")
+    quality_rules.accepted(docs, docs.select("doc_id"))
+    trusted = pa.RecordBatch.from_arrays([batch.column(1), pa.array([True] * 1000)], names=["text", "trusted"])
+    for run, given, most in zip(runs[1:], (batch, batch, trusted, batch), (75e6, 30e6, 25e6, 35e6), strict=True):
+        tracemalloc.start()
+        got = pa.Table.from_batches(run(iter([given])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.num_rows and peak < most
+        for size in (20_000, 2_000_000):
+            with monkeypatch.context() as patch:
+                patch.setattr(common, "FINE_BYTES", size)
+                assert pa.Table.from_batches(run(iter([given]))).equals(got)
+
+
 def test_pipeline_stages_take_effect(spark, small, staged):
     columns = staged["documents"].columns
     names = [n for n, _ in corpus_pipeline.STAGES]
