@@ -46,6 +46,8 @@ SERIES_HINT = r"(?i)(ROE|BPS|EPS|규제비율|판매관리비율|자기자본비
 DATE_LIKE = (r"\b\d{4}[./-]\d{1,2}(?:[./-]\d{1,2})?\b", r"\b\d{4}년(?:\s*\d{1,2}월(?:\s*\d{1,2}일)?)?\b", r"(?i)\b\d{1,2}q\d{2,4}\b")
 # ------------------------------------------------------------------------------------------------------------------
 
+#: Unicode white space: what ``\s`` of (?U) patterns matches.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _NEWLINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
 
 
@@ -60,18 +62,22 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def clean_text(c: Column) -> Column:
     """Line ends as \\n, blanks collapsed, at most one empty line in a row, stripped; null is empty."""
-    c = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\r\n?", "\n")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\t", " ")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    runs = c.contains("  ") | c.contains("\n\n\n")  # most texts have none, and patterns cost more than all the rest
+    return strip(F.when(runs, F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r"\n{3,}", "\n\n")).otherwise(c))
 
 
 def normalize_text(c: Column) -> Column:
     """One line: white space collapsed and stripped; null is empty."""
-    return strip(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s+", " "))
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    return strip(F.when(c.rlike(r"(?U)[\s&&[^ ]]| {2}"), F.regexp_replace(c, r"(?U)\s+", " ")).otherwise(c))
 
 
 def squeezed(c: Column) -> Column:

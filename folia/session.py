@@ -12,7 +12,11 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the workers once per application; a no-op for later calls."""
+    """Send this package to the workers once per application; a no-op for later calls.
+
+    Generated methods beyond 8 000 bytes are never compiled by the JVM, so stages that would have one are generated by expression instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
