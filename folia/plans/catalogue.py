@@ -277,7 +277,8 @@ def markdown_blocks(spark, sf_dir):
 def order_tables(spark, sf_dir) -> DataFrame:
     """A table per order: its lines as rows, under a header."""
     cells = ("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
-    rows = S.spread(S.table(spark, sf_dir, "lineitem")).groupBy(F.col("l_orderkey").alias("table_id")).agg(F.array_sort(F.collect_list(F.array(*(F.col(c).cast("string") for c in cells)))).alias("data"))
+    lines = S.table(spark, sf_dir, "lineitem").select("l_orderkey", *cells).repartition("l_orderkey")  # as numbers: texts in lists are twice as large
+    rows = lines.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.array_sort(F.collect_list(F.array(*(F.col(c).cast("string") for c in cells)))).alias("data"))
     head = F.array(*(F.lit(c.removeprefix("l_")) for c in cells))
     return rows.select("table_id", head.alias("headers"), F.concat(F.array(head), "data").alias("rows"))
 

@@ -29,3 +29,11 @@ def test_clean_cells_meet_no_pattern_and_methods_are_compiled(spark, small):
     rows = entry.queries()["cell_fields"](spark, small)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
     assert "s+" not in plan(rows.select("cell_value"))
+
+
+def test_order_tables_are_dealt_as_numbers(spark, small):
+    from folia.plans import catalogue
+
+    exchanges = [x for x in plan(catalogue.order_tables(spark, small)).split("== Physical Plan ==")[1].splitlines() if "Exchange" in x]
+    assert len(exchanges) == 1 and "l_orderkey" in exchanges[0]
+    assert "ObjectHashAggregate" not in plan(catalogue.order_tables(spark, small)).split("Exchange")[-1]  # lists are made after the shuffle
