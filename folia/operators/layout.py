@@ -2,18 +2,21 @@
 
 Joins in the plane are equi-joins on (document, page) with a residual condition, so
 their cost is bounded by a page's blocks. Operators whose next step depends on what
-they have already kept go through a page's blocks in one Arrow group.
+they have already kept go through a page's blocks together.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import namedtuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from folia.functions import geometry as G
 from folia.functions import text as T
@@ -214,7 +217,41 @@ def _same(a: str, b: str) -> bool:
 
 
 def _per_page(blocks: DataFrame, step, schema: str) -> DataFrame:
-    return dealt(blocks, *AT).groupBy(*AT).applyInPandas(step, schema)
+    """``step`` over the rows of each page, which follow each other in a partition sorted by page; its tuples have ``schema``.
+
+    Pages are a few rows each, so what a data frame of its own would cost for each is far more than the step.
+    """
+    row, kind = namedtuple("Block", blocks.columns), to_arrow_schema(_parse_datatype_string(schema))
+    at = [blocks.columns.index(c) for c in AT]
+
+    def run(batches):
+        key, page, out = None, [], []
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = [values[i] for i in at]
+                if page and now != key:
+                    out.extend(step(page))
+                    page = []
+                    if len(out) >= 2000:
+                        yield _batch(out, kind)
+                        out = []
+                key = now
+                page.append(row._make(values))
+        if page:
+            out.extend(step(page))
+        if out:
+            yield _batch(out, kind)
+
+    return dealt(blocks, *AT).sortWithinPartitions(*AT).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+
+def _placed(rows: list) -> list:
+    """From top to bottom, then from left to right."""
+    return sorted(rows, key=lambda r: (r.bbox[1], r.bbox[0], r.seq))
 
 
 _SLIM = "doc_id string, page_num int, seq int, type string, bbox array<double>, text string"
@@ -223,18 +260,22 @@ _SLIM = "doc_id string, page_num int, seq int, type string, bbox array<double>,
 def deduplicated(blocks: DataFrame) -> DataFrame:
     """Blocks without those that repeat, by place and text, one kept before them; better sources and longer texts come first."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = pdf["source"].map(lambda s: 3 if s in ("native", "pdfplumber", "camelot") else 1 if s == "ocr" else 0)
-        order = pdf.assign(r=rank, n=pdf["text"].str.len()).sort_values(["r", "n", "seq"], ascending=[False, False, True], kind="stable")
-        kept: list[tuple] = []
-        chosen = []
-        for i, row in order.iterrows():
-            key = _key(row["text"])
-            if any((_overlap(row["bbox"], b) >= 0.5 and (_same(key, k) or len(key) < 12)) for b, k in kept):
-                continue
-            kept.append((row["bbox"], key))
-            chosen.append(i)
-        return pdf.loc[sorted(chosen), ["doc_id", "page_num", "seq", "type", "bbox", "text"]]
+    def step(rows: list) -> list[tuple]:
+        rank = lambda s: 3 if s in ("native", "pdfplumber", "camelot") else 1 if s == "ocr" else 0
+        kept: list = []
+        keys: dict[int, str] = {}
+
+        def key(r) -> str:
+            if id(r) not in keys:
+                keys[id(r)] = _key(r.text)
+            return keys[id(r)]
+
+        for r in sorted(rows, key=lambda r: (-rank(r.source), -len(r.text), r.seq)):
+            x0, y0, x1, y1 = r.bbox[:4]
+            near = (k for k in kept if k.bbox[0] < x1 and x0 < k.bbox[2] and k.bbox[1] < y1 and y0 < k.bbox[3])
+            if not any(_overlap(r.bbox, k.bbox) >= 0.5 and (_same(key(r), key(k)) or len(key(r)) < 12) for k in near):
+                kept.append(r)
+        return [tuple(r[:6]) for r in kept]
 
     return _per_page(blocks.select("doc_id", "page_num", "seq", "type", "bbox", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source")), step, _SLIM)
 
@@ -242,16 +283,15 @@ def deduplicated(blocks: DataFrame) -> DataFrame:
 def distinct_texts(blocks: DataFrame) -> DataFrame:
     """Blocks whose text is not the same as, within, or nearly one kept before on the page."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
+    def step(rows: list) -> list[tuple]:
         kept: list[str] = []
         chosen = []
-        for i, text in zip(pdf.index, pdf["text"], strict=True):
-            key = _key(text)
+        for r in sorted(rows, key=lambda r: r.seq):
+            key = _key(r.text)
             if key and not any(_same(key, k) for k in kept):
                 kept.append(key)
-                chosen.append(i)
-        return pdf.loc[chosen, ["doc_id", "page_num", "seq", "type", "bbox", "text"]]
+                chosen.append(tuple(r))
+        return chosen
 
     return _per_page(blocks.select("doc_id", "page_num", "seq", "type", "bbox", F.coalesce("text", F.lit("")).alias("text")), step, _SLIM)
 
@@ -259,10 +299,9 @@ def distinct_texts(blocks: DataFrame) -> DataFrame:
 def merged_paragraphs(blocks: DataFrame, gap: float = 16.0, drift: float = 40.0, most: int = 1200) -> DataFrame:
     """Neighbouring text blocks joined while the gap to the growing box stays small; titles and other types end a paragraph."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(rows: list) -> list[tuple]:
         out: list[list] = []
-        pdf = pdf.assign(y=[b[1] for b in pdf["bbox"]], x=[b[0] for b in pdf["bbox"]]).sort_values(["y", "x", "seq"])
-        for row in pdf.itertuples():
+        for row in _placed(rows):
             last = out[-1] if out else None
             if last and row.type == last[3] == "text" and -2.0 <= row.bbox[1] - last[4][3] <= gap and abs(row.bbox[0] - last[4][0]) <= drift and len(last[5]) + len(row.text) <= most:
                 b = last[4]
@@ -270,7 +309,7 @@ def merged_paragraphs(blocks: DataFrame, gap: float = 16.0, drift: float = 40.0,
                 last[5] += "\n" + row.text
             else:
                 out.append([row.doc_id, row.page_num, row.seq, row.type, list(row.bbox), row.text])
-        return pd.DataFrame(out, columns=["doc_id", "page_num", "seq", "type", "bbox", "text"])
+        return [tuple(x) for x in out]
 
     return _per_page(blocks.select("doc_id", "page_num", "seq", "type", "bbox", F.coalesce("text", F.lit("")).alias("text")), step, _SLIM)
 
@@ -278,11 +317,11 @@ def merged_paragraphs(blocks: DataFrame, gap: float = 16.0, drift: float = 40.0,
 def clustered(blocks: DataFrame, dx: float = 30.0, dy: float = 24.0) -> DataFrame:
     """``cluster``: each block joins the first cluster whose growing box is within reach, else begins one."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(rows: list) -> list[tuple]:
         boxes: list[list[float]] = []
-        labels = []
-        pdf = pdf.assign(y=[b[1] for b in pdf["bbox"]], x=[b[0] for b in pdf["bbox"]]).sort_values(["y", "x", "seq"])
-        for b in pdf["bbox"]:
+        out = []
+        for r in _placed(rows):
+            b = r.bbox
             at = next((i for i, c in enumerate(boxes) if b[0] - c[2] <= dx and c[0] - b[2] <= dx and b[1] - c[3] <= dy and c[1] - b[3] <= dy), None)
             if at is None:
                 boxes.append(list(b))
@@ -290,8 +329,8 @@ def clustered(blocks: DataFrame, dx: float = 30.0, dy: float = 24.0) -> DataFram
             else:
                 c = boxes[at]
                 boxes[at] = [min(b[0], c[0]), min(b[1], c[1]), max(b[2], c[2]), max(b[3], c[3])]
-            labels.append(at)
-        return pdf[["doc_id", "page_num", "seq"]].assign(cluster=labels)
+            out.append((r.doc_id, r.page_num, r.seq, at))
+        return out
 
     return _per_page(blocks.select("doc_id", "page_num", "seq", "bbox"), step, "doc_id string, page_num int, seq int, cluster int")
 
@@ -299,16 +338,15 @@ def clustered(blocks: DataFrame, dx: float = 30.0, dy: float = 24.0) -> DataFram
 def lines_by_height(blocks: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """``line``: blocks whose centre is within ``tolerance`` of the running mean of the line so far."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(y=[(b[1] + b[3]) / 2 for b in pdf["bbox"]]).sort_values(["y", "seq"])
-        labels, mean, n, line = [], None, 0, -1
-        for y in pdf["y"]:
+    def step(rows: list) -> list[tuple]:
+        out, mean, n, line = [], None, 0, -1
+        for y, _, r in sorted(((r.bbox[1] + r.bbox[3]) / 2, r.seq, r) for r in rows):
             if mean is None or abs(y - mean) > tolerance:
                 line, mean, n = line + 1, y, 1
             else:
                 mean, n = (mean * n + y) / (n + 1), n + 1
-            labels.append(line)
-        return pdf[["doc_id", "page_num", "seq"]].assign(line=labels)
+            out.append((r.doc_id, r.page_num, r.seq, line))
+        return out
 
     return _per_page(blocks.select("doc_id", "page_num", "seq", "bbox"), step, "doc_id string, page_num int, seq int, line int")
 
@@ -316,8 +354,8 @@ def lines_by_height(blocks: DataFrame, tolerance: float = 6.0) -> DataFrame:
 def absorbed_fragments(blocks: DataFrame, tiny: int = 8, reach: float = 60.0) -> DataFrame:
     """Tiny texts appended to the nearest other text within ``reach``; those without one stay."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r.seq, r.type, list(r.bbox), r.text] for r in pdf.sort_values("seq").itertuples()]
+    def step(page: list) -> list[tuple]:
+        rows = [[r.seq, r.type, list(r.bbox), r.text] for r in sorted(page, key=lambda r: r.seq)]
         hosts = [r for r in rows if r[1] == "text" and len(r[3].strip()) >= tiny]
         out = []
         for r in rows:
@@ -329,8 +367,7 @@ def absorbed_fragments(blocks: DataFrame, tiny: int = 8, reach: float = 60.0) ->
                     best[2] = [min(best[2][0], r[2][0]), min(best[2][1], r[2][1]), max(best[2][2], r[2][2]), max(best[2][3], r[2][3])]
                     continue
             out.append(r)
-        first = pdf.iloc[0]
-        return pd.DataFrame([[first.doc_id, first.page_num, *r] for r in out], columns=["doc_id", "page_num", "seq", "type", "bbox", "text"])
+        return [(page[0].doc_id, page[0].page_num, *r) for r in out]
 
     return _per_page(blocks.select("doc_id", "page_num", "seq", "type", "bbox", F.coalesce("text", F.lit("")).alias("text")), step, _SLIM)
 
@@ -363,9 +400,9 @@ def line_kind(line: str) -> str:
 def structured_text(pages: DataFrame, most: int = 1200) -> DataFrame:
     """Blocks of plain text by a line-state machine: each change of kind ends the open block; tables need two stable rows, else they are text."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(rows: list) -> list[tuple]:
         out: list[tuple[str, str]] = []
-        doc, page = pdf.iloc[0]["doc_id"], int(pdf.iloc[0]["page_num"])
+        doc, page = rows[0].doc_id, rows[0].page_num
         kind, lines = "", []
 
         def flush() -> None:
@@ -378,8 +415,8 @@ def structured_text(pages: DataFrame, most: int = 1200) -> DataFrame:
                 out.append((name, "\n".join(lines)))
                 lines.clear()
 
-        for text in pdf["text"]:
-            for line in (text or "").split("\n"):
+        for row in rows:
+            for line in (row.text or "").split("\n"):
                 now = line_kind(line)
                 if now != kind or now == "header" or sum(map(len, lines)) + len(line) > most:
                     flush()
@@ -387,7 +424,7 @@ def structured_text(pages: DataFrame, most: int = 1200) -> DataFrame:
                 if now != "blank":
                     lines.append(line.strip())
         flush()
-        return pd.DataFrame([(doc, page, i, t, x) for i, (t, x) in enumerate(out)], columns=["doc_id", "page_num", "seq", "type", "text"])
+        return [(doc, page, i, t, x) for i, (t, x) in enumerate(out)]
 
     return _per_page(pages.select("doc_id", "page_num", "text"), step, "doc_id string, page_num int, seq int, type string, text string")
 

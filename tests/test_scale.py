@@ -37,3 +37,15 @@ def test_order_tables_are_dealt_as_numbers(spark, small):
     exchanges = [x for x in plan(catalogue.order_tables(spark, small)).split("== Physical Plan ==")[1].splitlines() if "Exchange" in x]
     assert len(exchanges) == 1 and "l_orderkey" in exchanges[0]
     assert "ObjectHashAggregate" not in plan(catalogue.order_tables(spark, small)).split("Exchange")[-1]  # lists are made after the shuffle
+
+
+def test_pages_cost_no_data_frame_each(spark):
+    from folia.operators import layout
+
+    rows = [("d", p, s, "text", [50.0, 40.0 + 9 * s, 300.0, 62.0 + 9 * s], f"line {s // 2} of the page", "native") for p in range(3000) for s in range(3)]
+    blocks = spark.createDataFrame(rows, "doc_id string, page_num int, seq int, type string, bbox array<double>, text string, source string")
+    once = layout.deduplicated(blocks)
+    assert "FlatMapGroupsInPandas" not in plan(once)
+    assert once.select("page_num", "seq").exceptAll(blocks.filter("seq <> 1").select("page_num", "seq")).count() == 0 and once.count() == 6000
+    assert layout.lines_by_height(blocks).filter("line > 0").count() == 6000
+    assert layout.clustered(blocks).filter("cluster > 0").count() == 0
