@@ -87,3 +87,11 @@ def test_keyword_candidates(spark, cells):
     rows = lambda df: sorted(map(str, df.select("query_id", "doc", F.round("keyword_score", 6), "overlap", "keyword_rank").collect()))
     assert rows(got) == rows(pairs) and got.count() == 21
     assert any("Exchange hashpartitioning(query_id" in x and ", doc#" in x for x in plan(got).splitlines()) == (cells == 0)
+
+
+def test_metrics_and_counts_equal_patterns(spark):
+    texts = ["ROE up", "Cash Flow", "cash  flow", "12 bp", "3.5%", "5 KRW", "1,2-", "İncome", "", "가1b!2가", "no figures", "7 x", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    t, letters = F.col("t"), "[A-Za-z가-힣]"
+    got = rows.select(T.metric_signal(t), T.char_count(t, letters)).collect()
+    assert got == rows.select(t.rlike(T.METRIC_SIGNAL), F.regexp_count(t, F.lit(letters))).collect()
