@@ -190,34 +190,37 @@ def title_question(c: Column) -> Column:
 
 
 def share_of(c: Column, pattern: str) -> Column:
-    """Share of a line's characters that match ``pattern``."""
+    """Share of a line's characters that ``pattern``, a class, has."""
     t = T.strip(F.coalesce(c, F.lit("")))
-    return F.when(F.length(t) == 0, 0.0).otherwise(F.regexp_count(t, F.lit(pattern)) / F.length(t))
+    return F.when(F.length(t) == 0, 0.0).otherwise(T.char_count(t, pattern) / F.length(t))
 
 
-def line_signals(c: Column, width: Column, page_width: Column) -> dict[str, Column]:
-    """What a dashboard line looks like, by name."""
-    t = T.strip(F.coalesce(c, F.lit("")))
+def line_signals(t: Column, digit: Column, width: Column, page_width: Column) -> dict[str, Column]:
+    """What a dashboard line looks like, by name: ``t`` is the stripped line, ``digit`` whether it has one.
+
+    Patterns come after what is cheap to see: most lines have no digit, no bar and no mark at their beginning, or are too long.
+    """
     n = F.length(t)
-    alpha, digits, symbols = share_of(c, "[A-Za-z가-힣]"), share_of(c, r"\d"), share_of(c, r"[|%\-+,./()]")
-    letters, ticks, bars = F.regexp_count(t, F.lit("[A-Za-z가-힣]")), F.regexp_count(t, F.lit(r"\d{1,2}/\d{1,2}")), F.regexp_count(t, F.lit(r"\|"))
-    figures = F.regexp_count(t, F.lit(r"\d")) + F.regexp_count(t, F.lit(r"[|%\-+,./]"))
-    topic = t.rlike(r"^\[[^\]\n]{1,24}\]\s*\S")
-    value = (n > 0) & (n <= 32) & t.rlike(r"\d") & t.rlike(r"(?i)[%+\-]|bp|bps|x\b") & ((width >= 12.0) | (n >= 4))
-    unit = ((n <= 22) & t.rlike(r"^\([^)]{1,18}\)\s*$")) | ((n <= 12) & (symbols >= 0.2) & (digits < 0.35))
+    count = lambda chars: T.char_count(t, chars)
+    share = lambda chars: F.when(n == 0, 0.0).otherwise(count(chars) / n)
+    bars, figures = n - F.length(F.replace(t, F.lit("|"), F.lit(""))), count(r"[\d|%\-+,./]")
+    ticks = F.when(digit & t.contains("/"), F.regexp_count(t, F.lit(r"\d{1,2}/\d{1,2}"))).otherwise(0)
+    topic = t.startswith("[") & t.rlike(r"^\[[^\]\n]{1,24}\]\s*\S")
+    value = digit & (n <= 32) & t.rlike(r"(?i)[%+\-]|bp|bps|x\b") & ((width >= 12.0) | (n >= 4))
+    unit = t.startswith("(") & (n <= 22) & t.rlike(r"^\([^)]{1,18}\)\s*$") | ((n <= 12) & (share(r"[|%\-+,./()]") >= 0.2) & (share(r"\d") < 0.35))
     return {
         "metric_value": value,
         "topic_start": topic,
         "issue_box": topic | ((n <= 80) & t.rlike(r"^[A-Za-z][A-Za-z0-9 /\-&]{1,40}:$")),
-        "ranking": t.rlike(r"^\d{1,2}[.)]\s+\S") | t.rlike(r"^[\-*]\s+\S"),
-        "mini_table": ((bars >= 1) & (width > page_width * 0.12)) | (F.regexp_count(t, F.lit(r"(?i)\b\d{1,2}[QH]\d{2,4}[A-Z]?\b")) >= 2) | (F.regexp_count(t, F.lit(r"(?i)\b(?:1D|1W|1M|3M|6M|12M)\b")) >= 2),
-        "contact": t.rlike(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}") | t.rlike(r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{2,4}[-.\s]?\d{2,4}"),
-        "axis_tick": (ticks >= 1) & (n <= 36),
+        "ranking": (digit & t.rlike(r"^\d{1,2}[.)]\s+\S")) | ((t.startswith("-") | t.startswith("*")) & t.rlike(r"^[\-*]\s+\S")),
+        "mini_table": ((bars >= 1) & (width > page_width * 0.12)) | (digit & (F.regexp_count(t, F.lit(r"(?i)\b\d{1,2}[QH]\d{2,4}[A-Z]?\b")) >= 2)) | (digit & (F.regexp_count(t, F.lit(r"(?i)\b(?:1D|1W|1M|3M|6M|12M)\b")) >= 2)),
+        "contact": (t.contains("@") & t.rlike(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")) | (digit & t.rlike(r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{2,4}[-.\s]?\d{2,4}")),
+        "axis_tick": (n <= 36) & (ticks >= 1),
         "unit_label": unit,
-        "tiny_numeric": (n == 0) | (~value & t.rlike(r"^[\d.,%+\-]{1,5}$") & (width < 18)),
-        "debris": (n == 0) | (bars >= 2) | (ticks >= 2) | ((ticks >= 1) & (n <= 40)) | ((n <= 20) & t.rlike(r"^\([^)]+\)\s*$")) | ((n < 52) & (figures >= 0.5 * n) & (letters < F.greatest(F.lit(6), F.floor(n / 5)))),
-        "context": (n > 0) & ~((n <= 3) & (digits >= 0.34)) & ~((digits >= 0.62) & (alpha < 0.18)),
-        "prose": t.rlike(r"[.。?？!！;；:：]"),
+        "tiny_numeric": (n == 0) | ((n <= 5) & (width < 18) & ~value & t.rlike(r"^[\d.,%+\-]{1,5}$")),
+        "debris": (n == 0) | (bars >= 2) | (ticks >= 2) | ((n <= 40) & (ticks >= 1)) | (t.startswith("(") & (n <= 20) & t.rlike(r"^\([^)]+\)\s*$")) | ((n < 52) & (figures >= 0.5 * n) & (count("[A-Za-z가-힣]") < F.greatest(F.lit(6), F.floor(n / 5)))),
+        "context": (n > 0) & ~(digit & (n <= 3) & (share(r"\d") >= 0.34)) & ~(digit & (share(r"\d") >= 0.62) & (share("[A-Za-z가-힣]") < 0.18)),
+        "prose": t.contains(".") | t.rlike(r"[。?？!！;；:：]"),
     }
 
 

@@ -77,8 +77,9 @@ _SHARE = lambda pattern: f"{O.found('s', pattern)} / n"
       CASE WHEN NOT (n <= 3 AND digits >= 0.34) AND NOT (digits >= 0.62 AND alpha < 0.18) THEN 'context' END, CASE WHEN regexp_matches(s, '[.。?？!！;；:：]') THEN 'prose' END) AS signals FROM f""")
 def line_predicates(spark, sf_dir):
     """What each line would be on a dashboard."""
-    signs = P.line_signals(F.col("text"), G.width(F.col("bbox")), F.col("page_width"))
-    return blocks(spark, sf_dir).select("doc_id", "page_num", "seq", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in signs.items()))), ",").alias("signals"))
+    signs = P.line_signals(F.col("t"), F.col("digit"), G.width(F.col("bbox")), F.col("page_width"))
+    lines = blocks(spark, sf_dir).withColumn("t", T.strip(F.coalesce("text", F.lit("")))).withColumn("digit", F.col("t").rlike(r"\d"))
+    return lines.select("doc_id", "page_num", "seq", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in signs.items()))), ",").alias("signals"))
 
 
 @query(rf"""WITH {C.BLOCKS_SQL}, t AS (SELECT *, {O.normal('text')} AS s, row_number() OVER (PARTITION BY doc_id, page_num, lower({O.normal('text')}) ORDER BY y0, x0, seq) AS k FROM blocks),

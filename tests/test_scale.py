@@ -95,3 +95,27 @@ def test_metrics_and_counts_equal_patterns(spark):
     t, letters = F.col("t"), "[A-Za-z가-힣]"
     got = rows.select(T.metric_signal(t), T.char_count(t, letters)).collect()
     assert got == rows.select(t.rlike(T.METRIC_SIGNAL), F.regexp_count(t, F.lit(letters))).collect()
+
+
+def test_line_signals_equal_patterns(spark):
+    """Cheap looks before patterns: the same signals as the patterns alone, on lines for each of them; no text for each letter."""
+    from folia.functions import pagetext as P
+
+    texts = ["+3.5%", "[Topic] says", "Issue box:", "1. first", "- item", "a|b|c 1Q24 2Q25", "1D 1W", "a.b@c.de", "02-123-4567", "1/2 3/4", "(unit) ", "12.5", "(a)", "|%-+", "1", "12,3", "no figures here", "왜? 네", "가나다 1", " ", "", None]
+    rows = spark.createDataFrame([(x, w) for x in texts for w in (5.0, 15.0, 200.0)], "c string, w double").withColumn("t", T.strip(F.coalesce("c", F.lit("")))).withColumn("digit", F.col("t").rlike(r"\d"))
+    t, w, n = F.col("t"), F.col("w"), F.length("t")
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    share = lambda p: F.when(n == 0, 0.0).otherwise(count(p) / n)
+    value = (n > 0) & (n <= 32) & t.rlike(r"\d") & t.rlike(r"(?i)[%+\-]|bp|bps|x\b") & ((w >= 12.0) | (n >= 4))
+    ticks, bars, topic = count(r"\d{1,2}/\d{1,2}"), count(r"\|"), t.rlike(r"^\[[^\]\n]{1,24}\]\s*\S")
+    want = {
+        "metric_value": value, "topic_start": topic, "issue_box": topic | ((n <= 80) & t.rlike(r"^[A-Za-z][A-Za-z0-9 /\-&]{1,40}:$")), "ranking": t.rlike(r"^\d{1,2}[.)]\s+\S") | t.rlike(r"^[\-*]\s+\S"),
+        "mini_table": ((bars >= 1) & (w > 595 * 0.12)) | (count(r"(?i)\b\d{1,2}[QH]\d{2,4}[A-Z]?\b") >= 2) | (count(r"(?i)\b(?:1D|1W|1M|3M|6M|12M)\b") >= 2),
+        "contact": t.rlike(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}") | t.rlike(r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{2,4}[-.\s]?\d{2,4}"), "axis_tick": (ticks >= 1) & (n <= 36),
+        "unit_label": ((n <= 22) & t.rlike(r"^\([^)]{1,18}\)\s*$")) | ((n <= 12) & (share(r"[|%\-+,./()]") >= 0.2) & (share(r"\d") < 0.35)), "tiny_numeric": (n == 0) | (~value & t.rlike(r"^[\d.,%+\-]{1,5}$") & (w < 18)),
+        "debris": (n == 0) | (bars >= 2) | (ticks >= 2) | ((ticks >= 1) & (n <= 40)) | ((n <= 20) & t.rlike(r"^\([^)]+\)\s*$")) | ((n < 52) & (count(r"\d") + count(r"[|%\-+,./]") >= 0.5 * n) & (count("[A-Za-z가-힣]") < F.greatest(F.lit(6), F.floor(n / 5)))),
+        "context": (n > 0) & ~((n <= 3) & (share(r"\d") >= 0.34)) & ~((share(r"\d") >= 0.62) & (share("[A-Za-z가-힣]") < 0.18)), "prose": t.rlike(r"[.。?？!！;；:：]"),
+    }
+    got = P.line_signals(t, F.col("digit"), w, F.lit(595.0))
+    assert list(got) == list(want) and rows.select(*(c.alias(k) for k, c in got.items())).collect() == rows.select(*(c.alias(k) for k, c in want.items())).collect()
+    assert "[A-Za-z가-힣]+" in plan(rows.select(*got.values()))  # counted by taking them out
