@@ -230,9 +230,13 @@ def char_count(c: Column, chars: str) -> Column:
 
 
 def numeric_heavy(c: Column) -> Column:
-    compact = squeezed(c)
-    digits, letters, symbols = (char_count(compact, chars) for chars in (r"[\d]", "[A-Za-z가-힣]", r"[%$€£¥₩/,:;()\-+]"))
-    return (F.length(compact) >= 40) & ((digits >= F.greatest(F.lit(14), letters)) | (digits + symbols > F.greatest(F.lit(24), F.floor(F.length(compact) * 0.55))))
+    """Figures and symbols rather than letters. Most texts have too few of them for anything else to be counted; none of the classes has white space."""
+
+    def full(n: Column) -> Column:
+        m = F.struct(F.length(squeezed(c)).alias("size"), char_count(c, r"[\d]").alias("digits"), char_count(c, "[A-Za-z가-힣]").alias("letters"))
+        return let(m, lambda m: (m["size"] >= 40) & ((m["digits"] >= F.greatest(F.lit(14), m["letters"])) | (n > F.greatest(F.lit(24), F.floor(m["size"] * 0.55)))))
+
+    return let(char_count(c, r"[\d%$€£¥₩/,:;()\-+]"), lambda n: F.when(n < 14, False).otherwise(full(n)))
 
 
 def sparse_list(c: Column) -> Column:
@@ -266,18 +270,19 @@ def measured(c: Column) -> Column:
 
     n, sentences; metric, explains, numeric, dense, title, sparse, boilerplate, contact, meaningful (as ``meaningful_visual``).
     """
-    first = F.struct(c.alias("t"), lines(c).alias("ls"), F.size(words(c)).alias("w"), sentence_parts(c).alias("s"), coverage_text(c).alias("low"), F.length(c).alias("n"))
+    first = F.struct(c.alias("t"), lines(c).alias("ls"), sentence_parts(c).alias("s"), coverage_text(c).alias("low"), F.length(c).alias("n"))
     return let(first, lambda a: let(_signals(a), _measures))
 
 
 def _signals(a: Column) -> Column:
     t, low, n, n_lines = a["t"], a["low"], a["n"], F.size(a["ls"])
+    n_words = F.size(words(t))  # counted in short texts only
     metric = contains_any(low, METRIC_WORDS) | low.rlike(METRIC_AMOUNT)  # the text is lower-case already
     long, short = count_if(a["ls"], lambda x: F.length(x) >= 50), count_if(a["ls"], lambda x: F.length(x) <= 24)
     bullets = count_if(a["ls"], lambda x: x.rlike(r"^[\-•\d]+[.)]?\s*"))
-    small = (F.length(strip(t)) <= 110) & (n_lines <= 3) & (a["w"] <= 14) & (a["s"] <= 1)
+    small = (F.length(strip(t)) <= 110) & (n_lines <= 3) & (a["s"] <= 1) & (n_words <= 14)
     return F.struct(
-        n.alias("n"), a["s"].alias("sentences"), metric.alias("metric"), ((n >= 140) & ((a["s"] >= 2) | (a["w"] >= 18) | (n >= 280))).alias("explains"), numeric_heavy(t).alias("numeric"),
+        n.alias("n"), a["s"].alias("sentences"), metric.alias("metric"), ((n >= 140) & ((n >= 280) | (a["s"] >= 2) | (n_words >= 18))).alias("explains"), numeric_heavy(t).alias("numeric"),
         ((n_lines > 0) & ((long >= 2) | ((n >= 260) & (n_lines <= F.greatest(F.lit(4), F.floor(n / 120)))))).alias("dense"), ((n_lines == 0) | small).alias("short"),
         ((n_lines >= 3) & ((short >= F.greatest(F.lit(3), n_lines - 1)) | (bullets >= F.greatest(F.lit(2), F.floor(n_lines / 2))))).alias("sparse"), boilerplate(low).alias("boilerplate"), contact_noise(low).alias("contact"), (n_lines == 0).alias("blank"),
     )

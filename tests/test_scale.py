@@ -119,3 +119,30 @@ def test_line_signals_equal_patterns(spark):
     got = P.line_signals(t, F.col("digit"), w, F.lit(595.0))
     assert list(got) == list(want) and rows.select(*(c.alias(k) for k, c in got.items())).collect() == rows.select(*(c.alias(k) for k, c in want.items())).collect()
     assert "[A-Za-z가-힣]+" in plan(rows.select(*got.values()))  # counted by taking them out
+
+
+FIGURES = ["", "x", "1,2,3,4,5,6,7,8,9,10,11,12,13,14 and fifteen, sixteen and so on", "a" * 39 + "1" * 14, "%$;:()" * 9, "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 \n" * 3, "word 12 " * 30, "가나다 3% " * 12, "twelve words " * 60, None]
+
+
+def test_figures_are_counted_where_there_are_some(spark):
+    rows = spark.createDataFrame([(x,) for x in FIGURES], "t string")
+    t, compact = F.col("t"), T.squeezed(F.col("t"))
+    digits, letters, symbols = (F.regexp_count(compact, F.lit(p)) for p in (r"\d", "[A-Za-z가-힣]", r"[%$€£¥₩/,:;()\-+]"))
+    want = (F.length(compact) >= 40) & ((digits >= F.greatest(F.lit(14), letters)) | (digits + symbols > F.greatest(F.lit(24), F.floor(F.length(compact) * 0.55))))
+    assert rows.select(T.numeric_heavy(t)).collect() == rows.select(want).collect() and any(r[0] for r in rows.select(want).collect())
+    assert str(T.numeric_heavy(t)).count("(?U)") == 1  # white space is taken out once
+
+
+def test_summary_score_goes_through_a_text_once(spark):
+    """Twelve words are looked for, not all counted; score and penalties share what they need."""
+    from folia.operators import retrieval
+
+    texts = [*FIGURES, "Table of contents", "appendix " * 30, "a. " * 50, "ab, cd; " * 6 + "." * 120, "eleven " * 11 + "-" * 90, "twelve " * 12 + "-" * 90]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    score = retrieval.summary_score(F.col("t"), F.lit("source"), F.lit("text"), F.lit(False), F.lit(True), F.lit(0.0))
+    one = T.normalize_text(F.col("t"))
+    n, words = F.length(one), F.regexp_count(one, F.lit("[A-Za-z0-9ㄱ-힣]+"))
+    bonus = F.when(n >= 350, 0.12).when(n >= 120, 0.08).when(n >= 60, 0.02).otherwise(-0.08) + F.when((n >= 120) & (words >= 12), 0.08).otherwise(0.0)
+    cost = sum((F.when(F.array_contains(score["penalties"], k), w).otherwise(0.0) for k, w in (("toc_like", 0.28), ("appendix_like", 0.22), ("title_only", 0.2), ("visual_only", 0.18), ("caption_or_numeric_only", 0.16))), F.lit(0.0))
+    assert rows.select(F.round(score["score"], 6)).collect() == rows.select(F.round(bonus - cost, 6)).collect()
+    assert str(score).count("(?U)[") == 1 and "ㄱ-힣]+, " not in str(score)
