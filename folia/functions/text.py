@@ -45,6 +45,8 @@ NO_SUPPORT = (
     r"제공된 문서[^.\n]{0,60}(?:포함되어 있지 않|확인할 수 없|찾을 수 없|답변할 수 없|응답할 수 없|없어)", r"지원[^.\n]{0,20}(?:되지 않|할 수 없)",
 )
 CHART_HINT = r"(?i)(chart|graph|trend|series|roe|bps|eps|margin|ratio|추이|그래프|차트|지표|비율|연환산|자기자본|수익률|판매관리비율)"
+#: The same as words, for texts in lower case.
+CHART_WORDS = ("chart", "graph", "trend", "series", "roe", "bps", "eps", "margin", "ratio", "추이", "그래프", "차트", "지표", "비율", "연환산", "자기자본", "수익률", "판매관리비율")
 SERIES_HINT = r"(?i)(ROE|BPS|EPS|규제비율|판매관리비율|자기자본비율|레버리지비율)"
 DATE_LIKE = (r"\b\d{4}[./-]\d{1,2}(?:[./-]\d{1,2})?\b", r"\b\d{4}년(?:\s*\d{1,2}월(?:\s*\d{1,2}일)?)?\b", r"(?i)\b\d{1,2}q\d{2,4}\b")
 # ------------------------------------------------------------------------------------------------------------------
@@ -188,10 +190,15 @@ def period_tokens(c: Column) -> Column:
 def label_candidates(c: Column) -> Column:
     """Distinct pieces between lines, bars and slashes that may label something."""
     pieces = F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n\r|/]+"), clean_text)
-    good = F.filter(pieces, lambda x: F.length(x).between(3, 90) & x.rlike("[A-Za-z가-힣]") & ~((F.length(x) > 50) & (F.size(metric_tokens(x)) >= 4)))
+    good = F.filter(pieces, lambda x: F.length(x).between(3, 90) & x.rlike("[A-Za-z가-힣]") & ~((F.length(x) > 50) & (char_count(x, r"\d") >= 4) & (F.size(metric_tokens(x)) >= 4)))
     return distinct_by(good, lambda x: F.lower(squeezed(x)))
 
 
+def evidence(c: Column) -> Column:
+    """``struct(metrics, periods, labels)``: how many distinct ones a text has."""
+    return F.struct(F.size(metric_tokens(c)).alias("metrics"), F.size(period_tokens(c)).alias("periods"), F.size(label_candidates(c)).alias("labels"))
+
+
 def metric_value(token: Column) -> Column:
     """``struct(value, unit)`` of a metric token; null without a number."""
     compact = squeezed(token)

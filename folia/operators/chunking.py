@@ -212,9 +212,13 @@ def table_records(blocks: DataFrame) -> DataFrame:
     both = F.array_join(F.filter(F.array(summary, md), lambda t: t != ""), "\n\n")
     signal = F.aggregate(F.slice(F.coalesce("key_value_rows", F.array().cast("array<struct<item:string,values:string>>")), 1, 8), F.lit(0), lambda a, r: a + F.when((T.clean_text(r["item"]) != "") & (T.clean_text(r["values"]) != ""), 2).when((T.clean_text(r["item"]) != "") | (T.clean_text(r["values"]) != ""), 1).otherwise(0))
     headers = F.size(F.split(F.get(F.split(md, "\n"), F.lit(0)), r"\|"))
-    score = T.step(F.length(both), (120, 2), (70, 1)) + T.step(F.size(T.metric_tokens(both)), (4, 2), (2, 1)) + T.step(signal, (4, 2), (2, 1))
-    score = score + T.points(((F.regexp_count(md, F.lit(r"\|")) >= 10) | (F.regexp_count(md, F.lit("\n")) >= 4), 1), (headers >= 2, 1), (T.visual_contactish(both), -4), ((F.length(both) < 45) & (signal < 2), -2))
-    kept = numbered_tables.filter(~excluded()).withColumn("gate", score).filter("gate >= 4")
+
+    def score(m: Column) -> Column:
+        total = T.step(F.length(m["both"]), (120, 2), (70, 1)) + T.step(m["metrics"], (4, 2), (2, 1)) + T.step(m["signal"], (4, 2), (2, 1))
+        return total + T.points(((T.char_count(md, r"\|") >= 10) | (T.char_count(md, "\n") >= 4), 1), (headers >= 2, 1), (T.visual_contactish(m["both"]), -4), ((F.length(m["both"]) < 45) & (m["signal"] < 2), -2))
+
+    measured = T.let(both, lambda x: F.struct(x.alias("both"), F.size(T.metric_tokens(x)).alias("metrics"), signal.alias("signal")))
+    kept = numbered_tables.filter(~excluded()).withColumn("gate", T.let(measured, score)).filter("gate >= 4")
     return kept.select("doc_id", "page_num", "block_id", F.lit("table").alias("visual_type"), "visual_index", "gate", both.alias("retrieval_text"), F.lit(0.72).alias("visual_confidence"))
 
 
@@ -228,10 +232,13 @@ def chart_records(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     chart = F.array_join(F.filter(F.array(*(T.clean_text(F.col(c)) for c in ("chart_summary", "visual_summary", "caption_text", "text"))), lambda t: t != ""), "\n\n")
     rows = visuals.join(context, [*at, "block_id"], "left").join(pages.select(*at, "rag_text"), at, "left").withColumn("chart", chart)
     rows = rows.withColumn("both", F.array_join(F.filter(F.array("chart", F.coalesce("near", F.substring(T.clean_text(F.col("rag_text")), 1, 900))), lambda t: t != ""), "\n\n"))
-    metrics, periods, labels = F.size(T.metric_tokens(F.col("both"))), F.size(T.period_tokens(F.col("both"))), F.size(T.label_candidates(F.col("both")))
-    score = T.step(F.length("chart"), (80, 2), (1, 1)) + T.step(metrics, (4, 2), (2, 1)) + T.step(periods, (2, 2), (1, 1))
-    score = score + T.points((labels >= 2, 1), (F.length("both") >= 140, 1), (T.visual_contactish(F.col("both")), -4), ((metrics <= 1) & (periods == 0), -3), ((labels >= 4) & (metrics == 0) & (periods == 0), -3))
-    kept = rows.withColumn("gate", score).filter("gate >= 4")
+
+    def score(e: Column) -> Column:
+        metrics, periods, labels = e["metrics"], e["periods"], e["labels"]
+        total = T.step(F.length("chart"), (80, 2), (1, 1)) + T.step(metrics, (4, 2), (2, 1)) + T.step(periods, (2, 2), (1, 1))
+        return total + T.points((labels >= 2, 1), (F.length("both") >= 140, 1), (T.visual_contactish(F.col("both")), -4), ((metrics <= 1) & (periods == 0), -3), ((labels >= 4) & (metrics == 0) & (periods == 0), -3))
+
+    kept = rows.withColumn("gate", T.let(T.evidence(F.col("both")), score)).filter("gate >= 4")
     trend = T.trend(T.metric_tokens(F.col("both")), T.period_tokens(F.col("both")), F.col("both"))
     return kept.select(*at, "block_id", F.lit("chart").alias("visual_type"), "visual_index", "gate", F.col("both").alias("retrieval_text"), F.lit(0.64).alias("visual_confidence"), trend.alias("trend"))
 
@@ -241,10 +248,15 @@ def chart_like_pages(pages: DataFrame, blocks: DataFrame, charts: DataFrame) ->
     at = ["doc_id", "page_num"]
     visual = completed(blocks).filter(F.col("type").isin(*S.VISUAL_TYPES)).select(*at).distinct().withColumn("has_visual", F.lit(True))
     rows = pages.join(charts.select(*at).distinct(), at, "left_anti").join(visual, at, "left").withColumn("said", T.clean_text(F.coalesce("rag_text", "text")))
-    metrics, periods, labels = F.size(T.metric_tokens(F.col("said"))), F.size(T.period_tokens(F.col("said"))), F.size(T.label_candidates(F.col("said")))
-    hint, seen = F.col("said").rlike(T.CHART_HINT), F.coalesce("has_visual", F.lit(False))
-    score = T.step(metrics, (6, 3), (4, 2)) + T.step(periods, (2, 2), (1, 1)) + T.points((labels >= 3, 1), (F.length("said") >= 220, 1), (hint, 1), (T.visual_contactish(F.col("said")), -4))
-    kept = rows.withColumn("gate", score).filter((hint | seen) & (F.col("gate") >= 5))
+    seen = F.coalesce("has_visual", F.lit(False))
+    rows = rows.withColumn("hint", T.contains_any(F.lower("said"), T.CHART_WORDS))
+    hint = F.col("hint")
+
+    def score(e: Column) -> Column:
+        total = T.step(e["metrics"], (6, 3), (4, 2)) + T.step(e["periods"], (2, 2), (1, 1))
+        return total + T.points((e["labels"] >= 3, 1), (F.length("said") >= 220, 1), (hint, 1), (T.visual_contactish(F.col("said")), -4))
+
+    kept = rows.withColumn("gate", F.when(hint | seen, T.let(T.evidence(F.col("said")), score))).filter("gate >= 5")  # one condition: apart, the second would come first
     return kept.select(*at, F.lit("chart_like_page").alias("visual_type"), "gate", F.substring("said", 1, 1600).alias("retrieval_text"), F.when(hint, 0.58).otherwise(0.48).alias("visual_confidence"))
 
 

@@ -146,3 +146,19 @@ def test_summary_score_goes_through_a_text_once(spark):
     cost = sum((F.when(F.array_contains(score["penalties"], k), w).otherwise(0.0) for k, w in (("toc_like", 0.28), ("appendix_like", 0.22), ("title_only", 0.2), ("visual_only", 0.18), ("caption_or_numeric_only", 0.16))), F.lit(0.0))
     assert rows.select(F.round(score["score"], 6)).collect() == rows.select(F.round(bonus - cost, 6)).collect()
     assert str(score).count("(?U)[") == 1 and "ㄱ-힣]+, " not in str(score)
+
+
+def test_chart_pages_are_judged_after_their_hint(spark):
+    """The chart words equal their pattern, and a page without one isn't searched for metrics."""
+    from folia.operators import chunking
+
+    texts = ["ROE up", "a graphic", "SERİES", "serieſ", "추이", "operation", "nothing", "", "Margin 3% 4% 5% 6% 1Q24 2Q24 3Q24\n" * 8, "3% 4% 5% 6% 7% 8% 1Q24 2Q24\n" * 9]
+    pages = spark.createDataFrame([("d", i, x) for i, x in enumerate(texts)], "doc_id string, page_num int, rag_text string").withColumn("text", F.col("rag_text"))
+    t = F.col("text")
+    assert pages.select(T.contains_any(F.lower(t), T.CHART_WORDS)).collect() == pages.select(t.rlike(T.CHART_HINT)).collect()
+    blocks = spark.createDataFrame([("d", i, 0, "text", x) for i, x in enumerate(texts)], "doc_id string, page_num int, seq int, type string, text string")
+    none = pages.select("doc_id", "page_num").limit(0)
+    found = chunking.chart_like_pages(pages, blocks, none)
+    assert [r.page_num for r in found.collect()] == [8]
+    tree = plan(found).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
+    assert all("CASE WHEN" in x for x in tree.splitlines() if "Filter" in x and "regexp_extract_all" in x)
