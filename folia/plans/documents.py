@@ -254,7 +254,7 @@ def restored_selection(spark, sf_dir):
 @query()
 def representative_chunks(spark, sf_dir):
     """Selections by coverage; those of every other document come from the store, and documents without chunks fall back to reranked candidates."""
-    scored = C.covered(spark, sf_dir)
+    scored = S.stored(C.covered(spark, sf_dir).drop("text"), "scored-chunks")  # five steps read them: splitting and scoring are most of the work
     even = F.col("doc_id").cast("bigint") % 2 == 0
     stored = scored.filter(even).groupBy("doc_id").agg(F.min("chunk_index").alias("chunk_index")).withColumn("pos", F.lit(1))
     reranked = retrieval.diversified(C.summary_candidates(spark, sf_dir).select(F.col("doc_id").alias("request_id"), F.col("chunk_index").alias("doc"), F.col("page_num").cast("string").alias("page"), F.lit("").alias("section"), F.col("s.score").alias("score")), 8)

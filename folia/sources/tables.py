@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` worked out and written below ``spark.checkpoint.dir``, to be read as often as a plan needs it."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folia-shared-")
+    path = f"{folder.rstrip('/')}/folia/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_blocks(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     """Blocks of plain texts: one per non-empty line, ``lines_per_page`` to a page, laid out on an A4 page of points.
 

@@ -162,3 +162,11 @@ def test_chart_pages_are_judged_after_their_hint(spark):
     assert [r.page_num for r in found.collect()] == [8]
     tree = plan(found).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
     assert all("CASE WHEN" in x for x in tree.splitlines() if "Filter" in x and "regexp_extract_all" in x)
+
+
+def test_representative_chunks_split_texts_twice(spark, small):
+    """Once for the scores, which are stored before the plan begins, and once in it for the candidates; not for each step that reads them."""
+    from folia.plans import catalogue
+
+    tree = plan(catalogue.QUERIES["representative_chunks"](spark, small)).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert sum("Relation" in x and "text#" in x for x in tree.splitlines()) == 1
