@@ -16,7 +16,7 @@ from folia.functions import geometry as G
 from folia.functions import keys as K
 from folia.functions import tables as TB
 from folia.functions import text as T
-from folia.operators import chunking, index, layout, metadata, retrieval, routing
+from folia.operators import chunking, index, layout, metadata, retrieval, routing, tablequality
 from folia.operators.splitting import split_text
 from folia.plans import oracles
 from folia.sources import tables as S
@@ -299,14 +299,14 @@ def table_rows(spark, sf_dir):
 
 @query()
 def table_quality(spark, sf_dir):
-    rows = order_tables(spark, sf_dir).select("table_id", TB.normalized(F.col("rows"), F.lit("native"), F.lit(None).cast("string")).alias("t")).withColumn("q", TB.quality(F.col("t")))
-    return rows.select("table_id", "t.n_rows", "t.n_cols", F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), *(F.round(F.col(f"q.{c}"), 6).alias(c) for c in ("overall", "row_stability", "header_likelihood", "empty_cell_ratio", "numeric_alignment")), TB.readiness(F.col("t"), F.col("q.reject_signals")).alias("ready"))
+    rows = tablequality.measured(order_tables(spark, sf_dir))
+    return rows.select("table_id", "n_rows", "n_cols", "numeric_cols", *(F.round(c, 6).alias(c) for c in tablequality.RATIOS), "ready")
 
 
 @query(f"""WITH {oracles._QUALITY} SELECT table_id, CAST(n_rows AS BIGINT) AS n_rows, n_cols, numeric_cols, round(CAST(stable AS DOUBLE), 9) AS row_stability FROM q""")
 def table_shape(spark, sf_dir):
-    rows = order_tables(spark, sf_dir).select("table_id", TB.normalized(F.col("rows"), F.lit("native"), F.lit(None).cast("string")).alias("t"))
-    return rows.select("table_id", F.col("t.n_rows").cast("bigint").alias("n_rows"), F.col("t.n_cols").alias("n_cols"), F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), F.round(TB.row_stability(F.col("t.rows")), 9).alias("row_stability"))
+    rows = tablequality.measured(order_tables(spark, sf_dir))
+    return rows.select("table_id", F.col("n_rows").cast("bigint").alias("n_rows"), "n_cols", "numeric_cols", F.round("row_stability", 9).alias("row_stability"))
 
 
 @query("""WITH g AS (SELECT r_name, list_sort(list([n_name, CAST(n_nationkey AS VARCHAR)])) AS d FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
@@ -321,9 +321,9 @@ def table_markdown(spark, sf_dir):
 def best_table(spark, sf_dir):
     """Of each customer's orders as tables, the one of best quality."""
     orders = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    rows = order_tables(spark, sf_dir).join(orders, F.col("table_id") == F.col("o_orderkey")).withColumn("t", TB.normalized(F.col("rows"), F.lit("native"), F.lit(None).cast("string"))).withColumn("q", TB.quality(F.col("t")))
-    key = F.struct(F.round("q.overall", 9), F.round("q.header_likelihood", 9), F.round("q.row_stability", 9), F.round(-F.col("q.empty_cell_ratio"), 9), F.round("q.source_bias", 9), F.col("t.n_rows") * F.col("t.n_cols"), -F.col("table_id"))
-    return rows.groupBy("o_custkey").agg(F.max_by("table_id", key).alias("table_id"), F.round(F.max("q.overall"), 6).alias("overall"))
+    rows = tablequality.measured(order_tables(spark, sf_dir)).join(orders, F.col("table_id") == F.col("o_orderkey"))
+    key = F.struct(F.round("overall", 9), F.round("header_likelihood", 9), F.round("row_stability", 9), F.round(-F.col("empty_cell_ratio"), 9), F.col("n_rows") * F.col("n_cols"), -F.col("table_id"))
+    return rows.groupBy("o_custkey").agg(F.max_by("table_id", key).alias("table_id"), F.round(F.max("overall"), 6).alias("overall"))
 
 
 @query()

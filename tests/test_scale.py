@@ -170,3 +170,35 @@ def test_representative_chunks_split_texts_twice(spark, small):
 
     tree = plan(catalogue.QUERIES["representative_chunks"](spark, small)).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert sum("Relation" in x and "text#" in x for x in tree.splitlines()) == 1
+
+
+def test_tables_measured_by_batch_equal_expressions(spark, small):
+    """Whole tables are measured without interpreted lambdas over their cells, with what the expressions give, to the last digit."""
+    import random
+
+    import __spark_entry__ as entry
+    import pyarrow as pa
+
+    from folia.functions import tables as TB
+    from folia.operators import tablequality
+    from folia.session import ship_package
+
+    for name in ("table_quality", "table_shape", "best_table"):
+        assert "rlike" not in plan(entry.queries()[name](spark, small)).lower(), name
+    deal = random.Random(5)
+    cells = ["", " ", "name", "12", "3.5%", "(1)", "-", "▲", "a b", "가나다", "매출액 12억원", "x" * 95, "y 1 " * 25, "이것은 긴 문장이라고 할 수 있다. " * 4, None, "1,234", "  pad  d ", "\u3000가 2", "é", "ſ", "😀1", "[", "조"]
+
+    def table():
+        pool, wide = deal.sample(cells, deal.choice([1, 2, 4, 8, len(cells)])), deal.choice([1, 1, 2, 3, 5, 17])
+        rows = [[deal.choice(pool) for _ in range(wide if deal.random() < 0.7 else deal.randint(0, wide + 1))] for _ in range(deal.choice([0, 1, 2, 2, 3, 4, 6, 9, 55]))]
+        return None if deal.random() < 0.02 else [*rows, None] if deal.random() < 0.05 else rows
+
+    rows = [(i, table()) for i in range(1000)]
+    tables = ship_package(spark).createDataFrame(rows, "table_id bigint, rows array<array<string>>")
+    plain = tables.select("table_id", TB.normalized(F.col("rows"), F.lit("native"), F.lit(None).cast("string")).alias("t")).withColumn("q", TB.quality(F.col("t")))
+    want = plain.select("table_id", "t.n_rows", "t.n_cols", F.array_join(F.col("t.numeric_cols").cast("array<string>"), ",").alias("numeric_cols"), *(f"q.{c}" for c in tablequality.RATIOS), TB.readiness(F.col("t"), F.col("q.reject_signals")).alias("ready"))
+    got = sorted(tablequality.measured(tables).select(*want.columns).collect())
+    assert got == sorted(want.collect()) and len({r.ready for r in got}) >= 9
+    whole = pa.array([r for _, r in rows], pa.list_(pa.list_(pa.string())))
+    parts = [tablequality.measure(whole.slice(a, 300), 0.5) for a in range(0, 1000, 300)]
+    assert all(pa.concat_arrays([p[c] for p in parts]).equals(x) for c, x in tablequality.measure(whole, 0.5).items())
