@@ -72,11 +72,11 @@ def strip(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Line ends as \\n, blanks collapsed, at most one empty line in a row, stripped; null is empty."""
-    c = F.coalesce(c.cast("string"), F.lit(""))
+    c = one_kind = F.coalesce(c.cast("string"), F.lit(""))
     for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\t", " ")):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    runs = c.contains("  ") | c.contains("\n\n\n")  # most texts have none, and patterns cost more than all the rest
-    return strip(F.when(runs, F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r"\n{3,}", "\n\n")).otherwise(c))
+        one_kind = F.replace(one_kind, F.lit(old), F.lit(new))
+    unclean = contains_any(c, ("\r", "\t", "  ", "\n\n\n"))  # most texts have none, and replacing and patterns cost more than all the rest
+    return strip(F.when(unclean, F.regexp_replace(F.regexp_replace(one_kind, " {2,}", " "), r"\n{3,}", "\n\n")).otherwise(c))
 
 
 def normalize_text(c: Column) -> Column:

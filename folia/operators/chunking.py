@@ -87,17 +87,14 @@ def labelled_support() -> Column:
     return F.concat(shown, F.coalesce(values, F.array().cast("array<string>")))
 
 
-def anchor_groups(text_blocks: DataFrame, flow_chars: int = FLOW_CHARS) -> DataFrame:
-    """``text_blocks`` (doc_id, page_num, block_id, text, panel, order) with ``group_key``.
+def flow_keys(items: Column, flow_chars: int = FLOW_CHARS) -> Column:
+    """The group key of each of a page's text ``items`` (panel, n characters), in their order.
 
     Blocks of a panel form one group wherever they stand. Others flow: a flow ends at
     a panel's block, or when it and the next text would exceed ``flow_chars``. The
-    running length restarts with each flow, so each page's blocks are folded in
-    order with a higher-order function, inside the JVM.
+    running length restarts with each flow, so the items are folded.
     """
-    item = F.struct("order", "block_id", "panel", F.length(T.clean_text(F.col("text"))).alias("n"))
-    pages = text_blocks.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("flow"), F.lit(False).alias("open"), F.lit(0).alias("length"), F.array().cast("array<struct<block_id:string,group_key:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("flow"), F.lit(False).alias("open"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         in_panel = x["panel"].isNotNull()
@@ -106,31 +103,73 @@ def anchor_groups(text_blocks: DataFrame, flow_chars: int = FLOW_CHARS) -> DataF
         flow = F.when(new, acc["flow"] + 1).otherwise(acc["flow"])
         joined = F.when(new | (acc["length"] == 0), x["n"]).when(x["n"] == 0, acc["length"]).otherwise(acc["length"] + 2 + x["n"])
         key = F.when(in_panel, x["panel"]).otherwise(F.concat(F.lit("text_flow:"), flow.cast("string")))
-        return F.struct(flow.cast("int").alias("flow"), (~in_panel).alias("open"), F.when(in_panel, 0).otherwise(joined).cast("int").alias("length"), F.concat(acc["out"], F.array(F.struct(x["block_id"].alias("block_id"), key.alias("group_key")))).alias("out"))
-
-    grouped = pages.select("doc_id", "page_num", F.explode(F.aggregate("items", start, add, lambda a: a["out"])).alias("g"))
-    return text_blocks.join(grouped.select("doc_id", "page_num", F.col("g.block_id").alias("block_id"), F.col("g.group_key").alias("group_key")), ["doc_id", "page_num", "block_id"])
+        return F.struct(flow.cast("int").alias("flow"), (~in_panel).alias("open"), F.when(in_panel, 0).otherwise(joined).cast("int").alias("length"), F.concat(acc["out"], F.array(key)).alias("out"))
 
+    return F.aggregate(items, start, add, lambda a: a["out"])
 
-def support_of_groups(members: DataFrame, support: DataFrame) -> DataFrame:
-    """doc_id, page_num, group_key with each admitted support block: same panel, or one that names a member as context.
 
-    The two conditions are two equi-joins, so no pair of a page is formed that doesn't match.
-    """
-    at = ["doc_id", "page_num"]
-    by_panel = members.filter("panel is not null").select(*at, "group_key", "panel").distinct().join(support.filter("panel is not null"), [*at, "panel"]).select(*at, "group_key", "support_id", F.lit(False).alias("named"))
-    contexts = support.select(*at, "support_id", F.explode("context_ids").alias("block_id"))
-    by_name = members.select(*at, "group_key", "block_id").join(contexts, [*at, "block_id"]).select(*at, "group_key", "support_id", F.lit(True).alias("named"))
-    return by_panel.unionByName(by_name).groupBy(*at, "group_key", "support_id").agg(F.max("named").alias("named"))
+def anchor_groups(text_blocks: DataFrame, flow_chars: int = FLOW_CHARS) -> DataFrame:
+    """``text_blocks`` (doc_id, page_num, block_id, text, panel, order) with ``group_key``, by ``flow_keys``; a page's blocks are shuffled once. Blocks of no page have no group."""
+    at, own = ["doc_id", "page_num"], [c for c in text_blocks.columns if c not in ("doc_id", "page_num", "block_id")]
+    item = F.struct("order", "block_id", "panel", F.length(T.clean_text(F.col("text"))).alias("n"), *(c for c in own if c not in ("order", "panel")))
+    pages = text_blocks.dropna(subset=at).groupBy(*at).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    placed = pages.select(*at, F.explode(F.arrays_zip("items", flow_keys(F.col("items"), flow_chars).alias("keys"))).alias("z"))
+    return placed.select(*at, F.col("z.items.block_id").alias("block_id"), *(F.col(f"z.items.{c}").alias(c) for c in own), F.col("z.keys").alias("group_key"))
 
 
-def compose(groups: DataFrame) -> DataFrame:
-    """Adds ``retrieval`` and ``display`` to rows with ``anchor`` and ``support`` (array of score, size, text): the best two
+def composed(anchor: Column, support: Column) -> Column:
+    """``struct(retrieval, display)`` of an ``anchor`` and its ``support`` (array of score, size, text): the best two
     supports that reach the threshold are shown; a very short anchor is retrieved with the best one only."""
-    best = F.slice(F.reverse(F.array_sort("support")), 1, 2)
-    admitted = F.transform(F.filter(best, lambda s: (s["text"] != "") & (s["score"] >= F.when(F.length("anchor") < 120, 5).otherwise(4))), lambda s: s["text"])
-    shown = lambda texts: F.array_join(F.filter(F.concat(F.array("anchor"), texts), lambda t: t != ""), "\n\n")
-    return groups.withColumn("display", shown(admitted)).withColumn("retrieval", shown(F.when(F.length("anchor") < 60, F.slice(admitted, 1, 1)).otherwise(admitted)))
+    best = F.slice(F.reverse(F.array_sort(support)), 1, 2)
+    admitted = F.transform(F.filter(best, lambda s: (s["text"] != "") & (s["score"] >= F.when(F.length(anchor) < 120, 5).otherwise(4))), lambda s: s["text"])
+    shown = lambda texts: F.array_join(F.filter(F.concat(F.array(anchor), texts), lambda t: t != ""), "\n\n")
+    return T.let(admitted, lambda texts: F.struct(shown(F.when(F.length(anchor) < 60, F.slice(texts, 1, 1)).otherwise(texts)).alias("retrieval"), shown(texts).alias("display")))
+
+
+def _page_groups(items: Column) -> Column:
+    """A page's text groups as chunks: a group's texts, and the supports of its panel or that name a block of it as context."""
+
+    def group(key: Column, texts: Column, keys: Column) -> Column:
+        parts = F.filter(texts, lambda x, i: F.get(keys, i) == key)
+        facts = lambda p: F.struct(p.alias("parts"), F.transform(p, lambda x: x["block_id"]).alias("ids"), F.array_join(F.filter(F.transform(p, lambda x: x["text"]), lambda t: t != ""), "\n\n").alias("anchor"))
+        return T.let(T.let(parts, facts), lambda g: T.let(backing(g), lambda support: chunk(g, support)))
+
+    def backing(g: Column) -> Column:
+        def admitted(s: Column) -> Column:
+            named = F.coalesce(F.exists(s["context_ids"], lambda c: F.coalesce(F.array_contains(g["ids"], c), F.lit(False))), F.lit(False))
+            near = F.coalesce(F.exists(g["parts"], lambda p: F.coalesce(p["panel"] == s["panel"], F.lit(False))), F.lit(False))
+            return (named | near) & (s["score"] >= F.when(named, 4).otherwise(6) + F.when(F.length(g["anchor"]) < 120, 1).otherwise(0))
+
+        found = F.filter(items, lambda s: s["score"].isNotNull() & admitted(s))
+        return F.transform(found, lambda s: F.struct(s["score"].alias("score"), F.length(s["support_text"]).alias("size"), s["support_text"].alias("text"), s["block_id"].alias("support_id")))
+
+    def chunk(g: Column, support: Column) -> Column:
+        several = (F.size(g["ids"]) > 1) | (F.size(support) > 0)
+        short = (F.length(g["anchor"]) < 24) & ~several
+        texts = F.when(~short, composed(g["anchor"], support))
+        return T.let(texts, lambda t: _chunk(F.get(g["parts"], F.lit(0))["order"], 0, F.when(several, "block_group").otherwise("text"), t["retrieval"], t["display"], F.concat(g["ids"], F.transform(support, lambda s: s["support_id"]))))
+
+    texts = F.filter(items, lambda x: x["is_text"])
+    made = T.let(texts, lambda ts: T.let(flow_keys(ts), lambda keys: F.transform(F.array_distinct(keys), lambda key: group(key, ts, keys))))
+    return F.filter(made, lambda c: c["retrieval"] != "")
+
+
+def _chunk(first: Column, kind: int, chunk_type: Column, retrieval: Column, display: Column, sources: Column) -> Column:
+    return F.struct(first.alias("first"), F.lit(kind).alias("kind"), chunk_type.alias("chunk_type"), retrieval.alias("retrieval"), display.alias("display"), sources.alias("sources"))
+
+
+def _page_instead(items: Column, rag_text: Column, no_order: Column) -> Column:
+    """The chunks of a page without text groups: its own text, else its blocks' texts, else visuals that say enough by themselves."""
+    said = F.array_sort(F.transform(items, lambda x: F.struct(x["order"].alias("order"), F.concat(F.when(x["text"] != "", F.array(x["text"])).otherwise(F.array().cast("array<string>")), x["labelled"]).alias("said"), x["block_id"].alias("block_id"))))
+
+    def page(said: Column) -> Column:
+        text = F.coalesce(T.truthy(T.clean_text(rag_text), F.array_join(F.flatten(F.transform(said, lambda s: s["said"])), "\n\n")), F.lit(""))
+        ids = F.coalesce(F.transform(said, lambda s: s["block_id"]), F.array().cast("array<string>"))
+        return T.let(text, lambda t: F.when(t != "", F.array(_chunk(no_order, 1, F.lit("page"), t, t, ids))).otherwise(visuals))
+
+    telling = lambda x: (x["score"] >= 7) & ~((F.length(x["support_text"]) < 120) & (T.metric_like(x["support_text"]) < 4) & (T.sentence_ends(x["support_text"]) < 2))
+    visuals = F.transform(F.filter(items, telling), lambda x: _chunk(x["order"], 2, F.when(x["type"] == "table", "table_summary").otherwise("chart_summary"), x["support_text"], x["support_text"], F.array(x["block_id"])))
+    return T.let(said, page)
 
 
 def text_first_chunks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -139,37 +178,25 @@ def text_first_chunks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     Per page: the text groups with their support; a page without any falls back to
     its own text, then to its blocks' texts; one without those to visuals that say
     enough by themselves. Long texts are split; chunks are numbered per document.
+    A page's blocks are gathered in one row, so blocks are read and shuffled once.
     """
     at = ["doc_id", "page_num"]
-    ready = completed(blocks).withColumns({"panel": panel_key(), "order": order(), "out": excluded()})
-    texts = ready.filter(F.col("type").isin(*S.TEXT_TYPES) & ~F.col("out")).select(*at, "block_id", "text", "panel", "order")
-    support = (
-        ready.filter(F.col("type").isin(*S.TABLE_TYPES, *S.VISUAL_TYPES) & ~F.col("out"))
-        .withColumn("support_text", F.array_join(support_parts(), "\n\n"))
-        .filter("support_text <> ''")
-        .select(*at, F.col("block_id").alias("support_id"), "panel", "context_ids", "type", support_score(F.col("support_text")).alias("score"), "support_text", "order")
-    )
-    members = anchor_groups(texts)
-    anchors = members.groupBy(*at, "group_key").agg(F.array_sort(F.collect_list(F.struct("order", "block_id", T.clean_text(F.col("text")).alias("text")))).alias("parts")).select(
-        *at, "group_key", F.get("parts", F.lit(0))["order"].alias("first"), F.transform("parts", lambda p: p["block_id"]).alias("ids"), F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != ""), "\n\n").alias("anchor")
-    )
-    pairs = support_of_groups(members, support).join(support, [*at, "support_id"]).join(anchors.select(*at, "group_key", F.length("anchor").alias("size")), [*at, "group_key"])
-    admitted = pairs.filter(F.col("score") >= F.when(F.col("named"), 4).otherwise(6) + F.when(F.col("size") < 120, 1).otherwise(0))
-    backing = admitted.groupBy(*at, "group_key").agg(F.collect_list(F.struct("score", F.length("support_text").alias("size"), F.col("support_text").alias("text"), "support_id")).alias("support"))
-    none = F.array().cast("array<struct<score:int,size:int,text:string,support_id:string>>")
-    full = anchors.join(backing, [*at, "group_key"], "left").withColumn("support", F.coalesce("support", none))
-    groups = compose(full.filter(~((F.length("anchor") < 24) & (F.size("ids") == 1) & (F.size("support") == 0)))).filter("retrieval <> ''")
-    grouped = groups.select(*at, "first", F.lit(0).alias("kind"), F.when((F.size("ids") > 1) | (F.size("support") > 0), "block_group").otherwise("text").alias("chunk_type"), "retrieval", "display", F.concat("ids", F.transform("support", lambda s: s["support_id"])).alias("sources"))
-
-    empty = pages.join(grouped.select(*at).distinct(), at, "left_anti")
-    own = ready.filter(~F.col("out")).withColumn("said", F.concat(F.when(F.col("type").isin(*S.TEXT_TYPES, *S.TABLE_TYPES) & (T.clean_text(F.col("text")) != ""), F.array(T.clean_text(F.col("text")))).otherwise(F.array().cast("array<string>")), labelled_support()))
-    rest = own.join(empty.select(*at), at, "left_semi").groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("order", "said", "block_id"))).alias("said"))
-    filled = empty.join(rest, at, "left").withColumn("fallback", F.coalesce(T.truthy(T.clean_text(F.col("rag_text")), F.array_join(F.flatten(F.transform("said", lambda s: s["said"])), "\n\n")), F.lit("")))
-    first = F.lit(None).cast(dict(grouped.dtypes)["first"])
-    fallback = filled.filter("fallback <> ''").select(*at, first.alias("first"), F.lit(1).alias("kind"), F.lit("page").alias("chunk_type"), F.col("fallback").alias("retrieval"), F.col("fallback").alias("display"), F.coalesce(F.transform("said", lambda s: s["block_id"]), F.array().cast("array<string>")).alias("sources"))
-    alone = support.join(filled.filter("fallback = ''").select(*at), at, "left_semi").filter((F.col("score") >= 7) & ~((F.length("support_text") < 120) & (T.metric_like(F.col("support_text")) < 4) & (T.sentence_ends(F.col("support_text")) < 2)))
-    visual = alone.select(*at, F.col("order").alias("first"), F.lit(2).alias("kind"), F.when(F.col("type") == "table", "table_summary").otherwise("chart_summary").alias("chunk_type"), F.col("support_text").alias("retrieval"), F.col("support_text").alias("display"), F.array("support_id").alias("sources"))
-    return numbered(reduce(DataFrame.unionByName, (grouped, fallback, visual)).join(pages.select(*at, "page_title"), at, "left"), S.MAIN_STRATEGY)
+    is_text, visual = F.col("type").isin(*S.TEXT_TYPES), F.col("type").isin(*S.TABLE_TYPES, *S.VISUAL_TYPES)
+    ready = completed(blocks).withColumns({"panel": panel_key(), "order": order()}).filter(~excluded()).dropna(subset=at)
+    told = F.coalesce("table_summary", "table_markdown", "chart_summary", "visual_summary", "caption_text").isNotNull() | F.col("key_value_rows").isNotNull()  # else the lambdas below have nothing to find
+    ready = ready.withColumn("support_text", F.when(visual & told, F.array_join(support_parts(), "\n\n")))
+    supports = F.col("support_text") != ""
+    text = F.when(F.col("type").isin(*S.TEXT_TYPES, *S.TABLE_TYPES), T.clean_text(F.col("text")))
+    rows = ready.select(
+        *at, "order", "block_id", "panel", F.coalesce(F.length(text), F.lit(0)).alias("n"), F.coalesce(is_text, F.lit(False)).alias("is_text"), "type", text.alias("text"),
+        F.when(supports, F.col("support_text")).alias("support_text"), F.when(supports, support_score(F.col("support_text"))).alias("score"), F.when(supports, F.col("context_ids")).alias("context_ids"), F.when(told, labelled_support()).otherwise(F.array().cast("array<string>")).alias("labelled"),
+    )
+    items = rows.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(*(c for c in rows.columns if c not in at)))).alias("items"))
+    both = pages.select(*at, "rag_text", "page_title", F.lit(True).alias("parsed")).join(items, at, "full")
+    no_order = F.lit(None).cast(dict(rows.dtypes)["order"])
+    instead = F.when(F.col("parsed"), _page_instead(F.col("items"), F.col("rag_text"), no_order))
+    chunks = T.let(_page_groups(F.col("items")), lambda groups: F.when(F.size(groups) > 0, groups).otherwise(instead))
+    return numbered(both.select(*at, "page_title", F.explode(chunks).alias("c")).select(*at, "c.*", "page_title"), S.MAIN_STRATEGY)
 
 
 def native_chunks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -177,7 +204,7 @@ def native_chunks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     at = ["doc_id", "page_num"]
     whole = pages.filter(T.clean_text(F.col("rag_text")) != "").select(*at, F.lit(-1).alias("seq"), F.lit("native_page").alias("chunk_type"), T.clean_text(F.col("rag_text")).alias("retrieval"), F.array().cast("array<string>").alias("sources"), "page_title")
     ready = completed(blocks)
-    said = F.array_join(F.filter(F.array(*(T.clean_text(F.col(c)) for c in ("text", "table_summary", "table_markdown", "chart_summary", "visual_summary", "caption_text"))), lambda t: t != ""), "\n\n")
+    said = F.concat_ws("\n\n", *(F.nullif(T.clean_text(F.col(c)), F.lit("")) for c in ("text", "table_summary", "table_markdown", "chart_summary", "visual_summary", "caption_text")))
     single = ready.select(*at, "seq", F.coalesce("type", F.lit("text")).alias("chunk_type"), said.alias("retrieval"), F.array(F.col("seq").cast("string")).alias("sources")).filter("retrieval <> ''").join(pages.select(*at, "page_title"), at, "left")
     both = whole.unionByName(single).withColumn("display", F.col("retrieval")).withColumns({"first": F.col("seq"), "kind": F.lit(0)}).drop("seq")
     return numbered(both, S.BASELINE_STRATEGY, hard=1350)

@@ -202,3 +202,23 @@ def test_tables_measured_by_batch_equal_expressions(spark, small):
     whole = pa.array([r for _, r in rows], pa.list_(pa.list_(pa.string())))
     parts = [tablequality.measure(whole.slice(a, 300), 0.5) for a in range(0, 1000, 300)]
     assert all(pa.concat_arrays([p[c] for p in parts]).equals(x) for c, x in tablequality.measure(whole, 0.5).items())
+
+
+def test_blocks_of_a_page_are_gathered_once(spark, small):
+    """Text-first chunks read the documents once for the pages and once for the blocks, whatever supports them; cleaning replaces nothing in clean texts."""
+    import __spark_entry__ as entry
+
+    from folia.operators import chunking
+
+    chunks = plan(entry.queries()["text_first_chunks"](spark, small))
+    assert chunks.count("FileScan parquet") <= 2 and chunks.split("== Physical Plan ==")[1].count("Join ") <= 1
+    bbox = [0.0, 0.0, 1.0, 1.0]
+    table = "Sales rose to 12 million in 2023. Costs fell to 8 million. Margin is 33 %. " * 2
+    rows = [
+        ("d", 1, 0, "text", "a" * 130, None, None, "b0", None, bbox), ("d", 1, 1, "table", "", table, "p", "b1", ["b0"], bbox), ("d", 1, 2, "text", "in the panel, and long enough " * 5, None, "p", "b2", None, bbox), ("d", 2, 0, "text", "short", None, None, "b3", None, bbox),
+        ("d", 3, 0, "table", "", table, None, "b4", None, bbox), ("d", 4, 0, "text", "on a page that was not parsed", None, None, "b5", None, bbox), (None, 1, 0, "text", "of no document at all, and long", None, None, "b6", None, bbox),
+    ]
+    blocks = spark.createDataFrame(rows, "doc_id string, page_num int, seq int, type string, text string, table_summary string, panel_id string, block_id string, context_ids array<string>, bbox array<double>")
+    pages = spark.createDataFrame([("d", 1, "x", "one"), ("d", 2, "", "two"), ("d", 3, None, "three"), ("d", 9, "own text", "nine")], "doc_id string, page_num int, rag_text string, page_title string")
+    got = {(r.page_num, r.chunk_type, tuple(r.source_block_ids), r.page_title) for r in chunking.text_first_chunks(blocks, pages).collect()}
+    assert got == {(1, "block_group", ("b0", "b1"), "one"), (1, "block_group", ("b2", "b1"), "one"), (2, "page", ("b3",), "two"), (3, "page", ("b4",), "three"), (4, "text", ("b5",), None), (9, "page", (), "nine")}
