@@ -51,11 +51,11 @@ SMOOTH, VALUE_SMOOTH, KEPT = 20.0, (5.0, 50.0), 0.5
 #: Words whose counts go to every worker; the others' counts are joined by shuffle.
 FREQUENT = 400_000
 #: Words that a worker remembers.
-REMEMBERED = 450_000
+REMEMBERED = 800_000
 #: Expected counts are whole multiples of its inverse.
 UNIT = np.float32(65536)
-#: Tokens scored at a time: their tables of pairs stay in a core's cache. Training takes four times as many, for fewer passes over its sums.
-BATCH = 4096
+#: Tokens taken at a time: an array of them stays in a core's cache.
+BATCH = 8192
 #: Slices in which tasks hand in their expected counts; each is summed on its own.
 SLICES = 64
 
@@ -101,27 +101,44 @@ def _string(encoder, i: int) -> bytes:
 
 
 class Windows:
-    """Windows of a batch of sequences: input symbols (blocks, context), targets (blocks, new; PAD where a sequence has ended)."""
+    """Windows of a batch of sequences: blocks of new tokens, with the tokens before them."""
 
     def __init__(self, codes: np.ndarray, lengths: np.ndarray, start: np.ndarray | int, shape: tuple[int, int]):
         """``codes``: the targets of all sequences, END last in each; ``lengths``: of each; ``start``: what comes before the first one."""
-        context, new = shape
-        self.blocks = -(-lengths // new)
+        context, self.new = shape
+        self.blocks = -(-lengths // self.new)
         begin = np.cumsum(lengths) - lengths
-        lead = context - new
-        room = self.blocks * new + lead
+        self.lead = context - self.new
+        room = self.blocks * self.new + self.lead
         base = np.cumsum(room) - room
-        inputs = np.full(int(room.sum()), PAD, dtype=np.int32)
-        targets = np.full(len(inputs), PAD, dtype=np.int32)
-        at = np.repeat(base + lead - begin, lengths) + np.arange(len(codes))
-        targets[at] = codes
+        self.inputs = np.full(int(room.sum()), PAD, dtype=np.int64)  # what numpy gathers by without a copy
+        self.targets = np.full(len(self.inputs), PAD, dtype=np.int64)
+        at = np.repeat(base + self.lead - begin, lengths) + np.arange(len(codes))
+        self.targets[at] = codes
         inner = np.ones(len(codes), dtype=bool)
         inner[begin + lengths - 1] = False  # nothing comes after the last target
-        inputs[at[inner] + 1] = codes[inner]
-        inputs[base + lead] = start
-        starts = np.repeat(base - (np.cumsum(self.blocks) - self.blocks) * new, self.blocks) + np.arange(int(self.blocks.sum())) * new
-        self.inputs = inputs[starts[:, None] + np.arange(context)]
-        self.targets = targets[starts[:, None] + np.arange(lead, context)]
+        self.inputs[at[inner] + 1] = codes[inner]
+        self.inputs[base + self.lead] = start
+        before = (np.arange(int(self.blocks.sum())) - np.repeat(np.cumsum(self.blocks) - self.blocks, self.blocks)) * self.new
+        self.starts = np.repeat(base, self.blocks) + before
+        #: Whether tokens of the sequence come before a block, and how many it has.
+        self.later, self.size = before > 0, np.minimum(np.repeat(lengths, self.blocks) - before, self.new)
+
+    def steps(self, tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """About ``tokens`` tokens at a time, numbers of blocks with their inputs (places, blocks) and targets (new places, blocks).
+
+        Places before a sequence and, to a quarter of a block, after it are left out; PAD stands in what remains of them.
+        """
+        quarter = max(self.new // 4, 1)
+        size = np.minimum(-(-self.size // quarter) * quarter, self.new)
+        for later in (False, True):
+            for n in np.unique(size[self.later == later]).tolist():
+                alike = np.flatnonzero((self.later == later) & (size == n))
+                places = np.arange(0 if later else self.lead, self.lead + n)[:, None]
+                for a in range(0, len(alike), max(tokens // n, 1)):
+                    some = alike[a : a + max(tokens // n, 1)]
+                    at = places + self.starts[some]
+                    yield some, self.inputs[at], self.targets[at[-n:]]
 
 
 class Attention:
@@ -141,83 +158,87 @@ class Attention:
         """With the tables that scoring and training read, in single precision; made once."""
         if hasattr(self, "weight"):
             return self
-        context, new = self.shape
-        back = np.arange(context - new, context)[:, None] - np.arange(context)[None, :]
-        self.back = [np.broadcast_to(np.arange(self.local)[::-1], (new, self.local)), np.maximum(back, 0)]  # distances by query and key
         weight = np.exp(self.logits).astype(np.float32)
         weight[:, :, PAD] = 0  # nothing attends to what lies before the sequence
         self.weight = [w.ravel() for w in weight]
-        self.near = [np.exp(self.bias[0])[self.back[0]].astype(np.float32), np.where(back < 0, 0, np.exp(self.bias[1])[self.back[1]]).astype(np.float32)]
+        self.near = [np.exp(b).astype(np.float32) for b in self.bias]
         self.value = [v.ravel() for v in self.values.astype(np.float32)]
         return self
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "near", "value", "back")}
-
-    def _attended(self, x: np.ndarray, y: np.ndarray) -> tuple:
-        """By head: pairs of query and key, of key and target, unnormalised weights, weighted values; and the sums of the last two."""
-        new = self.shape[1]
-        x = x.astype(np.int64)  # what numpy gathers by without a copy
-        rows, y = x * WIDE, y[:, :, None]
-        own = rows[:, -new:, None]
-        near = (np.lib.stride_tricks.sliding_window_view(z, self.local, axis=1)[:, -new:] for z in (x, rows))
-        heads = []
-        for (keys, key_rows), weight, scale, value in zip((near, (x[:, None, :], rows[:, None, :])), self.weight, self.near, self.value, strict=True):
-            pair, held = own + keys, key_rows + y
-            weights = weight.take(pair, mode="clip")
-            weights *= scale
-            heads.append((pair, held, weights, weights * value.take(held, mode="clip")))
-        whole, chosen = (sum((h[i] @ np.ones((h[i].shape[2], 1), dtype=np.float32))[:, :, 0] for h in heads) for i in (2, 3))
-        return heads, whole, chosen
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "near", "value")}
+
+    def _attended(self, x: np.ndarray, y: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the unnormalised weights and of the weighted values of each target (new places, blocks).
+
+        Goes by distance, as all keys at one distance are one slice of the inputs. ``kept`` gets, by distance and head,
+        the first query with such a key, pairs of query and key, of key and target, weights and weighted values.
+        """
+        lead, rows = len(x) - len(y), x * WIDE
+        whole, chosen = (np.zeros(y.shape, dtype=np.float32) for _ in range(2))
+        for d in range(len(x)):
+            skip = max(d - lead, 0)
+            keys = slice(lead + skip - d, len(x) - d)
+            pair, held = rows[lead + skip :] + x[keys], rows[keys] + y[skip:]
+            for h in range(d >= self.local, HEADS):
+                weights, parts = self.weight[h].take(pair, mode="clip"), self.value[h].take(held, mode="clip")
+                weights *= self.near[h][d]
+                parts *= weights
+                whole[skip:] += weights
+                chosen[skip:] += parts
+                if kept is not None:
+                    kept.append((d, h, skip, pair, held, weights, parts))
+        return whole, chosen
 
     def log_probs(self, windows: Windows) -> np.ndarray:
         """Natural log probability of each target (blocks, new); 0 for padding."""
-        out = np.zeros(windows.targets.shape)
-        step = BATCH // self.shape[1]
-        for a in range(0, len(out), step):
-            y = windows.targets[a : a + step]
-            _, whole, chosen = self._attended(windows.inputs[a : a + step], y)
-            out[a : a + step] = np.where(y == PAD, 0.0, np.log(np.maximum(chosen, 1e-37).astype(np.float64)) - np.log(whole.astype(np.float64)))
+        out = np.zeros((len(windows.starts), windows.new))
+        for some, x, y in windows.steps(BATCH):
+            whole, chosen = self._attended(x, y)
+            out[some, : len(y)] = np.where(y == PAD, 0.0, np.log(np.maximum(chosen, 1e-37).astype(np.float64)) - np.log(whole.astype(np.float64))).T
         return out
 
     def expected(self, windows: Windows, into: np.ndarray | None = None) -> np.ndarray:
-        """Expected counts, in units, added to ``into``: for each head the pairs that gave the target, the pairs attended to, the values, and both kinds of distances."""
-        cells, rows = WIDE * WIDE, []
+        """Expected counts, in units, added to ``into``: for each head, the pairs that gave the target beside those attended to, both kinds of distances, and the values."""
         total = np.zeros(sum(self._sizes())) if into is None else into
-        for h, size in enumerate(self._sizes()):
-            rows.append(total[sum(self._sizes()[:h]) :][:size])
-        step = 4 * BATCH // self.shape[1]
-        for a in range(0, len(windows.inputs), step):
-            y = windows.targets[a : a + step]
-            heads, whole, chosen = self._attended(windows.inputs[a : a + step], y)
+        counts = [self._split(row) for row in np.split(total, np.cumsum(self._sizes())[:-1])]
+        for _, x, y in windows.steps(BATCH):
+            kept: list[tuple] = []
+            whole, chosen = self._attended(x, y, kept)
             real = y != PAD
-            by_whole, by_chosen = np.where(real, UNIT / whole, 0)[:, :, None], np.where(real, UNIT / np.maximum(chosen, np.float32(1e-37)), 0)[:, :, None]
-            for h, (pair, held, weights, parts) in enumerate(heads):
-                row, back = rows[h], self.back[h]
-                attended, gave = np.rint(weights * by_whole), np.rint(parts * by_chosen)
-                row[:cells] += np.bincount(pair.ravel(), weights=gave.ravel(), minlength=cells)
-                row[cells : 2 * cells] += np.bincount(pair.ravel(), weights=attended.ravel(), minlength=cells)
-                row[2 * cells : 3 * cells] += np.bincount(held.ravel(), weights=gave.ravel(), minlength=cells)
-                for x, at in ((gave, row[3 * cells : 3 * cells + len(self.bias[h])]), (attended, row[3 * cells + len(self.bias[h]) :])):
-                    at += np.bincount(back.ravel(), weights=x.sum(axis=0, dtype=np.float64).ravel(), minlength=len(at))
+            by_whole, by_chosen = np.where(real, UNIT / whole, 0), np.where(real, UNIT / np.maximum(chosen, np.float32(1e-37)), 0)
+            for d, h, skip, pair, held, weights, parts in kept:
+                pairs, distances, values = counts[h]
+                weights *= by_whole[skip:]
+                parts *= by_chosen[skip:]
+                gave = np.rint(parts, out=parts).astype(np.float64).ravel()
+                both = np.empty(len(gave), dtype=np.complex128)  # two counts at the cost of one
+                both.real, both.imag = gave, np.rint(weights, out=weights).ravel()
+                np.add.at(pairs, pair.ravel(), both)
+                np.add.at(values, held.ravel(), gave)
+                distances[d] += both.sum()
         return total
 
     def _sizes(self) -> list[int]:
-        """Cells of the expected counts of each head: pairs twice, values, distances twice."""
+        """Cells of the expected counts of each head: pairs twice, distances twice, values."""
         return [3 * WIDE * WIDE + 2 * len(b) for b in self.bias]
 
+    @staticmethod
+    def _split(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A head's pairs and distances, what gave the target as real parts and what was attended to as imaginary ones, and its values."""
+        cells = WIDE * WIDE
+        return row[: 2 * cells].view(np.complex128), row[2 * cells : -cells].view(np.complex128), row[-cells:]
+
     def update(self, counts: np.ndarray) -> None:
         """Rescale logits, biases and values by the expected counts of a round."""
         self.__dict__.pop("weight", None)
-        cells = WIDE * WIDE
         for h, row in enumerate(np.split(counts / float(UNIT), np.cumsum(self._sizes())[:-1])):
-            gave, attended, held = (row[n * cells : (n + 1) * cells].reshape(WIDE, WIDE) for n in range(3))
-            self.held[h] = KEPT * self.held[h] + held[:, :SYMBOLS]
+            pairs, distances, held = self._split(row)
+            self.held[h] = KEPT * self.held[h] + held.reshape(WIDE, WIDE)[:, :SYMBOLS]
             smooth = VALUE_SMOOTH[h]
             self.values[h, :, :SYMBOLS] = (self.held[h] + smooth * self.share) / (self.held[h].sum(axis=1, keepdims=True) + smooth)
-            self.logits[h] = np.clip(self.logits[h] + np.log((gave + SMOOTH) / (attended + SMOOTH)), -12, 12)
-            near = row[3 * cells :].reshape(2, -1)
-            self.bias[h] = np.clip(self.bias[h] + np.log((near[0] + SMOOTH) / (near[1] + SMOOTH)), -60, 12)
+            self.logits[h] = np.clip(self.logits[h] + np.log((pairs.real + SMOOTH) / (pairs.imag + SMOOTH)).reshape(WIDE, WIDE), -12, 12)
+            self.bias[h] = np.clip(self.bias[h] + np.log((distances.real + SMOOTH) / (distances.imag + SMOOTH)), -60, 12)
 
 
 @dataclass
@@ -307,63 +328,107 @@ class Reader:
         return np.add.reduceat(model.log_probs(windows).sum(axis=1), np.cumsum(windows.blocks) - windows.blocks) + np.add.reduceat(inside, first)
 
 
-class _Numbers(dict):
-    """Numbers words as they come; ``fresh`` are those not yet looked at."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
 class WordTable:
     """First symbols and facts of the words seen so far, as flat arrays indexed by the word's number.
 
-    The empty word has number 0 and stands for a text's end.
+    Words are told apart by their hashes, as in the corpus counts. Number 0 stands for a text's
+    end. When REMEMBERED are passed, the words that were not met again are forgotten, and so are
+    the newest of the others beyond half as many.
     """
 
     def __init__(self, reader: Reader, counts: WordCounts | None = None, spelling: Attention | None = None):
         self.reader, self.counts, self.spelling, self.encoder = reader, counts, spelling, bpe(reader.path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.number = _Numbers()
-        self.number[b""] = 0
-        self.code, self.hash, self.rare = np.full(1, END, dtype=np.int32), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=bool)
+        self.held = 1
+        self.slots = np.zeros(1 << 16, dtype=np.int32)  # numbers by hash, 0: free; a taken place leads to the next
+        self.hash, self.code, self.again = np.zeros(1, dtype=np.int64), np.full(1, END, dtype=np.int32), np.ones(1, dtype=bool)
+        self.rare = np.zeros(1, dtype=bool)
         self.base, self.own, self.scale, self.spelled = np.zeros(1), np.zeros(1), np.zeros(1, dtype=np.float32), np.zeros(1, dtype=np.float32)
 
-    def numbers(self, words: list[list[bytes]]) -> np.ndarray:
-        """The numbers of the words of some texts, one after another."""
-        if len(self.number) > REMEMBERED:
-            self.reset()
-        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int32)
-        if fresh := self.number.fresh:
-            self.number.fresh = []
-            r = self.reader
-            ids, size = encoded(self.encoder, fresh)
-            code = r.firsts.code[ids[np.cumsum(size) - size]]
-            self.code = np.concatenate((self.code, code))
-            if self.counts is not None:
-                hashed = Words([b" ".join(fresh)]).hashes().view(np.int64)
-                times, rare = self.counts.look_up(hashed)
-                scale = ((1 - r.unseen) / np.maximum(r.seen, 1))[code].astype(np.float32)
-                spelled = (np.log(r.unseen)[code] + r.spelled(ids, size, self.spelling)).astype(np.float32)
-                own = np.log(times * scale.astype(np.float64) + np.exp(spelled.astype(np.float64)), where=~rare, out=np.zeros(len(fresh)))
-                for name, more in (("hash", hashed), ("rare", rare), ("base", np.where(rare, 0.0, self.counts.log10(times))), ("own", own), ("scale", scale), ("spelled", spelled)):
-                    setattr(self, name, np.concatenate((getattr(self, name), more)))
+    def _fields(self) -> tuple[str, ...]:
+        return ("hash", "code", "again") if self.counts is None else ("hash", "code", "again", "rare", "base", "own", "scale", "spelled")
+
+    def _places(self, hashed: np.ndarray) -> np.ndarray:
+        return (hashed.view(np.uint64) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _find(self, hashed: np.ndarray) -> np.ndarray:
+        """The words' numbers; 0 for those not held."""
+        at = self._places(hashed)
+        found = self.slots.take(at)
+        left = np.flatnonzero(self.hash.take(found) != hashed)
+        left = left[found[left] > 0]
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            found[left] = now = self.slots[at[left]]
+            left = left[(now > 0) & (self.hash[now] != hashed[left])]
         return found
 
+    def _enter(self, first: int) -> None:
+        """The words from number ``first`` on get their places; at most a third of all places are taken."""
+        if 3 * self.held > len(self.slots):
+            self.slots, first = np.zeros(1 << (4 * self.held).bit_length(), dtype=np.int32), 1
+        left = np.arange(first, self.held, dtype=np.int32)
+        at = self._places(self.hash[first : self.held])
+        while len(left):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.again[: self.held])[: max(REMEMBERED // 2, 1)]
+        for name in self._fields():
+            setattr(self, name, getattr(self, name)[keep])
+        self.held = len(keep)
+        self.again[1:] = False
+        self.slots[:] = 0
+        self._enter(1)
+
+    def _put(self, name: str, at: int, found: np.ndarray | bool) -> None:
+        """``found`` as the field of the words from number ``at`` on; the arrays grow by doubling."""
+        field = getattr(self, name)
+        if len(field) < self.held:
+            field = np.concatenate((field[:at], np.zeros(max(self.held, 2 * at) - at, dtype=field.dtype)))
+            setattr(self, name, field)
+        field[at : self.held] = found
+
+    def _learn(self, words: list[bytes], hashed: np.ndarray) -> None:
+        """New words, lower-cased, with their hashes."""
+        at, r = self.held, self.reader
+        self.held += len(words)
+        ids, size = encoded(self.encoder, words)
+        code = r.firsts.code[ids[np.cumsum(size) - size]]
+        made = {"hash": hashed, "code": code, "again": False}
+        if self.counts is not None:
+            times, rare = self.counts.look_up(hashed)
+            scale = ((1 - r.unseen) / np.maximum(r.seen, 1))[code].astype(np.float32)
+            spelled = (np.log(r.unseen)[code] + r.spelled(ids, size, self.spelling)).astype(np.float32)
+            own = np.log(times * scale.astype(np.float64) + np.exp(spelled.astype(np.float64)), where=~rare, out=np.zeros(len(words)))
+            made |= {"rare": rare, "base": np.where(rare, 0.0, self.counts.log10(times)), "own": own, "scale": scale, "spelled": spelled}
+        for name, more in made.items():
+            self._put(name, at, more)
+        self._enter(at)
+
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words and ends of some texts, one after another; and how many each text has."""
+        if self.held > REMEMBERED:
+            self._forget()
+        words = Words(texts, lower=True)
+        hashed = words.hashes().view(np.int64)
+        found = self._find(hashed)
+        self.again[found] = True
+        new = np.flatnonzero(found == 0)
+        if len(new):
+            keys, first, which = np.unique(hashed[new], return_index=True, return_inverse=True)
+            raw, at = words.raw.tobytes(), new[first]
+            found[new] = self.held + which
+            self._learn([raw[x:y].lower() for x, y in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)], keys)
+        numbers = np.zeros(len(found) + len(texts), dtype=np.int64)
+        numbers[np.arange(len(found)) + words.doc] = found
+        return numbers, words.counts + 1
+
     def windows(self, texts: list[bytes]) -> tuple[Windows, np.ndarray, np.ndarray]:
         """Windows over the first subwords of the texts; the numbers of their words and ends; how many each text has."""
-        split = [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
-        for words in split:
-            words.append(b"")
-        n = np.array([len(s) for s in split], dtype=np.int64)
-        numbers = self.numbers(split)
+        numbers, n = self.numbers(texts)
         return Windows(self.code[numbers], n, END, TEXT_WINDOW), numbers, n
 
 
@@ -391,7 +456,11 @@ def count_words(texts: DataFrame) -> DataFrame:
             texts = common.as_bytes(batch.column(0))
             for a, b in common.slices(texts):
                 words = Words([t.lower() for t in texts[a:b]])
-                keys, first, times = np.unique(words.hashes(), return_index=True, return_counts=True)
+                hashes = words.hashes()
+                order = np.argsort(hashes)  # any occurrence of a word will do, so the sort needn't be stable
+                ranked = hashes[order]
+                edge = np.flatnonzero(np.concatenate((np.ones(min(len(ranked), 1), dtype=bool), ranked[1:] != ranked[:-1])))
+                keys, first, times = ranked[edge], order[edge], np.diff(np.append(edge, len(ranked)))
                 raw = words.raw.tobytes()
                 held["hash"].append(keys.view(np.int64))
                 held["times"].append(times)
@@ -457,28 +526,36 @@ def train(model: Attention, rows: DataFrame, windows: Callable[[pa.Array], Itera
     """One round of ``model`` over all ``rows`` (one column), which ``windows`` turns into windows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    def packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        """A row a slice: its counts, of which many are 0 or small, compressed before they leave Python."""
+        size, raw = [x.nbytes for x in sums.values()], [pa.compress(x.tobytes(), codec="lz4", asbytes=True) for x in sums.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], names=["slice", "size", "counts"])
+
+    def unpacked(size: int, raw: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(raw, size, codec="lz4", asbytes=True), dtype=np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value.ready(), None
         for batch in batches:
             for made in windows(batch.column(0)):
                 total = own.expected(made, total)
         if total is not None:
-            cut = np.array_split(total.astype(np.int64), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["slice", "counts"])
+            cut = dict(enumerate(np.array_split(total.astype(np.int64), SLICES)))
+            yield packed(cut)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, dtype=np.int64)
+            for i, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = unpacked(size, raw)
                 sums[i] = sums[i] + x if i in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield packed(sums)
 
-    schema = "slice int, counts binary"
+    schema = "slice int, size int, counts binary"
     found = common.map_batches(common.map_batches(rows, run, schema).repartition("slice"), add, schema).collect()  # the model's size
     shared.unpersist()
     if found:
-        model.update(np.concatenate([np.frombuffer(r[1], dtype=np.int64) for r in sorted(found)]).astype(np.float64))
+        model.update(np.concatenate([unpacked(*r[1:]) for r in sorted(found)]).astype(np.float64))
 
 
 def fit(docs: DataFrame, counts: DataFrame, ends: int, path: str, id_col: str, text_col: str, rounds: int = ROUNDS) -> tuple[Reader, Attention, Attention]:
@@ -499,7 +576,7 @@ def fit(docs: DataFrame, counts: DataFrame, ends: int, path: str, id_col: str, t
 
     def of_texts(column: pa.Array) -> Iterator[Windows]:
         texts, table = common.as_bytes(column), table_of(reader)
-        for a, b in common.slices(texts):
+        for a, b in common.slices(texts, common.FINE_BYTES):
             yield table.windows(texts[a:b])[0]
 
     texts = F.coalesce(F.col(text_col), F.lit("")).alias("__text")
@@ -539,7 +616,7 @@ def scored(docs: DataFrame, training: Column, path: str, id_col: str = "doc_id",
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = common.as_bytes(batch.column(1))
-            for a, b in common.slices(texts):
+            for a, b in common.slices(texts, common.FINE_BYTES):
                 windows, numbers, n = table.windows(texts[a:b])
                 first = np.cumsum(n) - n
                 log_p = model.log_probs(windows).sum(axis=1)

@@ -9,7 +9,7 @@ Pre-tokens are looked up as runs between single spaces, kept in a bounded table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,13 +73,14 @@ class ByteBpe:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.merge = tiktoken.Encoding("folia", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = self.proven_whole(ranks)
+        self.ranks = ranks
         self.runs = _Counter(self)
 
-    def proven_whole(self, ranks: dict[bytes, int]) -> frozenset[str]:
-        """Vocabulary strings that are one pre-token and encode alone as one token."""
+    @cached_property
+    def whole(self) -> frozenset[str]:
+        """Vocabulary strings that are one pre-token and encode alone as one token; proven when first asked for."""
         texts = []
-        for raw in ranks:
+        for raw in self.ranks:
             try:
                 texts.append(raw.decode("utf-8"))
             except UnicodeDecodeError:

@@ -280,5 +280,49 @@ def test_attention_is_causal_and_proper_and_training_raises_the_likelihood():
     assert (model.expected(split[1], model.expected(split[0])) == model.expected(whole)).all()
 
 
+@pytest.mark.parametrize("shape", [attention_lm.TEXT_WINDOW, attention_lm.WORD_WINDOW])
+def test_attention_looks_up_only_keys_that_a_target_attends_to(shape):
+    looked = []
+
+    class Counted(np.ndarray):
+        def take(self, at, **how):
+            looked.append(at.size)
+            return np.asarray(self).take(at, **how)
+
+    model = attention_lm.Attention(shape, np.full(attention_lm.SYMBOLS, 1 / attention_lm.SYMBOLS)).ready()
+    model.weight = [w.view(Counted) for w in model.weight]
+    context, new = shape
+    for n in (new // 4, new // 2, new, new + new // 4, 5 * new):
+        looked.clear()
+        windows = attention_lm.Windows(np.arange(1, n + 1), np.array([n]), attention_lm.END, shape)
+        assert model.log_probs(windows).shape == (-(-n // new), new)
+        assert sum(looked) == sum(min(i + 1, model.local) + i - max(i // new * new - (context - new), 0) + 1 for i in range(n))
+
+
+def test_words_met_again_are_remembered_and_numbers_tell_words_apart(tokenizer, monkeypatch):
+    A = attention_lm
+    size = A.bpe(tokenizer).max_token_value + 1
+    codes = A.symbols(np.arange(size), np.arange(size), 1.0, A.bpe(tokenizer))
+    table = A.WordTable(A.Reader(tokenizer, "test", codes, codes, np.ones(A.SYMBOLS), np.ones(A.SYMBOLS)))
+    learned = []
+    monkeypatch.setattr(A, "encoded", lambda encoder, words, real=A.encoded: learned.extend(words) or real(encoder, words))
+    monkeypatch.setattr(A, "REMEMBERED", 50)
+    for text, new in (
+        (b"The common words", [b"common", b"the", b"words"]), (b"the COMMON words", []), (b" ".join(b"rare%d" % i for i in range(60)), [b"rare%d" % i for i in range(60)]),
+        (b"words common to the\tother", [b"other", b"to"]), (b"rare7 the common", [b"rare7"]),
+    ):
+        learned.clear()
+        table.windows([text])
+        assert sorted(learned) == sorted(new)
+    monkeypatch.setattr(A, "REMEMBERED", 100_000)
+    words = [b"w%d" % (i * i % 40_009) for i in range(60_000)]
+    _, numbers, n = table.windows([b" ".join(words[:50_000]), b"", b"\n".join(words[50_000:])])
+    assert n.tolist() == [50_001, 1, 10_001] and (numbers == 0).nonzero()[0].tolist() == [50_000, 50_001, 60_002]
+    own = numbers[numbers > 0].tolist()
+    assert len(set(zip(own, words, strict=True))) == len(set(own)) == len(set(words))
+    for word, number in list(dict(zip(words, own, strict=True)).items())[:200]:
+        assert table.code[number] == codes.code[A.bpe(tokenizer).encode_ordinary(" " + word.decode())[0]]
+
+
 def test_digest_of_no_secret_is_that_of_nothing():
     assert hashlib.sha256(plain_base("nothing here").encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
